@@ -112,8 +112,9 @@ def merges(path: str) -> Merges:
     return Merges(path)
 
 
+@lru_cache(maxsize=2)
 def counter(path: str) -> Callable[[list[str]], list[int]]:
-    """A function that counts the tokens of texts. What it remembers between calls are pre-tokens and their counts."""
+    """A function that counts the tokens of texts; the pre-tokens and counts that it remembers last as long as the worker."""
     table, known = merges(path), {}
     find = regex.compile(PRE_TOKEN).findall
     cut = regex.compile("|".join(regex.escape(s) for s in sorted(table.special, key=len, reverse=True))) if table.special else None
@@ -129,21 +130,16 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
                 held += len(w)
 
     def count(texts: list[str]) -> list[int]:
-        out = []
-        for text in texts:
-            parts = cut.split(text) if cut else [text]
-            n = len(parts) - 1  # special strings inside a text are one token each
-            for part in parts:
-                words = find(part)
-                try:
-                    n += sum(map(known.__getitem__, words))
-                except KeyError:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    learn(set(words).difference(known))
-                    n += sum(map(known.__getitem__, words))
-            out.append(n)
-        return out
+        if len(known) > REMEMBERED:
+            known.clear()
+        split = [cut.split(t) if cut else [t] for t in texts]
+        words = [[w for part in parts for w in find(part)] if len(parts) > 1 else find(parts[0]) for parts in split]
+        new: set[str] = set()
+        for ws in words:
+            new.update(ws)
+        learn(new.difference(known))
+        # special strings inside a text are one token each
+        return [len(parts) - 1 + sum(map(known.__getitem__, ws)) for parts, ws in zip(split, words, strict=True)]
 
     return count
 
@@ -159,8 +155,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
         for batch in batches:
-            n = count(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                n = pa.array(count(part.column("text").to_pylist()), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), n], ["id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
