@@ -1,14 +1,17 @@
 """Registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from hushlake.llm import exact_dedup, jaccard, mixing, near_vectors, packing, token_count
+from hushlake.llm import exact_dedup, html_text, jaccard, mixing, near_vectors, packing, token_count, toxicity, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_token_count": token_count.op4_token_count,
+    "op5_url_filter": url_filter.op5_url_filter,
     "op6_packing": packing.op6_packing,
     "op7_near_vectors": near_vectors.op7_near_vectors,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op10_html_extraction": html_text.op10_html_extraction,
 }
 
 SQL = {
