@@ -1,6 +1,6 @@
 """Registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from hushlake.llm import exact_dedup, html_text, jaccard, mixing, near_vectors, packing, token_count, toxicity, url_filter
+from hushlake.llm import exact_dedup, html_text, jaccard, lm_score, mixing, near_vectors, packing, token_count, toxicity, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_near_vectors": near_vectors.op7_near_vectors,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_lm_score": lm_score.op9_lm_score,
     "op10_html_extraction": html_text.op10_html_extraction,
 }
 
