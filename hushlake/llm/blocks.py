@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a block; a unit has at most about twice as many.
-BLOCK = 256
+BLOCK = 1024
 
 #: The columns that name a unit, and the block of a row in it.
 UNIT = ["table", "bucket", "i", "j"]
