@@ -2,29 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushlake.llm import toxicity
 from hushlake.llm.common import written
 from hushlake.llm.exact_dedup import exact_duplicates
+from hushlake.llm.jaccard import jaccard_join
 from hushlake.llm.mixing import mix_sources
+from hushlake.llm.packing import pack
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity reaches their language's threshold go. The classifier learns from the labelled ones."""
+    fitted = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs.select(*COLUMNS), fitted).where(~F.col("tox_rejected")).select(*COLUMNS)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id goes on."""
-    kept = exact_duplicates(docs).where("kept").select("doc_id")
+    kept = exact_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of documents linked by n-gram similarity the one with the smallest doc_id goes on."""
+    kept = jaccard_join(docs).where(F.col("class_id") == F.col("doc_id")).select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document goes on as often as the mix takes it."""
-    taken = mix_sources(docs).where("copies > 0").select("doc_id", "copies")
-    return docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    """Each document goes on as often as the mix takes it, and not at all where it takes none."""
+    taken = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return docs.join(taken, "doc_id").select(*COLUMNS, copies.alias("copy")).drop("copy")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in token sequences."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES = [("exact dedup", drop_exact_copies), ("mixing", mix)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources to target weights", mix),
+    ("best-fit packing", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,5 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Classifiers and tokenizers cannot be written in SQL.
+#: The classifier, the n-gram join and the tokenizer cannot be written in SQL; tests hold them against brute force.
 ORACLE_SQL = None
