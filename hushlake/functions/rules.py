@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hushlake.functions import rule_data
 from hushlake.functions.dialect import replacement_to_java, to_java
 
 REDACTED = "[REDACTED]"
-SCHEMA = T.StructType.fromDDL(
+SCHEMA = (
     "ord int, rule_id string, rule_name string, description string, pattern_re2 string, pattern_java string, severity string, mode string, "
     "replacement string, replacement_java string, validator string, keywords array<string>"
 )
@@ -66,7 +65,7 @@ def load_rule_config(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
     Bad JSON, or a pattern that Java cannot compile, raises ValueError; the latter names the rule.
     """
-    schema = T.StructType.fromDDL(
+    schema = (
         "overrides array<struct<id string, mode string, severity string>>, rules array<struct<id string, name string, description string, pattern string, "
         "severity string, mode string>>, context_limits map<string, int>"
     )
@@ -101,10 +100,11 @@ def add_rules(rules: DataFrame, custom: DataFrame) -> DataFrame:
 
 
 def apply_overrides(rules: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Mode and severity by rule id where an override gives them; the last one (highest n) of an id counts, unknown ids do nothing."""
-    last = Window.partitionBy("rule_id").orderBy(F.desc("n"))
-    o = overrides.withColumn("_k", F.row_number().over(last)).where("_k = 1")
-    o = o.select("rule_id", F.expr("nullif(mode, '')").alias("_mode"), F.expr("nullif(severity, '')").alias("_severity"))
+    """Mode and severity by rule id where overrides give them; of an id's several the last one (highest n) that gives the
+    field counts, and unknown ids do nothing. Overrides are summed up by id first, so a rule stays one row."""
+    given = lambda c: F.max_by(F.col(c), F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("n")))
+    o = overrides.groupBy("rule_id").agg(given("mode").alias("_mode"), given("severity").alias("_severity"))
+    o = o.select("rule_id", F.expr("nullif(_mode, '')").alias("_mode"), F.expr("nullif(_severity, '')").alias("_severity"))
     joined = rules.join(o, "rule_id", "left")
     return joined.withColumns({"mode": F.coalesce("_mode", "mode"), "severity": F.coalesce("_severity", "severity")}).select(*rules.columns)
 

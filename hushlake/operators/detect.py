@@ -30,7 +30,7 @@ def rule_array(rules: DataFrame, modes: Sequence[str] | None = None) -> Column:
     for r in chosen:
         r["mode"] = "track" if r["mode"] == "redact" else r["mode"]
     chosen = [r for r in chosen if modes is None or r["mode"] in modes]
-    return F.from_json(F.lit(json.dumps(chosen)), f"array<{SCHEMA.simpleString()}>")
+    return F.from_json(F.lit(json.dumps(chosen)), f"array<struct<{SCHEMA}>>")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -74,22 +74,22 @@ def _snippet(text: Column, start: Column, match: Column) -> Column:
 
 
 def _as_match(text: Column, rule: Column, match: Column) -> Column:
-    start = _start(text, rule, match)
     fields = [rule[c].alias(c) for c in ("ord", "rule_id", "rule_name", "severity", "mode")]
-    return F.struct(*fields, start.alias("start"), _snippet(text, start, match).alias("snippet"))
+    return let(_start(text, rule, match), lambda start: F.struct(*fields, start.alias("start"), _snippet(text, start, match).alias("snippet")))
 
 
 def inspect(text: Column, rules: Column) -> Column:
     """One match for each rule that fires, in the rules' order: array<struct<ord, rule_id, rule_name, severity, mode, start, snippet>>."""
-    clean = F.coalesce(text, F.lit(""))
-    found = F.transform(_may_match(rules, clean), lambda r: F.struct(r.alias("r"), _found(clean, r).alias("m")))
-    hits = F.filter(found, lambda x: x.m.isNotNull())
-    return F.transform(hits, lambda x: _as_match(clean, x.r, x.m))
+
+    def of(clean: Column) -> Column:
+        found = F.transform(_may_match(rules, clean), lambda r: F.struct(r.alias("r"), _found(clean, r).alias("m")))
+        return F.transform(F.filter(found, lambda x: x.m.isNotNull()), lambda x: _as_match(clean, x.r, x.m))
+
+    return let(F.coalesce(text, F.lit("")), of)
 
 
 def redact(text: Column, rules: Column) -> Column:
     """struct<text, matches>: each rule in order sees what earlier rules left and replaces all its matches."""
-    clean = F.coalesce(text, F.lit(""))
 
     def replaced(now: Column, r: Column) -> Column:
         cards = F.array_distinct(_valid_cards(now, r.pattern_java))
@@ -97,12 +97,17 @@ def redact(text: Column, rules: Column) -> Column:
         return F.when(r.validator == "luhn", by_card).otherwise(F.regexp_replace(now, r.pattern_java, r.replacement_java))
 
     def step(acc: Column, r: Column) -> Column:
-        found = _found(acc.text, r)
-        after = F.struct(replaced(acc.text, r).alias("text"), F.concat(acc.matches, F.array(_as_match(acc.text, r, found))).alias("matches"))
-        return F.when(found.isNotNull(), after).otherwise(acc)
+        def after(found: Column) -> Column:
+            new = F.struct(replaced(acc.text, r).alias("text"), F.concat(acc.matches, F.array(_as_match(acc.text, r, found))).alias("matches"))
+            return F.when(found.isNotNull(), new).otherwise(acc)
+
+        return let(_found(acc.text, r), after)
+
+    def of(clean: Column) -> Column:
+        start = F.struct(clean.alias("text"), F.from_json(F.lit("[]"), f"array<struct<{MATCH}>>").alias("matches"))
+        return F.aggregate(_may_match(rules, clean), start, step)
 
-    start = F.struct(clean.alias("text"), F.from_json(F.lit("[]"), f"array<struct<{MATCH}>>").alias("matches"))
-    return F.aggregate(_may_match(rules, clean), start, step)
+    return let(F.coalesce(text, F.lit("")), of)
 
 
 def detect(df: DataFrame, rules: DataFrame, text_col: str = "text", modes: Sequence[str] | None = None) -> DataFrame:

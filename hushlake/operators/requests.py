@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hushlake.operators.detect import let
 
-#: Tool results may nest; texts below this depth are left out and counted by deeper_nests.
+#: Tool results may nest; texts below this depth are left out.
 DEPTH = 3
 
 # Fixed values.
@@ -96,7 +96,7 @@ def _after(items: Column, position: Column) -> Column:
 
 
 def parse_request(df: DataFrame, body_col: str = "body") -> DataFrame:
-    """``df`` with request: struct<model, streaming, session_id, prompts, full_body, user_query, background, deeper_nests>.
+    """``df`` with request: struct<model, streaming, session_id, prompts, full_body, user_query, background>.
 
     prompts are the texts of the current turn (after the last assistant message), full_body those of all turns, both
     cleaned. A null body, one that is no JSON object, or one with a used field of another type gives empty fields.
@@ -155,7 +155,8 @@ def parse_request(df: DataFrame, body_col: str = "body") -> DataFrame:
         F.when(F.size(queries) > 0, F.array_join(queries, "\n\n")).otherwise(_text(v, "$.prompt")).alias("user_query"),
         F.coalesce(background, F.lit(False)).alias("background"),
     )
-    return rows.withColumn("request", request).drop("_v", "_m", "_i", "_t", "_ti", "_ta")
+    # A struct out of a generator is computed once; out of a projection each of its fields would be, wherever it is used.
+    return rows.select("*", F.explode(F.array(request)).alias("request")).drop("_v", "_m", "_i", "_t", "_ti", "_ta")
 
 
 def strip_port(host: Column) -> Column:
@@ -241,7 +242,7 @@ def _tool(text: Column, name: Column, body: Column) -> Column:
 
 
 def _calls(text: Column, calls: Column) -> Column:
-    return F.aggregate(F.coalesce(calls, F.array().cast(_CALLS)), text, lambda t, c: _tool(t, c.function.name, c.function.arguments))
+    return F.aggregate(F.coalesce(calls, F.array().cast(_CALLS)), text, lambda t, c: _tool(t, c["function"]["name"], c["function"]["arguments"]))
 
 
 def response_text(body: Column) -> Column:
@@ -254,7 +255,7 @@ def response_text(body: Column) -> Column:
 
     def of_plain(p: Column) -> Column:
         def block(t: Column, c: Column) -> Column:
-            return F.when(c.type == "text", F.concat(t, e(c.text))).when(c.type == "tool_use", _tool(t, c.name, F.when(c.input != "null", c.input))).otherwise(t)
+            return F.when(c.type == "text", F.concat(t, e(c.text))).when(c.type == "tool_use", _tool(t, c["name"], F.when(c.input != "null", c.input))).otherwise(t)
 
         blocks = F.aggregate(F.coalesce(p.content, F.array().cast("array<struct<type:string,text:string,name:string,input:string>>")), F.lit(""), block)
         choices = F.coalesce(p.choices, F.array().cast(f"array<struct<message:struct<content:string,tool_calls:{_CALLS}>>>"))
@@ -264,15 +265,15 @@ def response_text(body: Column) -> Column:
     drop = lambda m, k: F.map_filter(m, lambda a, _: a != k)
 
     def step(s: Column, x: Column) -> Column:
-        index, delta = F.coalesce(x.index, F.lit(0)), F.from_json(x.delta, _DELTA)
+        index, delta = F.coalesce(x["index"], F.lit(0)), F.from_json(x.delta, _DELTA)
         state = lambda text, names, inputs: F.struct(text.alias("text"), names.alias("names"), inputs.alias("inputs"))
         name = F.element_at(s.names, index)
         choices = F.coalesce(x.choices, F.array().cast(f"array<struct<delta:struct<content:string,tool_calls:{_CALLS}>>>"))
         said = F.array_join(F.transform(choices, lambda c: F.concat(e(c.delta.content), F.array_join(
-            F.transform(F.coalesce(c.delta.tool_calls, F.array().cast(_CALLS)), lambda k: e(k.function.arguments)), ""))), "")
+            F.transform(F.coalesce(c.delta.tool_calls, F.array().cast(_CALLS)), lambda k: e(k["function"]["arguments"])), ""))), "")
         return (
             F.when((x.type == "content_block_start") & (x.content_block.type == "tool_use"),
-                   state(s.text, put(s.names, index, e(x.content_block.name)), put(s.inputs, index, F.lit(""))))
+                   state(s.text, put(s.names, index, e(x.content_block["name"])), put(s.inputs, index, F.lit(""))))
             .when((x.type == "content_block_delta") & (delta.type == "text_delta"), state(F.concat(s.text, e(delta.text)), s.names, s.inputs))
             .when((x.type == "content_block_delta") & (delta.type == "input_json_delta") & name.isNotNull(),
                   state(s.text, s.names, put(s.inputs, index, F.concat(F.element_at(s.inputs, index), e(delta.partial_json)))))

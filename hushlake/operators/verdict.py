@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushlake.operators.detect import MATCH, inspect, redact, rule_array
+from hushlake.operators.detect import MATCH, inspect, let, redact, rule_array
 from hushlake.operators.requests import telemetry_summary
 
 CAP = 512 * 1024
@@ -21,27 +21,42 @@ def verdict(df: DataFrame, rules: DataFrame, agent_mode: bool = False) -> DataFr
 
     The current turn blocks (unless the request is a background one) or redacts; matches of block rules that only
     earlier turns hold redact. Agent mode inspects nothing and redacts with all rules. Rows without text and
-    matches are left out. All of it is narrow; inspected texts are computed once in a projection of their own.
+    matches are left out. All of it is narrow, and each text is inspected once.
     """
     block = rule_array(rules, ["block"])
     track = rule_array(rules, None if agent_mode else ["track"])
-    now, full = F.array_join("request.prompts", "\n\n"), F.array_join("request.full_body", "\n\n")
-    rows = df.withColumns({"_now": now, "_full": full})
-    rows = rows.withColumn("_block", none() if agent_mode else inspect(F.col("_now"), block)).withColumn("_redactions", redact(F.col("_now"), track).matches)
-    ask = (F.size("_block") == 0) & (F.col("_full") != "") & (F.col("_full") != F.col("_now"))
-    rows = rows.withColumn("history", none() if agent_mode else F.when(ask, inspect(F.col("_full"), block)).otherwise(none()))
-    rows = rows.withColumn("matches", F.concat("_block", "_redactions", "history"))
-    rows = rows.where((F.col("_now") != "") | (F.size("matches") > 0))
-    prompt = F.coalesce(F.expr("nullif(request.user_query, '')"), F.col("_now"))
-    rows = rows.withColumn("prompt", prompt).withColumn("redacted_prompt", redact(F.col("prompt"), track).text)
-    status = status_of(F.size("_block") > 0, F.size("_redactions") > 0, F.size("history") > 0, F.col("request.background"), F.size("matches") > 0)
-    rows = rows.withColumn("status", status)
     names = lambda ms: F.transform(F.filter(ms, lambda m: m.mode == "block"), lambda m: F.concat(F.lit("- "), m.rule_name))
-    notice = F.concat(F.lit("This request was blocked. It held values that these rules find:\n"), F.array_join(names(F.col("_block")), "\n"))
-    rows = rows.withColumn("notice", F.when(F.col("status") == "blocked", notice).otherwise(""))
-    scrubbed = redact(F.col("redacted_prompt"), block).text
-    rows = rows.withColumn("safe_text", F.when(F.col("status") == "blocked", withheld(F.col("matches"))).otherwise(scrubbed))
-    return rows.drop("_now", "_full", "_block", "_redactions")
+    heading = F.lit("This request was blocked. It held values that these rules find:\n")
+    query = F.coalesce(F.col("request.user_query"), F.lit(""))
+
+    def audit(now: Column, full: Column, found: Column, scrubbed: Column, history: Column) -> Column:
+        matches = F.concat(found, scrubbed.matches, history)
+        status = status_of(F.size(found) > 0, F.size(scrubbed.matches) > 0, F.size(history) > 0, F.col("request.background"), F.size(matches) > 0)
+        prompt = F.when(query != "", query).otherwise(now)
+        redacted = F.when(query != "", redact(query, track).text).otherwise(scrubbed.text)
+        texts = let(redacted, lambda r: F.struct(r.alias("redacted"), redact(r, block).text.alias("safe")))
+        fields = lambda s, t: F.struct(
+            s.alias("status"), matches.alias("matches"), history.alias("history"), prompt.alias("prompt"), t.redacted.alias("redacted_prompt"),
+            F.when(s == "blocked", withheld(matches)).otherwise(t.safe).alias("safe_text"),
+            F.when(s == "blocked", F.concat(heading, F.array_join(names(found), "\n"))).otherwise("").alias("notice"),
+        )
+        whole = let(status, lambda s: let(texts, lambda t: fields(s, t)))
+        return F.when((now != "") | (F.size(matches) > 0), whole)
+
+    def with_history(now: Column, full: Column, found: Column, scrubbed: Column) -> Column:
+        ask = (F.size(found) == 0) & (full != "") & (full != now)
+        history = none() if agent_mode else F.when(ask, inspect(full, block)).otherwise(none())
+        return let(history, lambda h: audit(now, full, found, scrubbed, h))
+
+    def of(now: Column, full: Column) -> Column:
+        found = none() if agent_mode else inspect(now, block)
+        return let(found, lambda f: let(redact(now, track), lambda r: with_history(now, full, f, r)))
+
+    joined = lambda c: F.array_join(F.col(f"request.{c}"), "\n\n")
+    whole = let(joined("prompts"), lambda now: let(joined("full_body"), lambda full: of(now, full)))
+    # Out of a generator the struct is computed once, and the filter on it is not moved in front of it.
+    rows = df.select("*", F.explode(F.array(whole)).alias("_a")).where("_a IS NOT NULL")
+    return rows.select(*df.columns, "_a.*")
 
 
 def status_of(block: Column, track: Column, history: Column, background: Column, any_match: Column) -> Column:
