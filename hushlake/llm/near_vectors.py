@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,26 +14,39 @@ from hushlake.llm.blocks import UNIT, UNIT_SCHEMA, units
 from hushlake.llm.common import connected_components, runs, written
 from hushlake.llm.jaccard import _spanning
 
-#: A pair of cosine 0.93 agrees in a sign with probability 0.88 and so in a table of 14 with 0.167; that no table of
-#: 80 holds it has probability 5e-7.
-TABLES, BITS = 80, 14
+#: The chance that a pair of exactly the threshold shares no bucket.
+MISS = 1e-6
 
 
+def table_sizes(rows: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
+    """(tables, bits) for at most ``rows`` vectors of a label.
+
+    Bits follow the number of rows, so that a vector meets about one unrelated one in 50 in a table however many there
+    are; a pair of cosine c agrees in a sign with probability 1 - acos(c) / pi, and as many tables are used as make the chance to miss it ``miss``.
+    """
+    bits = min(62, max(8, int(np.ceil(np.log2(max(rows, 1) * 50)))))
+    agree = (1 - np.arccos(min(threshold, 1 - 1e-9)) / np.pi) ** bits
+    return int(np.ceil(np.log(miss) / np.log1p(-agree))), bits
+
+
+@lru_cache(maxsize=8)
 def planes(dims: int, tables: int, bits: int, seed: int) -> np.ndarray:
-    return np.random.default_rng((seed, dims)).standard_normal((dims, tables * bits)).astype(np.float64)
+    return np.random.default_rng((seed, dims)).standard_normal((dims, tables * bits))
 
 
 def sign_keys(vectors: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
     """One key for each table: the signs of the vector against the table's planes."""
-    signs = (vectors @ planes(vectors.shape[1], tables, bits, seed) >= 0).reshape(len(vectors), tables, bits)
-    return signs @ (1 << np.arange(bits, dtype=np.int64))
+    out = np.empty((len(vectors), tables), np.int64)
+    for lo in range(0, len(vectors), 1024):
+        signs = (vectors[lo : lo + 1024] @ planes(vectors.shape[1], tables, bits, seed) >= 0).reshape(-1, tables, bits)
+        out[lo : lo + 1024] = signs @ (1 << np.arange(bits, dtype=np.int64))
+    return out
 
 
 def near_vectors(
     rows: DataFrame,
     threshold: float = 0.93,
-    tables: int = TABLES,
-    bits: int = BITS,
+    miss: float = MISS,
     seed: int = 7,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
@@ -41,8 +55,8 @@ def near_vectors(
     """One row per row of ``rows`` with an id: id_col, n_links, component_id, kept.
 
     Vectors of equal, non-null labels (of all rows, without ``label_col``) and equal lengths are linked when their
-    cosine in double precision is ``threshold`` or more and they fall into one bucket of a table; see TABLES for the chance to miss
-    a link. Equal vectors of a label form one entry that carries their number. Pairs are compared inside units of bounded size
+    cosine in double precision is ``threshold`` or more and they fall into one bucket of a table; ``miss`` bounds the
+    chance that a pair of exactly that cosine falls into none. Equal vectors of a label form one entry that carries their number. Pairs are compared inside units of bounded size
     (see blocks.py), each pair in the first table that it shares, and a unit returns counts of links and links to one entry for each connected part.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label, link with
@@ -58,6 +72,9 @@ def near_vectors(
     entries = base.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     entries = written(entries.withColumn("entry", F.monotonically_increasing_id()))
 
+    most = entries.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    tables, bits = table_sizes(most, threshold, miss)
+
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column("vector")
@@ -72,33 +89,38 @@ def near_vectors(
     keyed = entries.select("entry", "label", "vector").mapInArrow(signed, "id long, label string, dims int, keys array<long>")
     members = keyed.select("id", F.lit(1).cast("long").alias("weight"), "label", "dims", F.posexplode("keys").alias("table", "signs"))
     members = members.select("id", "weight", "table", F.xxhash64("label", "dims", "signs").alias("bucket"))
-    placed = units(members).join(entries.select(F.col("entry").alias("id"), "copies", "label", "vector"), "id")
+    placed = units(members).join(entries.select(F.col("entry").alias("id"), "copies", F.xxhash64("label").alias("label_no"), "vector"), "id")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in runs(batches, UNIT):
-            vectors = [np.asarray(v, float) for v in unit.column("vector").to_pylist()]
+            lists = unit.column("vector").chunk(0)
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
             table, i, j = (unit.column(c)[0].as_py() for c in ("table", "i", "j"))
-            labels = np.array(unit.column("label").to_pylist())
+            labels = unit.column("label_no").to_numpy()
             block = unit.column("block").to_numpy()
-            dims = np.array([len(v) for v in vectors])
+            dims = np.diff(offsets)
             found_a, found_b = [], []
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
-                data = np.array([vectors[k] for k in at])
+                data = values[offsets[at][:, None] + np.arange(d)]
                 data = data / np.abs(data).max(axis=1, keepdims=True)
-                keys = sign_keys(data, tables, bits, seed)
                 unit_length = data / np.sqrt((data * data).sum(axis=1, keepdims=True))
                 left = np.flatnonzero(block[at] == i)
                 right = left if i == j else np.flatnonzero(block[at] == j)
                 a, b = np.nonzero(unit_length[left] @ unit_length[right].T >= threshold)
                 a, b = left[a], right[b]
+                same = labels[at[a]] == labels[at[b]]
                 if i == j:
-                    a, b = a[a < b], b[a < b]
-                first = labels[at[a]] == labels[at[b]]
+                    same &= a < b
+                a, b = a[same], b[same]
                 if len(a):
-                    first &= (keys[a] == keys[b]).argmax(axis=1) == table
-                found_a.append(at[a[first]])
-                found_b.append(at[b[first]])
+                    used, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+                    keys = sign_keys(data[used], tables, bits, seed)
+                    wa, wb = where[: len(a)], where[len(a) :]
+                    first = np.concatenate([(keys[wa[k : k + 4096]] == keys[wb[k : k + 4096]]).argmax(axis=1) == table for k in range(0, len(a), 4096)])
+                    a, b = a[first], b[first]
+                found_a.append(at[a])
+                found_b.append(at[b])
             a, b = np.concatenate(found_a), np.concatenate(found_b)
             if not len(a):
                 continue
