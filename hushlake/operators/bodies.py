@@ -63,7 +63,9 @@ def redact_bodies(df: DataFrame, rules: DataFrame, body_col: str = "body", agent
     """
     modes = None if agent_mode and not block else ["block" if block else "track"]
     array = rule_array(rules, modes)
-    rows = _with_leaves(df, body_col).withColumn("_new", F.transform("_leaves", lambda x: redact(x.text, array).text))
+    rows = _with_leaves(df, body_col)
+    both = F.struct(F.col("_leaves").alias("old"), F.transform("_leaves", lambda x: redact(x.text, array).text).alias("new"))
+    rows = rows.select("*", F.explode(F.array(both)).alias("_texts"))  # a generator keeps the native part out of the UDF's arguments
 
     @F.pandas_udf("string")
     def assemble(bodies: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
@@ -79,7 +81,7 @@ def redact_bodies(df: DataFrame, rules: DataFrame, body_col: str = "body", agent
                 out.append(json.dumps(_replaced(tree, texts), ensure_ascii=False, separators=(",", ":")))
         return pd.Series(out)
 
-    return rows.withColumn("redacted_body", assemble(body_col, "_leaves", "_new")).drop("_leaves", "_new")
+    return rows.withColumn("redacted_body", assemble(body_col, "_texts.old", "_texts.new")).drop("_leaves", "_texts")
 
 
 def _replaced(tree: object, texts: Iterator[str]) -> object:
