@@ -216,6 +216,8 @@ def main_text(page: str) -> str:
         marked = [n for n in nodes if n.tag in ("article", "main") and n.chars and not any(x.tag in ("article", "main") for x in _up(n.parent))]
         return " ".join(blocks(marked or [root])) if _density(root) < 0.5 or marked else ""
     best = max(scored, key=lambda n: n.score * (1 - _density(n)))
+    if not best.score * (1 - _density(best)):
+        return ""  # nothing but links
     for up in _up(best):
         if up.tag in ("article", "main"):
             up.score = max(up.score, best.score)

@@ -1,0 +1,61 @@
+import numpy as np
+
+from hushlake.llm import html_text as H
+from hushlake.llm import url_filter as U
+
+
+def test_hosts_paths_and_rules(spark):
+    urls = {
+        "http://WWW.Example.com/en/1?x=/de/": ("www.example.com", "/en/1", "com/en/"), "https://a.example.com/en/712#top": ("a.example.com", "/en/712", "example.com/en/7"),
+        "https://x.net/de/8": ("x.net", "/de/8", "net/de/"), "https://example.net/de/8": ("example.net", "/de/8", "example.net/de/8"), "https://notexample.net/de/8": ("notexample.net", "/de/8", "net/de/"),
+        "ftp://Ä.org/es/": ("Ä.org", "/es/", "org/es/"), "no scheme": ("", "", None), "a://b://c/d": ("b:", "//c/d", None), "://": ("", "", None), "http://h?q#f": ("h", "", None), "http://h#f/en/": ("h", "", None),
+        None: ("", "", None), "": ("", "", None), "http://telecom/en/5": ("telecom", "/en/5", None),
+    }
+    df = spark.createDataFrame([(n, u, "x") for n, u in enumerate(urls)], "page_id int, url string, host string")
+    out = U.filter_urls(df.withColumn("_host", df.page_id).withColumn("_rule", df.page_id)).orderBy("page_id").collect()
+    assert [(r.host, r.path, r.rule) for r in out] == list(urls.values())
+    assert [r.verdict for r in out[:6]] == ["block", "allow", "allow", "block", "allow", "block"] and {r.verdict for r in out} == {"block", "allow"}
+    assert U.filter_urls(df.limit(0)).collect() == [] and len(U.filter_urls(df, rules=[]).collect()) == len(urls)
+
+
+def test_regression_on_unseen_hosts():
+    w = U.fit()
+
+    def p(host, path="/en/5"):
+        bins = U.grams(host, path)
+        return 1 / (1 + np.exp(-(w[bins].sum() / np.sqrt(len(bins)) + w[-1])))
+
+    table = [(p(h, q) >= 0.5) == bool(y) for h, q, y in U.LABELLED]
+    assert all(table)
+    assert all(p(h) >= 0.5 for h in ("cheap-pills-now.example.org", "mega-casino.example.com", "adult-videos.example.net", "free-bets-today.example.com"))
+    assert all(p(h) < 0.5 for h in ("thenatre.example.org", "blog.gardens.example.com", "www.history.example.net", "m.ononther.example.com"))
+
+
+PAGES = {
+    "": "", "plain text": "plain text", "<p>short": "short",
+    "<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Home</a></nav><div class='ad'>Buy now, please, do.</div><article><h1>Title</h1><p>One, two,\n three &amp; four and so on.<p>Five<br>six.</article><footer>&copy; me</footer></body></html>":
+        "Title One, two, three & four and so on. Five six.",
+    "<div id=menu><a>a</a></div><div class=content><h2>Head</h2><p>A first paragraph, with commas, long enough.</p><p>Tiny.</p><form><p>Your name, please, and address here.</p></form></div><div class='sidebar'><p>Another thing, quite long, but aside, really.</p></div><div id='comments'><p>I, a reader, think this is all wrong, sorry.</p></div>":
+        "Head A first paragraph, with commas, long enough. Tiny.",
+    "<article><p>Text in the article, long enough to count.</p><section class=comments><p>A comment, much longer, with, many, commas, in it, and more text.</p></section></article>": "Text in the article, long enough to count.",
+    "<article><p>Cut off in the middle of <b>a word": "Cut off in the middle of a word", "<article><p>Cut off tag, that ends here <a hre": "Cut off tag, that ends here",
+    "<script>var a='<p>not text, at all, never mind it</p>'</script><p>Some real text, here it stands, for all.</p>": "Some real text, here it stands, for all.",
+    "<article><p>&lt;b&gt; &#65;&#x42; &nbsp; x &unknown; y, long enough now</p><table><tr><td>c1<td>c2</table><ul><li>i1<li>i2</ul></article>": "<b> AB x &unknown; y, long enough now c1 c2 i1 i2",
+    "<main><header><h1>Own head</h1></header><p>The body of it, with a comma, goes here.</p></main><header>Site head</header><aside>aside</aside>": "Own head The body of it, with a comma, goes here.",
+    "<ul><li><a href=1>Link one, a long link text here</a><li><a href=2>Link two, a long link text here</a></ul>": "",
+    "<div hidden><p>Hidden text, long enough, with commas.</p></div><div style='display: none'>x</div><p>Seen text, long enough, with commas, yes.</p>": "Seen text, long enough, with commas, yes.",
+}
+
+
+def test_pages():
+    for page, text in PAGES.items():
+        assert H.main_text(page) == text, page
+
+
+def test_rows_and_deep_or_long_pages(spark):
+    deep = "<div>" * 20_000 + "<p>Deep text, long enough, with commas.</p>" + "</div>" * 20_000
+    long = "<article>" + "<p>Paragraph, with some words, again.</p>" * 20_000 + "</article>"
+    df = spark.createDataFrame([(1, None, "u"), (2, deep, None), (3, long, "u"), (3, long, "u"), (4, "<" * 5000 + ">" * 10, "u")], "page_id long, html string, url string")
+    out = H.extract(df.withColumn("_html", df.url).withColumn("n_chars", df.url)).orderBy("page_id").collect()
+    assert out[0].text == "" and out[0].n_chars == 0 and out[1].text == "Deep text, long enough, with commas." and out[2].n_chars == len(out[2].text) == 20_000 * 35 - 1 and out[3].text == out[2].text
+    assert H.extract(df.limit(0)).collect() == []
