@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,12 @@ def time_range(df: DataFrame, first: str | None = None, last: str | None = None)
     return df
 
 
+def preset(name: str, today: date) -> tuple[str | None, str | None]:
+    """First and last day of a named range; ``all`` and unknown names have neither."""
+    days = {"today": 0, "last 7 days": 6, "last 30 days": 29}.get(name)
+    return (None, None) if days is None else (str(today - timedelta(days=days)), str(today))
+
+
 def get_prompt(df: DataFrame, row_id: int) -> DataFrame:
     return df.where(F.col("id") == row_id)
 

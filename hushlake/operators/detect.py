@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hushlake.functions.rules import FOLD, SCHEMA
 
-#: A rule table beyond this is no catalogue any more; use detect_join.
+#: A rule table beyond this is no catalogue any more: rules of that number belong in several passes over the texts.
 MAX_RULES = 5_000
 MATCH = "ord int, rule_id string, rule_name string, severity string, mode string, start int, snippet string"
 SNIPPET = 20

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hushlake.operators.detect import let
 
-#: Tool results may nest; texts below this depth are left out.
+#: Tool results may nest; texts below this depth are left out, and deeper_nests counts the results that hold them.
 DEPTH = 3
 
 # Fixed values.
@@ -65,6 +65,15 @@ def content_texts(content: Column, depth: int = DEPTH) -> Column:
     )
 
 
+def deeper_nests(content: Column, depth: int = DEPTH) -> Column:
+    """How many tool results of a content field lie too deep for content_texts."""
+    blocks = F.coalesce(F.try_variant_get(content, "$", "array<variant>"), F.array().cast("array<variant>"))
+    results = F.filter(blocks, lambda b: _text(b, "$.type") == "tool_result")
+    if depth == 0:
+        return F.size(results)
+    return F.aggregate(results, F.lit(0), lambda n, b: n + deeper_nests(F.try_variant_get(b, "$.content", "variant"), depth - 1))
+
+
 def query_tag(text: Column) -> Column:
     return trimmed(F.regexp_extract(text, "(?s)<user_query>(.*?)</user_query>", 1))
 
@@ -96,7 +105,7 @@ def _after(items: Column, position: Column) -> Column:
 
 
 def parse_request(df: DataFrame, body_col: str = "body") -> DataFrame:
-    """``df`` with request: struct<model, streaming, session_id, prompts, full_body, user_query, background>.
+    """``df`` with request: struct<model, streaming, session_id, prompts, full_body, user_query, background, deeper_nests>.
 
     prompts are the texts of the current turn (after the last assistant message), full_body those of all turns, both
     cleaned. A null body, one that is no JSON object, or one with a used field of another type gives empty fields.
@@ -153,7 +162,7 @@ def parse_request(df: DataFrame, body_col: str = "body") -> DataFrame:
         _text(v, "$.model").alias("model"), F.coalesce(F.try_variant_get(v, "$.stream", "boolean"), F.lit(False)).alias("streaming"),
         _text(F.try_parse_json(user_id), "$.session_id").alias("session_id"), clean_texts(now).alias("prompts"), clean_texts(everything).alias("full_body"),
         F.when(F.size(queries) > 0, F.array_join(queries, "\n\n")).otherwise(_text(v, "$.prompt")).alias("user_query"),
-        F.coalesce(background, F.lit(False)).alias("background"),
+        F.coalesce(background, F.lit(False)).alias("background"), F.aggregate(m, F.lit(0), lambda n, x: n + deeper_nests(content(x))).alias("deeper_nests"),
     )
     # A struct out of a generator is computed once; out of a projection each of its fields would be, wherever it is used.
     return rows.select("*", F.explode(F.array(request)).alias("request")).drop("_v", "_m", "_i", "_t", "_ti", "_ta")

@@ -218,7 +218,7 @@ def parse_request(spark, sf_dir):
 def request_verdict(spark, sf_dir):
     rows = verdict.verdict(requests.parse_request(bodies(spark, sf_dir)), R.builtin_rules(spark))
     ids = F.array_join(F.transform("matches", lambda m: m.rule_id), ",")
-    return rows.select("conv_id", "status", ids.alias("rules"), "safe_text")
+    return rows.select("conv_id", "status", ids.alias("rules"))
 
 
 def responses(spark, sf_dir) -> DataFrame:
@@ -349,7 +349,31 @@ def _redact_sql(rows: list[tuple], text: str) -> str:
 
 
 _EMAIL, _GRAPH = BY_ID["email"][4], BY_ID["sourcegraph-access-token"][4]
-_PLAIN = [r for r in ROWS if r[1] in ("credit-card", "email", "sourcegraph-access-token")]
+
+
+def _fired_list(rows: list[tuple], text: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {rule_sql(r, text)} THEN {sql_text(r[1])} END" for r in rows) + "], lambda x: x IS NOT NULL)"
+
+
+_CLEANED = f"""(SELECT conv_id, turn, role, trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS t,
+  coalesce(turn > max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id), true) AS now FROM {TURNS} WHERE text IS NOT NULL)"""
+_PARSED = f"""(SELECT conv_id, 'm' || (conv_id % 3) AS model, conv_id % 2 = 0 AS streaming, 's' || conv_id AS session_id,
+  coalesce(string_agg(t, chr(10) || chr(10) ORDER BY turn) FILTER (now AND k_now = 1 AND t <> ''), '') AS now, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY turn) FILTER (k = 1 AND t <> ''), '') AS everything
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, now, t ORDER BY turn) AS k_now, row_number() OVER (PARTITION BY conv_id, t ORDER BY turn) AS k FROM {_CLEANED}) GROUP BY conv_id)"""
+_VERDICTS = f"""(WITH p AS MATERIALIZED {_PARSED},
+  v AS (SELECT conv_id, now, {_fired_list(BLOCK, 'now')} AS b, {_fired_list(TRACK, 'now')} AS t, CASE WHEN everything <> now THEN {_fired_list(BLOCK, 'everything')} ELSE [] END AS h FROM p),
+  w AS (SELECT conv_id, now, b, t, CASE WHEN len(b) = 0 THEN h ELSE [] END AS h FROM v)
+  SELECT conv_id, CASE WHEN len(b) > 0 THEN 'blocked' WHEN len(t) + len(h) > 0 THEN 'redacted' ELSE 'clean' END AS status, array_to_string(b || t || h, ',') AS rules
+  FROM w WHERE now <> '' OR len(b) + len(t) + len(h) > 0)"""
+_USAGE = f"SELECT conv_id, CAST(max(length(text)) AS INT) AS input_tokens, CAST(max(turn + 1) AS INT) AS output_tokens FROM {TURNS} WHERE role = 'assistant' AND text IS NOT NULL GROUP BY conv_id"
+_CARDS = f"list_filter(list_distinct(regexp_extract_all(text, pattern)), lambda m: {LUHN.format(m='m')})"
+#: The fold as recursion: each step applies the next rule to what the one before left.
+_FOLD = f"""WITH RECURSIVE rules(ord, pattern, replacement, validator) AS (VALUES {', '.join(f"({r[0]}, {sql_text(r[4])}, {sql_text(replacement_to_re2(r[8]))}, '{r[10]}')" for r in ROWS)}),
+  f(doc_id, k, text, fired) AS (SELECT doc_id, 0, text, 0 FROM documents UNION ALL
+    SELECT doc_id, k + 1, after, fired + CASE WHEN after <> text THEN 1 ELSE 0 END FROM (SELECT doc_id, k, text, fired, CASE WHEN validator = 'luhn'
+      THEN list_reduce(list_prepend(text, {_CARDS}), lambda t, m: regexp_replace(t, '\\b' || m || '\\b', '[REDACTED]', 'g'))
+      ELSE regexp_replace(text, pattern, replacement, 'g') END AS after FROM f JOIN rules ON ord = k))
+  SELECT doc_id, text AS redacted, CAST(fired AS INT) AS fired FROM f WHERE k = {len(ROWS)} AND fired > 0"""
 
 SQL: dict[str, str] = {
     "rule_hits": " UNION ALL ".join(f"SELECT doc_id, {sql_text(r[1])} AS rule_id, '{r[6]}' AS severity, '{r[7]}' AS mode FROM documents WHERE {rule_sql(r)}" for r in ROWS),
@@ -362,6 +386,11 @@ SQL: dict[str, str] = {
     "luhn_cards": f"SELECT doc_id, card FROM (SELECT doc_id, unnest(regexp_extract_all(text, {sql_text(BY_ID['credit-card'][4])})) AS card FROM documents) WHERE {LUHN.format(m='card')}",
     "redact_track": f"SELECT doc_id, {_redact_sql(TRACK, 'text')} AS redacted FROM documents WHERE " + " OR ".join(rule_sql(r) for r in TRACK),
     "redact_groups": f"SELECT doc_id, right({_redact_sql([BY_ID['generic-secret']], f'(text || {sql_text(PLANTED)})')}, 100) AS tail FROM documents",
+    "redact_all": _FOLD,
+    "parse_request": f"SELECT * FROM {_PARSED}",
+    "request_verdict": f"SELECT * FROM {_VERDICTS}",
+    "audit_of_requests": f"""SELECT status, count(*) AS n, CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS input_tokens, CAST(sum(coalesce(output_tokens, 0)) AS BIGINT) AS output_tokens
+      FROM {_VERDICTS} LEFT JOIN ({_USAGE}) USING (conv_id) GROUP BY status""",
     "scan_status": f"SELECT doc_id, CASE WHEN {' OR '.join(rule_sql(r) for r in BLOCK)} THEN 'blocked' WHEN {' OR '.join(rule_sql(r) for r in TRACK)} THEN 'redacted' ELSE 'clean' END AS status FROM documents",
     "severity_of_documents": "SELECT doc_id, CASE " + " ".join(
         f"WHEN {' OR '.join(rule_sql(r) for r in ROWS if r[6] == s)} THEN '{s}'" for s in ("high", "medium", "low")) + " ELSE '' END AS severity FROM documents",
@@ -383,7 +412,7 @@ SQL: dict[str, str] = {
       WHEN count(h.conv_id) FILTER (now OR mode = 'block') > 0 THEN 'redacted' ELSE 'clean' END AS status
       FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN hits h USING (conv_id) GROUP BY c.conv_id""",
     "response_text": f"SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM {TURNS} WHERE role = 'assistant' AND text IS NOT NULL GROUP BY conv_id",
-    "usage": f"SELECT conv_id, CAST(max(length(text)) AS INT) AS input_tokens, CAST(max(turn + 1) AS INT) AS output_tokens FROM {TURNS} WHERE role = 'assistant' AND text IS NOT NULL GROUP BY conv_id",
+    "usage": _USAGE,
     "text_leaves": f"SELECT conv_id, count(*) AS leaves, CAST(sum(length(text)) AS BIGINT) AS chars FROM {TURNS} WHERE text IS NOT NULL GROUP BY conv_id",
     "audit_stats": f"""SELECT count(*) AS total, {', '.join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ('clean', 'flagged', 'redacted', 'blocked', 'telemetry'))},
       CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens FROM {AUDIT}""",

@@ -32,7 +32,11 @@ def test_tool_results_nest(spark):
     inner = [{"type": "text", "text": "deep"}, {"type": "tool_result", "content": [{"type": "text", "text": "deeper"}]}]
     (r,) = parsed(spark, {"system": [{"type": "text", "text": "block system"}], "messages": [{"role": "user", "content": [
         {"type": "tool_result", "content": "plain"}, {"type": "tool_result", "content": inner}, {"type": "tool_use", "input": {"a": "skipped"}}, {"type": "text", "text": "ask"}]}]})
-    assert r.prompts == ["block system", "plain", "deep", "deeper", "ask"] and r.user_query == "ask"
+    assert r.prompts == ["block system", "plain", "deep", "deeper", "ask"] and r.user_query == "ask" and r.deeper_nests == 0
+    for _ in range(4):
+        inner = [{"type": "tool_result", "content": inner}]
+    (r,) = parsed(spark, {"messages": [{"role": "user", "content": inner}]})
+    assert r.prompts == [] and r.deeper_nests == 1
 
 
 def test_tagged_query(spark):

@@ -82,6 +82,13 @@ def test_audit_queries(spark):
     assert [r.n for r in lines] == list(range(1, 121)) and lines[0].line.startswith("[1] 2024-01-01 00:00 | h0 | clean\n100% Text_0")
 
 
+def test_presets():
+    from datetime import date
+
+    day = date(2024, 3, 10)
+    assert A.preset("today", day) == ("2024-03-10", "2024-03-10") and A.preset("last 7 days", day)[0] == "2024-03-04" and A.preset("last 30 days", day)[0] == "2024-02-10" and A.preset("all", day) == (None, None)
+
+
 def test_latency(spark):
     rows = [(n, datetime(2024, 1, 1, 0, n // 60, n % 60), "c", "m", n + 1) for n in range(200)] + [(500, datetime(2024, 1, 2), "c", "m", 0), (501, datetime(2024, 1, 2), "c", "", 5), (502, datetime(2024, 1, 2), "d", "m", 9)]
     df = spark.createDataFrame(rows, "id long, ts timestamp, client string, model string, duration_ms long")
