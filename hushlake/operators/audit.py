@@ -130,13 +130,17 @@ def short_session(session: Column) -> Column:
 def export_lines(df: DataFrame, text_col: str = "safe_text") -> DataFrame:
     """Rows (n, line) of an export in time order: ``[n] time | host | status`` and the text.
 
-    Numbers come from ranges of the order: rows are counted for each day, so no task numbers all of them.
+    A row's number is its place within its minute and the rows of all minutes before: rows are counted by minute and
+    day, so no task numbers more than a minute's rows, and the running sums see minutes and days only.
     """
-    day, order = F.to_date("ts"), [F.col("ts"), F.col("id")]
-    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = df.groupBy(day.alias("day")).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    rows = df.join(F.broadcast(days), day == F.col("day"))  # as many rows as days
-    n = F.row_number().over(Window.partitionBy("day").orderBy(*order)) + F.col("_before")
+    minute = F.date_trunc("minute", "ts")
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    minutes = df.groupBy(minute.alias("_minute")).agg(F.count("*").alias("_n")).withColumn("_day", F.to_date("_minute"))
+    days = minutes.groupBy("_day").agg(F.sum("_n").alias("_n")).select("_day", earlier(Window.orderBy("_day")).alias("_before_day"))
+    minutes = minutes.withColumn("_before", earlier(Window.partitionBy("_day").orderBy("_minute"))).join(days, "_day")
+    minutes = minutes.select("_minute", (F.col("_before") + F.col("_before_day")).alias("_before"))
+    rows = df.withColumn("_m", minute).join(minutes, F.col("_m") == F.col("_minute"))
+    n = F.row_number().over(Window.partitionBy("_minute").orderBy("ts", "id")) + F.col("_before")
     head = F.format_string("[%d] %s | %s | %s\n%s", n, F.date_format("ts", "yyyy-MM-dd HH:mm"), F.col("host"), F.col("status"), F.col(text_col))
     return rows.select(n.alias("n"), head.alias("line"))
 
