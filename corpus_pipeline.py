@@ -1,4 +1,8 @@
-"""The document pipeline: each stage calls one operator, and its decisions take effect on the documents that go on."""
+"""The document pipeline: each stage calls one operator, and its decisions take effect on the documents that go on.
+
+A doc_id names a document: rows that repeat one stay or go together, and rows without one leave at exact dedup. Null
+texts count as empty. Only the columns of ``documents`` go from stage to stage; others, whatever their names, are left out.
+"""
 
 from __future__ import annotations
 

@@ -18,15 +18,12 @@ BROADCAST_ROWS = 100_000
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is spark.checkpoint.dir where the session has it. A temporary folder is set only where it does not, as in tests.
+    It is spark.checkpoint.dir where the session has it. A temporary folder is set only where it has not, as in tests.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    sc = spark.sparkContext
+    shared, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+    return shared or sc.getCheckpointDir()
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -85,6 +82,7 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     and a join on the same key, so a hub costs no more than its own links, and a hub's partition can be split. Rows that
     are doubled, reversed, null or loops change nothing; no links give no rows.
     """
+    scratch_dir(links.sparkSession)  # for checkpoint()
     u, v, m = F.col("u"), F.col("v"), F.col("m")
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(u != v).distinct().checkpoint()
     state = None

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushlake.llm.blocks import UNIT, UNIT_SCHEMA, units
+from hushlake.llm.blocks import UNIT, units
 from hushlake.llm.common import connected_components, runs, written
 from hushlake.llm.jaccard import _spanning
 
