@@ -110,9 +110,14 @@ def redact(text: Column, rules: Column) -> Column:
     return let(F.coalesce(text, F.lit("")), of)
 
 
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with a column out of a generator: filters on it are not moved in front of it, where it would be computed again."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def detect(df: DataFrame, rules: DataFrame, text_col: str = "text", modes: Sequence[str] | None = None) -> DataFrame:
     """``df`` with matches (see inspect). Narrow: no shuffle."""
-    return df.withColumn("matches", inspect(F.col(text_col), rule_array(rules, modes)))
+    return once(df, inspect(F.col(text_col), rule_array(rules, modes)), "matches")
 
 
 def findings(df: DataFrame, rules: DataFrame, id_cols: Sequence[str], text_col: str = "text", modes: Sequence[str] | None = None) -> DataFrame:
@@ -124,14 +129,14 @@ def findings(df: DataFrame, rules: DataFrame, id_cols: Sequence[str], text_col:
 def redact_text(df: DataFrame, rules: DataFrame, text_col: str = "text", agent_mode: bool = False) -> DataFrame:
     """``df`` with redacted (by the track rules, or all in agent mode) and redactions (their matches)."""
     out = redact(F.col(text_col), rule_array(rules, None if agent_mode else ["track"]))
-    return df.withColumn("_r", out).withColumns({"redacted": F.col("_r.text"), "redactions": F.col("_r.matches")}).drop("_r")
+    return once(df, out, "_r").withColumns({"redacted": F.col("_r.text"), "redactions": F.col("_r.matches")}).drop("_r")
 
 
 def scan_text(df: DataFrame, rules: DataFrame, text_col: str = "text", agent_mode: bool = False) -> DataFrame:
     """Dry run: matches (block rules, none in agent mode, then redactions), status and redacted."""
-    block = F.lit(None) if agent_mode else inspect(F.col(text_col), rule_array(rules, ["block"]))
-    empty = F.from_json(F.lit("[]"), f"array<struct<{MATCH}>>")
-    rows = redact_text(df, rules, text_col, agent_mode).withColumn("_b", empty if agent_mode else block)
+    none = F.from_json(F.lit("[]"), f"array<struct<{MATCH}>>")
+    block = none if agent_mode else inspect(F.col(text_col), rule_array(rules, ["block"]))
+    rows = once(redact_text(df, rules, text_col, agent_mode), block, "_b")
     status = F.when(F.size("_b") > 0, "blocked").when(F.size("redactions") > 0, "redacted").otherwise("clean")
     return rows.withColumns({"matches": F.concat("_b", "redactions"), "status": status}).drop("_b", "redactions")
 
