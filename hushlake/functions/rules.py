@@ -13,7 +13,7 @@ from hushlake.functions.dialect import replacement_to_java, to_java
 REDACTED = "[REDACTED]"
 SCHEMA = (
     "ord int, rule_id string, rule_name string, description string, pattern_re2 string, pattern_java string, severity string, mode string, "
-    "replacement string, replacement_java string, validator string, keywords array<string>"
+    "replacement string, replacement_java string, validator string, keywords array<string>, guard string"
 )
 RANK = {"high": 3, "medium": 2, "low": 1}
 
@@ -21,8 +21,8 @@ RANK = {"high": 3, "medium": 2, "low": 1}
 FOLD = ("ſK", "sk")
 
 
-def rule_row(ord_: int, rule_id: str, name: str, description: str, pattern: str, severity: str, mode: str, replacement: str, validator: str, keywords: list[str]) -> tuple:
-    return (ord_, rule_id, name, description, pattern, to_java(pattern), severity, mode, replacement, replacement_to_java(replacement), validator, keywords)
+def rule_row(ord_: int, rule_id: str, name: str, description: str, pattern: str, severity: str, mode: str, replacement: str, validator: str, keywords: list[str], guard: str = "") -> tuple:
+    return (ord_, rule_id, name, description, pattern, to_java(pattern), severity, mode, replacement, replacement_to_java(replacement), validator, keywords, guard)
 
 
 #: Literals of the vendor rules whose words are patterns themselves.
@@ -36,13 +36,21 @@ _SPECIAL = {
 _GENERAL = {
     "http-basic-auth": ["authorization"], "http-bearer-token": ["bearer"],
     "generic-secret": ["key", "token", "bearer", "password", "passwd", "secret"], "db-connection-string": ["://", "jdbc:oracle:"], "email": ["@"],
+    "internal-ip": ["10.", "172.", "192.168."],
+}
+
+
+#: Cheap patterns (Java) that match wherever the rule does, for rules whose literals are common or none.
+GUARDS = {
+    "ssn": r"\d-\d\d-\d", "credit-card": r"\d{13}", "sourcegraph-access-token": r"[a-fA-F0-9]{40}", "vault-service-token": r"hvs\.|s\.[a-zA-Z0-9\u017F\u212A]{24}",
+    "airtable-personnal-access-token": r"pat[a-zA-Z0-9]{14}\.", "facebook-access-token": r"\d{15}[|%]",
 }
 
 
 @lru_cache(maxsize=1)
 def builtin_rows() -> list[tuple]:
     """All rules in evaluation order: the general ones, then the others by id."""
-    rows = [rule_row(0, i, n, f"{n} in a text", p, s, m, r, v, _GENERAL.get(i, [])) for i, n, s, m, r, v, p in rule_data.GENERAL]
+    rows = [rule_row(0, i, n, f"{n} in a text", p, s, m, r, v, _GENERAL.get(i, []), GUARDS.get(i, "")) for i, n, s, m, r, v, p in rule_data.GENERAL]
     others = []
     for rule_id, words, value in rule_data.VENDOR:
         others.append((rule_id, rule_data.vendor(words, value), _SPECIAL.get(rule_id) or [w.lower() for w in words.split("|")]))
@@ -51,7 +59,7 @@ def builtin_rows() -> list[tuple]:
     others += [(rule_id, pattern, keywords) for rule_id, keywords, pattern in rule_data.TOKEN]
     for rule_id, pattern, keywords in sorted(others):
         severity = "medium" if rule_id in rule_data.MEDIUM else "high"
-        rows.append(rule_row(0, rule_id, rule_id, f"A value of the form of a {rule_id.replace('-', ' ')}", pattern, severity, "block", REDACTED, "", keywords))
+        rows.append(rule_row(0, rule_id, rule_id, f"A value of the form of a {rule_id.replace('-', ' ')}", pattern, severity, "block", REDACTED, "", keywords, GUARDS.get(rule_id, "")))
     return [(n, *row[1:]) for n, row in enumerate(rows)]
 
 

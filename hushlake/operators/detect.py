@@ -7,7 +7,9 @@ run whose literals occur in it; a rule without a known literal always runs.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +23,16 @@ SNIPPET = 20
 _EDGE_LEFT, _EDGE_RIGHT = r"(?<!\w)", r"(?!\w)"
 
 
-def rule_array(rules: DataFrame, modes: Sequence[str] | None = None) -> Column:
-    """The rules of these modes (all without) as a constant array in order. The mode ``redact`` counts as ``track``."""
+@dataclass(frozen=True)
+class RuleSet:
+    """Rules as a constant array in order, and the distinct literals of all of them."""
+
+    array: Column
+    words: tuple[str, ...]
+
+
+def rule_array(rules: DataFrame, modes: Sequence[str] | None = None) -> RuleSet:
+    """The rules of these modes (all without). The mode ``redact`` counts as ``track``."""
     rows = rules.limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
@@ -30,7 +40,8 @@ def rule_array(rules: DataFrame, modes: Sequence[str] | None = None) -> Column:
     for r in chosen:
         r["mode"] = "track" if r["mode"] == "redact" else r["mode"]
     chosen = [r for r in chosen if modes is None or r["mode"] in modes]
-    return F.from_json(F.lit(json.dumps(chosen)), f"array<struct<{SCHEMA}>>")
+    words = sorted({k for r in chosen for k in r["keywords"]})
+    return RuleSet(F.from_json(F.lit(json.dumps(chosen)), f"array<struct<{SCHEMA}>>"), tuple(words))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -38,10 +49,27 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _may_match(rules: Column, text: Column) -> Column:
-    """The rules of which the text holds a literal."""
-    wanted = lambda folded: F.filter(rules, lambda r: (F.size(r.keywords) == 0) | F.exists(r.keywords, lambda k: F.contains(folded, k)))
-    return let(fold(text), wanted)
+def longest_word(words: Sequence[str]) -> str:
+    """A pattern (Java) for the longest of these words at a place: a tree of their letters, so that few are tried there."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    rest = [re.escape(c) + longest_word(tails) for c, tails in sorted(heads.items()) if c]
+    if not rest:
+        return ""
+    return f"(?:{'|'.join(rest)})" + ("?" if "" in heads else "")
+
+
+def _may_match(rules: RuleSet, text: Column) -> Column:
+    """The rules of which the text holds a literal, and whose guard it passes.
+
+    One pass finds the longest literal at each place of the folded text; a shorter one held there is its beginning.
+    """
+    found = lambda folded: F.array_distinct(F.regexp_extract_all(folded, F.lit(f"(?=({longest_word(rules.words)}))"), F.lit(1)))
+    held = lambda folded: found(folded) if rules.words else F.array().cast("array<string>")
+    has = lambda r, words: (F.size(r.keywords) == 0) | F.exists(r.keywords, lambda k: F.exists(words, lambda w: F.startswith(w, k)))
+    guarded = lambda r: (r.guard == "") | F.rlike(text, r.guard)
+    return let(let(fold(text), held), lambda words: F.filter(rules.array, lambda r: has(r, words) & guarded(r)))
 
 
 def fold(text: Column) -> Column:
@@ -78,7 +106,7 @@ def _as_match(text: Column, rule: Column, match: Column) -> Column:
     return let(_start(text, rule, match), lambda start: F.struct(*fields, start.alias("start"), _snippet(text, start, match).alias("snippet")))
 
 
-def inspect(text: Column, rules: Column) -> Column:
+def inspect(text: Column, rules: RuleSet) -> Column:
     """One match for each rule that fires, in the rules' order: array<struct<ord, rule_id, rule_name, severity, mode, start, snippet>>."""
 
     def of(clean: Column) -> Column:
@@ -88,7 +116,7 @@ def inspect(text: Column, rules: Column) -> Column:
     return let(F.coalesce(text, F.lit("")), of)
 
 
-def redact(text: Column, rules: Column) -> Column:
+def redact(text: Column, rules: RuleSet) -> Column:
     """struct<text, matches>: each rule in order sees what earlier rules left and replaces all its matches."""
 
     def replaced(now: Column, r: Column) -> Column:
