@@ -196,6 +196,7 @@ def telemetry_summary(body: Column) -> Column:
             F.struct(F.lit(p).alias("k"), F.try_variant_get(x, f"$.context.traits.{p}", "variant").alias("v")) for p in PII_KEYS
         ]), lambda kv: kv.k == k), F.lit(0)).v, "$") != "")
         fields = F.array_distinct(F.flatten(F.transform(items, held)))
+        # The form of the line.
         text = F.concat(F.lit("Events: "), F.array_join(events, ", "))
         return F.when(F.size(fields) > 0, F.concat(text, F.lit(" | PII fields: "), F.array_join(fields, ", "))).otherwise(text)
 

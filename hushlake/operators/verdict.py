@@ -65,6 +65,7 @@ def status_of(block: Column, track: Column, history: Column, background: Column,
 
 def withheld(matches: Column) -> Column:
     names = F.array_join(F.transform(matches, lambda m: m.rule_name), ", ")
+    # The form of the line.
     return F.concat(F.lit("[blocked — content withheld. Rules matched: "), names, F.lit("]"))
 
 
