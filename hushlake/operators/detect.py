@@ -57,6 +57,8 @@ def longest_word(words: Sequence[str]) -> str:
     rest = [re.escape(c) + longest_word(tails) for c, tails in sorted(heads.items()) if c]
     if not rest:
         return ""
+    if len(rest) == 1 and "" not in heads:
+        return rest[0]
     return f"(?:{'|'.join(rest)})" + ("?" if "" in heads else "")
 
 
