@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushlake.llm.common import fresh
+from hushlake.llm.common import BROADCAST_ROWS, fresh
 
 FEATURES, DIMS, FILTERS, WIDTHS = 1 << 15, 16, 12, (1, 2, 3)
 PAD = max(WIDTHS) - 1
@@ -25,6 +25,10 @@ REMEMBERED = 150_000
 #: Tokens that are convolved at a time; a longer document goes in slices that overlap by PAD, with the same maxima.
 TOKENS = 1 << 16
 
+#: Scores are counted in bins of their logit for the thresholds: PER_LOGIT bins in each unit, from -REACH to REACH.
+REACH, PER_LOGIT = 16, 32
+BINS = 2 * REACH * PER_LOGIT
+
 _words = re.compile(r"\w+").findall
 
 
@@ -209,15 +213,27 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 500, batch: int = 3
     return model
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
-    """The threshold with the highest weighted F1, halfway to the next score below it."""
-    order = np.argsort(-scores, kind="stable")
-    s, y, w = scores[order], labels[order], weights[order]
-    hits, named = np.cumsum(y * w), np.cumsum(w)
-    f1 = 2 * hits / (named + (y * w).sum())
-    last = np.append(s[1:] != s[:-1], True)
-    k = int(np.argmax(np.where(last, f1, -1)))
-    return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0)) / 2)
+def best_threshold(toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The threshold with the highest F1, from the weights of toxic and clean rows in each score bin: halfway, in logits,
+    between the lowest bin it takes and the next below it that has rows."""
+    hits, named = np.cumsum(toxic[::-1])[::-1], np.cumsum((toxic + clean)[::-1])[::-1]
+    used = np.flatnonzero(toxic + clean > 0)[::-1]
+    k = int(np.argmax(2 * hits[used] / (named[used] + toxic.sum())))
+    low = used[k + 1] + 1 if k + 1 < len(used) else used[k]
+    return float(1 / (1 + np.exp(REACH - (used[k] + low) / 2 / PER_LOGIT)))
+
+
+def thresholds(counts: dict[str, np.ndarray], least: float) -> tuple[float, dict[str, float]]:
+    """The threshold of all rows and of each language, from the weights of clean and toxic rows (2 x BINS) by language.
+
+    A language's own rows are joined by as many rows of all languages as hold ``least`` toxic ones (``least`` is in the
+    unit of the weights), so a language with few toxic rows stays near the threshold of all.
+    """
+    every = sum(counts.values(), np.zeros((2, BINS)))
+    if not every.sum(axis=1).all():
+        return 0.5, {}
+    prior = every * (least / every[1].sum())
+    return best_threshold(every[1], every[0]), {k: best_threshold(c[1] + prior[1], c[0] + prior[0]) for k, c in sorted(counts.items())}
 
 
 @dataclass
@@ -227,48 +243,73 @@ class Toxicity:
     by_lang: dict[str, float]
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: Column | None = None, per_class: int = 2000, calibrate: float = 0.2, least: int = 25) -> Toxicity:
-    """Learn from at most ``per_class`` toxic and as many clean labelled rows, drawn by a hash of doc_id.
-
-    A share ``calibrate`` of them sets the thresholds and is not trained on: one threshold for all, and one for each
-    language with ``least`` toxic rows or more. Rows of the clean class count by how many of them the draw stands for,
-    and the score's intercept is moved to the labelled rows' own rate. Labels other than 0 and 1 and null texts or ids are left out.
-    Without labels of both classes every score is their rate (0 without any).
-    """
+def labelled(labels: DataFrame, fit_rows: Column | None) -> DataFrame:
     rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     if fit_rows is not None:
         rows = rows.where(fit_rows)
-    rows = rows.select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    return rows.select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+
+
+def learn(docs: DataFrame, labels: DataFrame, fit_rows: Column | None = None, per_class: int = 2000, calibrate: float = 0.2) -> tuple[Model, DataFrame | None, int]:
+    """The model, the ids of the rows it was trained on (None without labels of both classes) and the number of labels.
+
+    It learns from at most ``per_class`` toxic and as many clean labelled rows, drawn by a hash of doc_id, but for a
+    share ``calibrate`` of them. The score's intercept is moved to the labelled rows' own rate. Labels other than 0 and
+    1 and null texts or ids are left out. Without labels of both classes every score is their rate (0 without any).
+    """
+    rows = labelled(labels, fit_rows)
     totals = dict(rows.groupBy("toxic").count().collect())
+    n_labels = sum(totals.values())
     draw = F.xxhash64("doc_id", F.lit(8))
     chosen = [rows.where(F.col("toxic") == t).orderBy(draw, "doc_id").limit(per_class) for t in (0, 1)]
     sample = chosen[0].unionByName(chosen[1])  # at most 2 * per_class rows
-    found = docs.select("doc_id", "text", "lang").where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").toPandas()
+    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").toPandas()
     found = found.sort_values(["doc_id", "text"]).drop_duplicates(["doc_id", "text"]).reset_index(drop=True)
     y = found["toxic"].to_numpy(float)
     if not 0 < y.sum() < len(y):
-        rate = totals.get(1, 0) / max(1, sum(totals.values()))
+        rate = totals.get(1, 0) / max(1, n_labels)
         logit = np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
         empty = Model(np.zeros((FEATURES, DIMS), np.float32), [np.zeros((w, DIMS, FILTERS)) for w in WIDTHS], np.zeros(POOLED), np.zeros(POOLED), float(logit))
-        return Toxicity(empty, 0.5, {})
+        return empty, None, n_labels
     drawn = {t: min(per_class, totals[t]) for t in (0, 1)}
     held = np.array([zlib.crc32(f"fold{i}".encode()) % 1000 < 1000 * calibrate for i in found["doc_id"]])
     if len(np.unique(y[~held])) < 2:
         held[:] = False
-    texts = found["text"].tolist()
-    model = train([t for t, h in zip(texts, held, strict=True) if not h], y[~held])
+    model = train([t for t, h in zip(found["text"], held, strict=True) if not h], y[~held])
     model.shift += float(np.log(totals[1] / drawn[1]) - np.log(totals[0] / drawn[0]))
-    if len(np.unique(y[held])) < 2:
+    ids = [(i,) for i in dict.fromkeys(found["doc_id"][~held].tolist())]
+    return model, docs.sparkSession.createDataFrame(ids, docs.select("doc_id").schema), n_labels
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: Column | None = None, per_class: int = 2000, calibrate: float = 0.2, least: int = 25) -> Toxicity:
+    """The model of ``learn``, with a threshold for all rows and one for each language that has labelled rows.
+
+    Thresholds come from every labelled row that was not trained on: Spark scores them and counts them by language,
+    class and score bin. Rows of a class count by how many labelled rows of the class each of them stands for. A
+    language with few toxic rows is drawn towards the threshold of all, as if ``least`` toxic rows of all came to its own.
+    """
+    model, trained, n_labels = learn(docs, labels, fit_rows, per_class, calibrate)
+    if trained is None:
         return Toxicity(model, 0.5, {})
-    s = np.concatenate([Scorer(model).scores([t for t, h in zip(texts, held, strict=True) if h])])
-    w = np.where(y[held] == 1, totals[1] / drawn[1], totals[0] / drawn[0])
-    lang = found["lang"].fillna("").to_numpy()[held]
-    by_lang = {}
-    for k in np.unique(lang).tolist():
-        of = lang == k
-        if y[held][of].sum() >= least and (y[held][of] == 0).any():
-            by_lang[k] = best_threshold(s[of], y[held][of], w[of])
-    return Toxicity(model, best_threshold(s, y[held], w), by_lang)
+    rows = labelled(labels, fit_rows)
+    rows = rows.join(F.broadcast(trained.withColumn("trained", F.lit(True))), "doc_id", "left")  # at most 2 * per_class ids
+    rows = docs.select("doc_id", "text", "lang").where("text IS NOT NULL").join(F.broadcast(rows) if n_labels <= BROADCAST_ROWS else rows, "doc_id")
+    # A row that was trained on is not scored: its text is emptied and its bin is null.
+    seen = F.coalesce("trained", F.lit(False))
+    rows = rows.select("toxic", F.coalesce("lang", F.lit("")).alias("lang"), seen.alias("seen"), F.when(seen, F.lit("")).otherwise(F.col("text")).alias("text"))
+    rows = score(rows, Toxicity(model, 0.5, {}))
+    place = F.floor((F.log(F.col("tox_score") / (1 - F.col("tox_score"))) + REACH) * PER_LOGIT)
+    place = F.when(~F.col("seen"), F.greatest(F.lit(0), F.least(F.lit(BINS - 1), place)).cast("int"))
+    found = rows.groupBy("lang", "toxic", place.alias("bin")).count().collect()
+    counts: dict[str, np.ndarray] = {}
+    every, fresh_rows = np.zeros(2), np.zeros(2)
+    for lang, toxic, at, n in found:
+        every[toxic] += n
+        if at is not None:
+            fresh_rows[toxic] += n
+            counts.setdefault(lang, np.zeros((2, BINS)))[toxic, at] += n
+    weight = every / np.maximum(fresh_rows, 1)
+    return Toxicity(model, *thresholds({k: c * weight[:, None] for k, c in counts.items()}, least * weight[1]))
 
 
 def score(docs: DataFrame, fitted: Toxicity) -> DataFrame:
@@ -298,6 +339,6 @@ def score(docs: DataFrame, fitted: Toxicity) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    fitted = fit(docs, labels, fit_rows=fold != 0)
-    scored = score(docs.select("doc_id", "text", "lang"), fitted)
+    model, *_ = learn(docs, labels, fit_rows=fold != 0)
+    scored = score(docs.select("doc_id", "text", "lang"), Toxicity(model, 0.5, {}))
     return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"))

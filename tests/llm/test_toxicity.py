@@ -75,3 +75,34 @@ def test_query_on_held_out_rows(spark):
     assert len(rows) == 10_000 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for r in rows)
     held = [r for r in rows if r.held_out and r.doc_id in labels]
     assert np.mean([r.predicted == labels[r.doc_id] for r in held]) > 0.95
+
+
+def test_thresholds_cover_all_rows_that_were_not_trained_on(spark):
+    langs = {1: "de", 2: "de", 3: "fr", 7: None}
+    rows = [(i, t, langs.get(i % 50, "en"), y) for i, t, _, y in make(2000, 6)]
+    docs = spark.createDataFrame([(i, t, lang) for i, t, lang, _ in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, *_, y in rows], "doc_id long, toxic int")
+    fitted = T.fit(docs, labels, per_class=100)
+    assert set(fitted.by_lang) == {lang or "" for *_, lang, _ in rows}  # also those with few toxic rows
+
+    trained = {r.doc_id for r in T.learn(docs, labels, per_class=100)[1].collect()}
+    rest = [r for r in rows if r[0] not in trained]
+    assert len(trained) <= 200 and len(rest) >= 1800
+    scores, truth = T.Scorer(fitted.model).scores([r[1] for r in rest]), np.array([r[3] for r in rest])
+    weight = np.array([sum(r[3] == y for r in rows) / np.sum(truth == y) for y in (0, 1)])[truth]
+
+    def f1(limit):
+        named = scores >= limit
+        return 2 * weight[named & (truth == 1)].sum() / (weight[named].sum() + weight[truth == 1].sum())
+
+    assert f1(fitted.threshold) > max(map(f1, scores)) - 0.005
+
+
+def test_language_thresholds_go_from_that_of_all_to_their_own():
+    for size, low, high in ((1, 601, 900), (100_000, 51, 300)):
+        counts = {k: np.zeros((2, T.BINS)) for k in ("en", "fr")}
+        counts["en"][0, 600], counts["en"][1, 900] = 9000, 1000
+        counts["fr"][0, 50], counts["fr"][1, 300] = 9 * size, size  # a toxic row of fr scores below clean rows of en
+        limit, own = T.thresholds(counts, 25)
+        edges = [1 / (1 + np.exp(T.REACH - k / T.PER_LOGIT)) for k in (low, high)]
+        assert set(own) == {"en", "fr"} and edges[0] < own["fr"] < edges[1]
