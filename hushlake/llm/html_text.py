@@ -27,53 +27,85 @@ HEADING = set("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of the key closes an open element of the values, up to the barrier.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIER = {"ul", "ol", "dl", "table", "div", "article", "section", "body", "menu", "select"}
-#: Words of a class or id that mark what is around the main text.
+#: Words of a class or id that mark what is not the article: a node with one goes with all that is below it.
+APART = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|comments?|commentlist|consent|cookies?|disqus|newsletter|popup|promo\w*|related|replies|reply|respond|shoutbox|"
+    r"sponsor\w*|subscribe|teaser)(?=$|[\s_-])", re.I,
+)
+#: Words that mark what is around an article, or a layout that has such things: what they mark may hold the article.
 AROUND = re.compile(
-    r"(?:^|[\s_-])(?<!has-)(?<!with-)(?<!no-)(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|footnav|header|masthead|menu|modal|nav|navbar|"
-    r"navigation|newsletter|notice|notification|pager|pagination|popup|promo\w*|related|replies|reply|respond|share|sharing|shoutbox|sidebar|social|sponsor\w*|subscribe|"
-    r"toolbar|widget)(?=$|[\s_-])", re.I,
+    r"(?:^|[\s_-])(?<!has-)(?<!with-)(?<!no-)(?:banner|breadcrumbs?|disclaimer|footer|footnav|header|masthead|menu|modal|nav|navbar|navigation|notice|notification|pager|"
+    r"pagination|share|sharing|sidebar|social|toolbar|widget)(?=$|[\s_-])", re.I,
 )
-#: The same for articles, which may name the layout around them in their class.
-APART = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|comments?|promo\w*|related|replies|reply|sponsor\w*|teaser)(?=$|[\s_-])", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar"}
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=\s|/|$)""", re.I)
+#: What a container around the article must score less than, as a part of one in a marked node, for that node to count.
+RESCUE = 1 / 3
+
+#: A tag ends at the first > outside quoted values; a quote that is never closed is an ordinary character.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)""", re.S)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+))?(?=\s|/|$)""", re.I)
 SPACE = re.compile(r"\s+")
 
 
+#: Whether a node is part of the main text: FREE ones may be, HELD ones only if the text is found in them, GONE ones never.
+FREE, HELD, GONE = 0, 1, 2
+
+
 @dataclass(eq=False)
 class Node:
     tag: str
     parent: Node | None = None
-    around: bool = False
+    mark: int = FREE
+    inside: bool = False
     children: list[Node | str] = field(default_factory=list)
     score: float = 0.0
     chars: int = 0
     link_chars: int = 0
 
 
-def _is_around(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element holds something around the main text. A header counts unless it is an article's own."""
+def _mark(tag: str, attributes: str, inside: bool) -> int:
+    """What a node's tag and attributes say. A header is apart unless it is an article's own."""
     if tag in SKIP or (tag == "header" and not inside):
-        return True
-    if tag == "main":
-        return False
-    words = APART if tag == "article" else AROUND
+        return GONE
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
-    hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)
-    return bool(hidden or found.get("role", "").lower() in ROLES or words.search(found.get("class", "")) or words.search(found.get("id", "")))
+    if not found:
+        return FREE
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
+        return GONE
+    names = (found.get("class", ""), found.get("id", ""))
+    if tag != "main" and (found.get("role", "").lower() in ROLES or any(map(APART.search, names))):
+        return GONE
+    # Articles may name the layout around them in their class.
+    return HELD if tag not in ("main", "article") and any(map(AROUND.search, names)) else FREE
 
 
-def parse(page: str) -> Node:
-    """A tree of the page; end tags that fit nothing are left out, open elements end with their parent."""
-    root = Node("html")
-    at, node = 0, root
+class _Open:
+    """The elements that are open, and where those of each tag are among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, place: int) -> None:
+        """Close the element at ``place`` and all within it."""
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().tag].pop()
 
-    def close(target: Node) -> Node:
-        return target.parent or root
 
+def parse(page: str) -> Node:
+    """A tree of the page; end tags that fit nothing are left out, open elements end with their parent. Each tag costs
+    the same, however many are open or do not fit."""
+    root = Node("html")
+    open_, at, endless = _Open(root), 0, set()
     while at < len(page):
+        node = open_.nodes[-1]
         m = TAG.search(page, at)
         if not m:
             node.children.append(page[at:])
@@ -85,39 +117,38 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = close(up)
+            place = open_.last([tag])
+            if place:
+                open_.close(place)
             elif tag == "p":
                 node.children.append(Node("p", node))
             continue
         if tag in ("html", "body"):
             continue
         if tag in BLOCK:
-            # a block ends an open paragraph
-            up = node
-            while up is not root and up.tag not in BLOCK:
-                up = up.parent
-            if up.tag == "p":
-                node = close(up)
+            paragraph = open_.last(["p"])
+            if paragraph:  # a block ends an open paragraph
+                open_.close(paragraph)
         if tag in CLOSES:
-            up = node
-            while up is not root and up.tag not in BARRIER and up.tag not in CLOSES[tag]:
-                up = up.parent
-            if up.tag in CLOSES[tag]:
-                node = close(up)
-        inside = any(x.tag in ("article", "main") for x in _up(node)) if tag == "header" else False
-        new = Node(tag, node, _is_around(tag, m[3] or "", inside))
+            place = open_.last(CLOSES[tag])
+            if place > open_.last(BARRIER):
+                open_.close(place)
+        node = open_.nodes[-1]
+        inside = node.inside or node.tag in ("article", "main")
+        new = Node(tag, node, _mark(tag, m[3] or "", inside), inside)
         node.children.append(new)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else (len(page) if tag in ("script", "style") else at)
-            if not end and tag not in ("script", "style"):
-                node = new
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if end:
+                at = end.end()
+                continue
+            endless.add(tag)
+            if tag in ("script", "style"):
+                at = len(page)
+            else:
+                open_.push(new)
         elif tag not in VOID and not (m[3] or "").endswith("/"):
-            node = new
+            open_.push(new)
     return root
 
 
@@ -127,12 +158,12 @@ def _up(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def _walk(root: Node) -> list[Node]:
-    """Nodes that are not around the main text, parents first."""
+def _walk(root: Node, most: int = FREE) -> list[Node]:
+    """Nodes that may be part of the main text, parents first."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
-        if node.around:
+        if node.mark > most:
             continue
         out.append(node)
         stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
@@ -174,7 +205,7 @@ def blocks(top: list[Node]) -> list[str]:
             held.append(html.unescape(item))
         elif item.tag == "br":
             held.append(" ")
-        elif not item.around:
+        elif item.mark == FREE:
             own = item.tag in BLOCK
             if own:
                 flush()
@@ -184,39 +215,95 @@ def blocks(top: list[Node]) -> list[str]:
     return out
 
 
+def _score(nodes: list[Node]) -> list[Node]:
+    """Points of paragraphs go to what holds them; the nodes that got some."""
+    scored: dict[int, Node] = {}
+    for node in nodes:
+        node.score = 0.0
+    for node in nodes:
+        if node.tag not in PARAGRAPH and not (node.tag in BLOCK and any(isinstance(c, str) and c.strip() for c in node.children)):
+            continue
+        if node.chars < 25 or node.tag in HEADING:
+            continue
+        commas = sum(c.count(",") for c in node.children if isinstance(c, str))
+        points, share = 1 + commas + min(node.chars // 100, 3), 1.0
+        for depth, x in enumerate(_up(node.parent if node.tag in PARAGRAPH else node)):
+            x.score += points * share
+            scored[id(x)] = x
+            share = 0.5 if depth == 0 else share / 3
+            if depth == 3:
+                break
+    return [n for n in nodes if id(n) in scored]
+
+
+def _worth(node: Node) -> float:
+    return node.score * (1 - _density(node))
+
+
+def free_held(root: Node) -> None:
+    """Decide on nodes that name a layout: what holds the page's article or main elements, or the best container by far, stays."""
+    nodes = _walk(root, HELD)
+    if all(n.mark == FREE for n in nodes):
+        return
+    if not any(n.tag in ("article", "main") for n in _walk(root)):
+        seen: set[int] = set()
+        for node in nodes:
+            if node.tag in ("article", "main") and not node.inside:
+                for up in _up(node.parent):
+                    if id(up) in seen:
+                        break
+                    seen.add(id(up))
+                    up.mark = FREE
+    held = [n for n in nodes if n.mark == HELD]
+    if not held:
+        return
+    measure(nodes)
+    scored = _score(nodes)
+    below, stack = set(), list(held)
+    while stack:
+        node = stack.pop()
+        if id(node) not in below:
+            below.add(id(node))
+            stack.extend(c for c in node.children if isinstance(c, Node))
+    in_held = [n for n in scored if id(n) in below]
+    best = max(in_held, key=_worth, default=None)
+    if best is None or not _worth(best):
+        return
+    # Points that came up from marked nodes do not count for what is around them.
+    free = [n for n in nodes if id(n) not in below]
+    for n in nodes:
+        n.chars = n.link_chars = 0
+    most = _worth(best)
+    measure(_walk(root))
+    _score(_walk(root))
+    if max(map(_worth, free), default=0.0) < RESCUE * most:
+        for up in _up(best):
+            up.mark = FREE
+
+
 def main_text(page: str) -> str:
     """The main text of a page.
 
     Each paragraph of 25 characters or more scores 1, its commas and one for each 100 characters up to 3; its parent
     gets all of that, the one above half, those above less. A container's score is cut by its link density, and the
     best one holds the text. Siblings stay too if they score a fifth of it, or are paragraphs or headings with few
-    links. A best container inside an article or main element stands for that whole element. A page without such a
-    paragraph gives its articles, or else all that is not menu, header, footer and so on, unless most of it is links.
+    links. A best container inside an article or main element stands for that whole element. Menus, forms, scripts,
+    hidden nodes, adverts, comments and so on never count. A node whose class or id names a layout (sidebar, header,
+    share ..) counts where the page's only article or main elements are in it, or where the best container by far is. A page without
+    a paragraph that scores gives its articles, or else all that is left, unless most of it is links.
     """
     root = parse(page)
+    free_held(root)
     nodes = _walk(root)
-    measure(nodes)
-    candidates = set()
     for node in nodes:
-        if node.tag not in PARAGRAPH and not (node.tag in BLOCK and any(isinstance(c, str) and c.strip() for c in node.children)):
-            continue
-        text = "".join(c for c in node.children if isinstance(c, str))
-        if node.chars < 25 or node.tag in HEADING:
-            continue
-        points = 1 + text.count(",") + min(node.chars // 100, 3)
-        share, up = 1.0, node.parent if node.tag in PARAGRAPH else node
-        for depth, x in enumerate(_up(up)):
-            x.score += points * share
-            candidates.add(id(x))
-            share = 0.5 if depth == 0 else share / 3
-            if depth == 3:
-                break
-    scored = [n for n in nodes if id(n) in candidates]
+        node.chars = node.link_chars = 0
+    measure(nodes)
+    scored = _score(nodes)
     if not scored:
-        marked = [n for n in nodes if n.tag in ("article", "main") and n.chars and not any(x.tag in ("article", "main") for x in _up(n.parent))]
+        marked = [n for n in nodes if n.tag in ("article", "main") and n.chars and not n.inside]
         return " ".join(blocks(marked or [root])) if _density(root) < 0.5 or marked else ""
-    best = max(scored, key=lambda n: n.score * (1 - _density(n)))
-    if not best.score * (1 - _density(best)):
+    best = max(scored, key=_worth)
+    if not _worth(best):
         return ""  # nothing but links
     for up in _up(best):
         if up.tag in ("article", "main"):
@@ -224,15 +311,14 @@ def main_text(page: str) -> str:
             best = up
     if best.parent is None:
         return " ".join(blocks([best]))
-    limit = 0.2 * best.score * (1 - _density(best))
+    limit = 0.2 * _worth(best)
     keep: list[Node | str] = []
     for c in best.parent.children:
-        if isinstance(c, str) or c is best or c.around:
+        if isinstance(c, str) or c is best or c.mark != FREE:
             if c is best:
                 keep.append(c)
             continue
-        good = c.score * (1 - _density(c)) >= max(limit, 1e-9)
-        if good or (c.tag in PARAGRAPH and c.chars and _density(c) < 0.25):
+        if _worth(c) >= max(limit, 1e-9) or (c.tag in PARAGRAPH and c.chars and _density(c) < 0.25):
             keep.append(c)
     return " ".join(blocks(keep))
 

@@ -1,3 +1,7 @@
+import time
+import zlib
+from html.parser import HTMLParser
+
 import numpy as np
 
 from hushlake.llm import html_text as H
@@ -18,17 +22,39 @@ def test_hosts_paths_and_rules(spark):
     assert U.filter_urls(df.limit(0)).collect() == [] and len(U.filter_urls(df, rules=[]).collect()) == len(urls)
 
 
-def test_regression_on_unseen_hosts():
+def test_regression():
     w = U.fit()
+    assert all((U.probability(w, h, q) >= 0.5) == bool(y) for h, q, y in U.LABELLED)
+    # rows held out of the fit: words that other rows share carry over, and a host unlike all of them is allowed
+    assert U.held_out_accuracy(prior=0.5) > 0.65
+    assert U.probability(w, "zyxwv.test", "/q") < 0.5 and U.probability(w, "", "") < 0.5
+
 
-    def p(host, path="/en/5"):
-        bins = U.grams(host, path)
-        return 1 / (1 + np.exp(-(w[bins].sum() / np.sqrt(len(bins)) + w[-1])))
+def test_query_against_a_plain_loop(spark, sf_dir):
+    w = U.fit()
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        url = r.url or ""
+        rest = url[url.index("://") + 3 :] if "://" in url else ""
+        cut = next((k for k, c in enumerate(rest) if c in "/?#"), len(rest))
+        host = "".join(c.lower() if c in upper else c for c in rest[:cut])
+        path = rest[cut:].split("?")[0].split("#")[0]
+        fits = [(len(h + p), v, h + p) for v, h, p in U.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        _, verdict, rule = max(fits, default=(0, None, None), key=lambda x: x[0])
+        z = w[-1]
+        grams = {(m, t[k : k + n]) for m, t in (("h", f"^{host}$"), ("p", f"^{path}$")) for n in (3, 4, 5) for k in range(len(t) - n + 1)}
+        bins = {zlib.crc32((m + g).encode()) % U.BINS for m, g in grams}
+        z += sum(w[b] for b in bins) / max(1, len(bins)) ** 0.5
+        want[r.page_id] = (host, path, rule, verdict or ("block" if z >= 0 else "allow"))
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U.op5_url_filter(spark, sf_dir).collect()} == want
 
-    table = [(p(h, q) >= 0.5) == bool(y) for h, q, y in U.LABELLED]
-    assert all(table)
-    assert all(p(h) >= 0.5 for h in ("cheap-pills-now.example.org", "mega-casino.example.com", "adult-videos.example.net", "free-bets-today.example.com"))
-    assert all(p(h) < 0.5 for h in ("thenatre.example.org", "blog.gardens.example.com", "www.history.example.net", "m.ononther.example.com"))
+
+def test_table_is_a_parameter(spark):
+    df = spark.createDataFrame([(1, "http://abcde.test/x"), (2, "http://vwxyz.test/x")], "page_id int, url string")
+    table = [("abcde.test", "/x", 1), ("vwxyz.test", "/x", 0)]
+    out = U.filter_urls(df, rules=[], weights=U.fit(table, prior=0.5)).orderBy("page_id").collect()
+    assert [r.verdict for r in out] == ["block", "allow"]
 
 
 PAGES = {
@@ -43,6 +69,12 @@ PAGES = {
     "<article><p>&lt;b&gt; &#65;&#x42; &nbsp; x &unknown; y, long enough now</p><table><tr><td>c1<td>c2</table><ul><li>i1<li>i2</ul></article>": "<b> AB x &unknown; y, long enough now c1 c2 i1 i2",
     "<main><header><h1>Own head</h1></header><p>The body of it, with a comma, goes here.</p></main><header>Site head</header><aside>aside</aside>": "Own head The body of it, with a comma, goes here.",
     "<ul><li><a href=1>Link one, a long link text here</a><li><a href=2>Link two, a long link text here</a></ul>": "",
+    '<div class="page sidebar-right"><article><p>The text in a layout, with commas, and long.</p></article><div class="sidebar"><p>Aside, quite long, but not it.</p></div></div>': "The text in a layout, with commas, and long.",
+    '<div id="main" class="layout nav-top"><p>The text in a layout, with commas, and long.</p></div>': "The text in a layout, with commas, and long.",
+    '<div class="share-price"><p>The text in a layout, with commas, and long.</p></div><p>Short one</p>': "The text in a layout, with commas, and long. Short one",
+    '<div class="sidebar"><article><p>Another post, which is aside, and long.</p></article></div><article><p>The text itself, with commas, and long.</p></article>': "The text itself, with commas, and long.",
+    "<a title=it's href=x>Link</a><p>It's a text, long enough to be seen here</p>": "Link It's a text, long enough to be seen here",
+    '<p title="never closed>Text one, that is long enough, all of it</p><p data-id=nav>Text two, long enough, too, it is.</p>': "Text one, that is long enough, all of it Text two, long enough, too, it is.",
     "<div hidden><p>Hidden text, long enough, with commas.</p></div><div style='display: none'>x</div><p>Seen text, long enough, with commas, yes.</p>": "Seen text, long enough, with commas, yes.",
 }
 
@@ -52,6 +84,135 @@ def test_pages():
         assert H.main_text(page) == text, page
 
 
+def test_time_follows_the_length():
+    """Pages of half a megabyte of tags that do not fit, quotes that do not close and deep nests."""
+    n = 50_000
+    pages = [
+        "<div>" * n + "</b>" * n, "<a " * n + '"', "<title>" * n, "<p>" + "<b>" * n + "<div></div>" * n, "<li><div>" + "<b>" * n + "<li></li>" * n, "<article>" * n + "x",
+        '<a ="' * n, "<div " + "id " * n + ">x", "<div id" + " " * n + ">x", "<div class=sidebar>" * n + "<p>Some text, long enough, for all of us</p>", "<div class=sidebar><article>" * n,
+        "<em" * n, "<!--" * n, "<" * n,
+    ]
+    for page in pages:
+        began = time.process_time()
+        H.main_text(page)
+        assert time.process_time() - began < 8, page[:40]
+
+
+def plain_main_text(page):
+    """The method once more, over nested lists from Python's own parser, for pages whose markup is sound."""
+    root, stack = {"tag": "html", "attrs": {}, "kids": [], "up": None}, []
+    stack.append(root)
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            node = {"tag": tag, "attrs": dict(attrs), "kids": [], "up": stack[-1]}
+            stack[-1]["kids"].append(node)
+            if tag not in H.VOID:
+                stack.append(node)
+
+        def handle_endtag(self, tag):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k]["tag"] == tag:
+                    del stack[k:]
+                    break
+
+        def handle_data(self, data):
+            stack[-1]["kids"].append(data)
+
+    reader = Reader(convert_charrefs=True)
+    reader.feed(page)
+    reader.close()
+
+    def apart(node):
+        words = f"{node['attrs'].get('class') or ''} {node['attrs'].get('id') or ''}"
+        within, up = False, node["up"]
+        while up:
+            within, up = within or up["tag"] in ("article", "main"), up["up"]
+        if node["tag"] in H.SKIP or (node["tag"] == "header" and not within) or "hidden" in node["attrs"] or "none" in (node["attrs"].get("style") or ""):
+            return True
+        if node["tag"] != "main" and (node["attrs"].get("role") in H.ROLES or H.APART.search(words)):
+            return True
+        return node["tag"] not in ("main", "article") and bool(H.AROUND.search(words))
+
+    def prune(node):
+        node["kids"] = [k for k in node["kids"] if isinstance(k, str) or not apart(k)]
+        for k in node["kids"]:
+            if not isinstance(k, str):
+                prune(k)
+
+    def squeeze(text):
+        return " ".join(text.split())
+
+    def measure(node, points):
+        own, links = 0, 0
+        for k in node["kids"]:
+            if isinstance(k, str):
+                own += len(squeeze(k))
+            else:
+                n, m = measure(k, points)
+                own, links = own + n, links + m
+        node["chars"], node["links"], node["score"] = own, own if node["tag"] == "a" else links, 0.0
+        text = "".join(k for k in node["kids"] if isinstance(k, str))
+        if own >= 25 and node["tag"] not in H.HEADING and (node["tag"] in H.PARAGRAPH or (node["tag"] in H.BLOCK and text.strip())):
+            points.append((node, 1 + text.count(",") + min(own // 100, 3)))
+        return node["chars"], node["links"]
+
+    def texts(node, out):
+        block = node["tag"] in H.BLOCK
+        out.append("\0" if block else "")
+        for k in node["kids"]:
+            if isinstance(k, str):
+                out.append(k)
+            elif k["tag"] == "br":
+                out.append(" ")
+            else:
+                texts(k, out)
+        out.append("\0" if block else "")
+        return out
+
+    prune(root)
+    points = []
+    measure(root, points)
+    for node, n in points:
+        up, share = node["up"] if node["tag"] in H.PARAGRAPH else node, 1.0
+        for depth in range(4):
+            if up is None:
+                break
+            up["score"] += n * share
+            up, share = up["up"], 0.5 if depth == 0 else share / 3
+    worth = lambda x: x["score"] * (1 - (x["links"] / x["chars"] if x["chars"] else 0))
+    every, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        every.append(node)
+        todo.extend(k for k in reversed(node["kids"]) if not isinstance(k, str))
+    best = max(every, key=worth)
+    if not worth(best):
+        return None
+    up = best
+    while up:
+        if up["tag"] in ("article", "main"):
+            up["score"] = max(up["score"], best["score"])
+            best = up
+        up = up["up"]
+    keep = [best]
+    if best["up"]:
+        low = 0.2 * worth(best)
+        good = lambda k: worth(k) >= max(low, 1e-9) or (k["tag"] in H.PARAGRAPH and k["chars"] and k["links"] / k["chars"] < 0.25)
+        keep = [k for k in best["up"]["kids"] if k is best or (not isinstance(k, str) and good(k))]
+    found = "\0".join("".join(texts(k, [])) for k in keep)
+    return " ".join(squeeze(x) for x in found.split("\0") if x.strip())
+
+
+def test_query_against_a_plain_version(spark, sf_dir):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    got = {r.page_id: r for r in H.op10_html_extraction(spark, sf_dir).collect()}
+    assert got.keys() == pages.keys()
+    same = [got[k].text == want for k, r in pages.items() if (want := plain_main_text(r.html or "")) is not None]
+    assert len(same) > 0.9 * len(pages) and np.mean(same) > 0.95
+    assert all(r.n_chars == len(r.text) and r.url == pages[k].url for k, r in got.items())
+
+
 def test_rows_and_deep_or_long_pages(spark):
     deep = "<div>" * 20_000 + "<p>Deep text, long enough, with commas.</p>" + "</div>" * 20_000
     long = "<article>" + "<p>Paragraph, with some words, again.</p>" * 20_000 + "</article>"
