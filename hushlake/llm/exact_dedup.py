@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hushlake.llm.common import written
+from hushlake.llm.common import join_small, written
 
 #: Leading bytes of a text that take part in the sampled splitters. With the digest they tell texts apart, and the sample
 #: that Spark sends to the driver stays small however long the texts are.
@@ -27,7 +27,8 @@ def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts = batch.column("id"), batch.column("text").to_pylist()
         norm = [t.lower() for t in texts]  # bytes.lower() changes A-Z only
         sha = [hashlib.sha256(t).hexdigest() for t in norm]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(norm, pa.binary()), pa.array([t[:HEAD] for t in norm], pa.binary()), pa.array(sha)], ["id", "norm", "head", "sha"])
+        head = pa.array([t[:HEAD] for t in norm], pa.binary())
+        yield pa.RecordBatch.from_arrays([ids, pa.array(norm, pa.binary()), head, pa.array(sha)], ["id", "norm", "head", "sha"])
 
 
 def _labelled():
@@ -47,7 +48,9 @@ def _labelled():
             edge = FIRST * first_run + LAST * closing
             text = pa.array([last] + [None] * (n - 1) if edge else [None] * n, pa.binary())
             fill = lambda x, kind: pa.array(np.full(n, x), kind)
-            return pa.RecordBatch.from_arrays([ids, pa.array([sha] * n), fill(part, pa.int64()), pa.array([ids[0].as_py()] * n, pa.int64()), fill(n, pa.int64()), fill(edge, pa.int32()), text], schema=schema)
+            keep = pa.array([ids[0].as_py()] * n, pa.int64())
+            columns = [ids, pa.array([sha] * n), fill(part, pa.int64()), keep, fill(n, pa.int64()), fill(edge, pa.int32()), text]
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
@@ -77,8 +80,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are equal when they are identical after lower-casing A-Z. Rows are range-partitioned by sampled splitters over
     (first bytes of the normalised text, its digest, id) and sorted by these and the whole text, so equal texts are
     adjacent, and neighbours are compared in full. As the id takes part, many copies of one text spread over several
-    partitions; a run that goes over a border is joined with the next partition's by comparing the texts at the borders,
-    of which there are two per partition. The smallest id of a group stays, or the largest with ``keep='largest'``.
+    partitions; a run that goes over a border is joined with the next partition's by comparing the texts at the border,
+    each border apart. The smallest id of a group stays, or the largest with ``keep='largest'``.
 
     A null text counts as empty; all empty texts form one group. Rows that repeat an id count apart in group_size, and
     each of them is kept if that id stays. A null id sorts behind all others and stays only if its group has no other.
@@ -94,15 +97,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = written(rows.mapInArrow(label, schema))
 
     edges = rows.where("text IS NOT NULL")
-    first = F.col("edge").bitwiseAND(FIRST) > 0
-    last = F.col("edge").bitwiseAND(LAST) > 0
-    by_part = edges.groupBy("part").agg(
-        *[F.max(F.when(at, F.struct("text", "keep", "size", "edge"))).alias(name) for at, name in ((first, "first"), (last, "last"))]
-    )
-    # One row per partition from here on. A run that covers its whole partition may go on to the one after it.
-    order = Window.orderBy("part")
-    joined = F.coalesce(F.lag("last.text").over(order) == F.col("first.text"), F.lit(False))
-    chains = by_part.withColumn("joined", joined)
+    touches = lambda mark: edges.where(F.col("edge").bitwiseAND(mark) > 0)
+    run = F.struct("keep", "size", "edge")
+    firsts = touches(FIRST).select("part", F.col("text").alias("text"), F.col("sha").alias("sha"), run.alias("first"))
+    lasts = touches(LAST).select("part", F.col("text").alias("last_text"), F.col("sha").alias("last_sha"), run.alias("last"))
+    # Texts at a border meet by a join on the border; what is put in order has a few numbers for each partition.
+    parts = firsts.select("part", F.lag("part").over(Window.orderBy("part")).alias("before"))
+    borders = firsts.drop("first").join(parts.where("before IS NOT NULL"), "part").join(lasts.select(F.col("part").alias("before"), "last_text", "last_sha"), "before")
+    joined = borders.where((F.col("sha") == F.col("last_sha")) & (F.col("text") == F.col("last_text"))).select("part", F.lit(True).alias("joined"))
+    chains = firsts.select("part", "first").join(lasts.select("part", "last"), "part").join(joined, "part", "left").withColumn("joined", F.coalesce("joined", F.lit(False)))
+    # A run that covers its whole partition may go on to the one after it.
     ends = F.inline(F.array(F.struct(F.lit(0).alias("at"), F.col("first").alias("run")), F.struct(F.lit(1).alias("at"), F.col("last").alias("run"))))
     # The runs at both borders in order: a first run continues the chain before it, a last run of its own opens one.
     seq = chains.select("part", "joined", ends).where("at = 0 OR run.edge != 3")
@@ -110,12 +114,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     at = Window.orderBy("part", "at")
     seq = seq.withColumn("chain", F.sum(opens.cast("long")).over(at.rowsBetween(Window.unboundedPreceding, 0)))
     chain = Window.partitionBy("chain")
-    total = seq.select(
+    total = written(seq.select(
         F.col("part").alias("_part"), F.col("run.edge").alias("_edge"),
         F.first("run.keep").over(chain.orderBy("part", "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_keep"),
         F.sum("run.size").over(chain).alias("_size"),
-    )
-    out = rows.drop("text").join(F.broadcast(written(total)), (F.col("part") == F.col("_part")) & (F.col("edge") == F.col("_edge")), "left")
+    ))
+    out = join_small(rows.drop("text"), total, total.count(), (F.col("part") == F.col("_part")) & (F.col("edge") == F.col("_edge")))
     kept_id = F.when(F.col("_part").isNull(), F.col("keep")).otherwise(F.col("_keep"))
     return out.select(
         F.col("id").alias(id_col), kept_id.alias("keep_id"), F.coalesce("_size", "size").alias("group_size"),
