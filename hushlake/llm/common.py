@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,10 +19,14 @@ BROADCAST_ROWS = 100_000
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is spark.checkpoint.dir where the session has it. A temporary folder is set only where it has not, as in tests.
+    It is spark.checkpoint.dir where the session has it, or the checkpoint folder that has been set. A temporary folder
+    is made only where all tasks run in the driver's process (a ``local`` master, as in tests); elsewhere executors would
+    not see it, and the missing setting is an error.
     """
     shared, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not sc.getCheckpointDir():
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return shared or sc.getCheckpointDir()
 
