@@ -10,32 +10,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hushlake.llm.common import written
+
 #: Rows of a block; a unit has at most about twice as many.
 BLOCK = 1024
 
-#: The columns that name a unit, and the block of a row in it.
-UNIT = ["table", "bucket", "i", "j"]
+#: The columns that name a unit, and the block of a row in it. A bucket's number tells its table, too.
+UNIT = ["bucket", "i", "j"]
 UNIT_SCHEMA = "table int, bucket long, i int, j int, block int"
 
 
-def units(members: DataFrame, block: int = BLOCK, weight_limit: int | None = None) -> DataFrame:
-    """Rows (id, table, bucket, i, j, block) from ``members`` (id, weight, table, bucket), a row for each unit of an id.
+def units(members: DataFrame, block: int = BLOCK, weights: DataFrame | None = None, weight_limit: int | None = None) -> DataFrame:
+    """Rows (id, table, bucket, i, j, block) from ``members`` (id, table, bucket), a row for each unit of an id.
 
-    Buckets of one row are left out, and of buckets with the same rows only the one of the first table remains: the first table in
-    which two rows meet always keeps its bucket. A block holds about ``block`` rows, fewer where the sum of the
-    weights would pass ``weight_limit``. All steps on a bucket are aggregates with map-side combine, or joins
-    whose hot partitions adaptive execution can split.
+    Buckets of different tables have different numbers. Buckets of one row are left out first, so that most rows move
+    only twice, with nothing but these columns. Of buckets with the same rows only the one of the first table remains: the
+    first table in which two rows meet always keeps its bucket. A block holds about ``block`` rows, fewer where the sum of
+    ``weights`` (id, weight) would pass ``weight_limit``. All steps on a bucket are aggregates with map-side combine, or
+    joins whose hot partitions adaptive execution can split.
     """
     ids = F.col("id")
-    buckets = members.groupBy("table", "bucket").agg(
-        F.count("*").alias("n"), F.sum("weight").alias("w"), F.bit_xor(F.xxhash64(ids)).alias("x"), F.bit_xor(F.xxhash64(ids, F.lit(1))).alias("y")
-    ).where("n > 1")
+    shared = members.groupBy("bucket").count().where("count > 1").select("bucket")
+    rows = written(members.select("id", "table", "bucket").join(shared, "bucket"))
+    weighed = rows.join(weights, "id") if weights is not None and weight_limit else rows.withColumn("weight", F.lit(0).cast("long"))
+    buckets = weighed.groupBy("bucket").agg(
+        F.min("table").alias("table"), F.count("*").alias("n"), F.sum("weight").alias("w"), F.bit_xor(F.xxhash64(ids)).alias("x"), F.bit_xor(F.xxhash64(ids, F.lit(1))).alias("y")
+    )
     kept = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("table", "bucket", "w")).alias("b"))
     blocks = F.ceil(F.col("n") / block)
     if weight_limit:
         blocks = F.greatest(blocks, F.least(F.ceil(F.col("b.w") / weight_limit), F.col("n")))
-    kept = kept.select("b.table", "b.bucket", blocks.cast("int").alias("blocks"))
-    rows = members.select("id", "table", "bucket").join(kept, ["table", "bucket"])
+    kept = kept.select("b.bucket", blocks.cast("int").alias("blocks"))
+    placed = rows.join(kept, "bucket")
     own = F.pmod(F.xxhash64(ids, F.lit(2)), F.col("blocks")).cast("int")
-    rows = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("id", "table", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+    placed = placed.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.select("id", "table", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")

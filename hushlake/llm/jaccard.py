@@ -94,7 +94,7 @@ def _candidates(unit: pa.Table, threshold: float, needed: dict[int, int]) -> tup
     """Row numbers (a, b) of the unit's pairs that pass the posterior test and meet first in this unit's table."""
     table, i, j = (unit.column(c)[0].as_py() for c in ("table", "i", "j"))
     size = unit.column("n").to_numpy()
-    sketch = np.frombuffer(b"".join(unit.column("sketch").to_pylist()), np.uint32).reshape(-1, HASHES)
+    sketch = np.frombuffer(b"".join(unit.column("sketch").to_pylist()), np.uint16).reshape(-1, HASHES)
     block = unit.column("block").to_numpy()
     left = np.flatnonzero(block == i)
     right = left if i == j else np.flatnonzero(block == j)
@@ -144,9 +144,10 @@ def jaccard_join(
     white space; a shorter text is one n-gram) is ``threshold`` or more. n_links counts the other documents that one is
     linked to, copies included; class_id is the smallest id that it reaches by links, itself included.
 
-    Documents of equal sets form one entry that carries its number of documents. Entries with equal MinHash bands are
-    candidates: at the default threshold a pair of exactly that similarity is missed with probability 1.4e-7, one above it
-    with less. Inside a unit of bounded size (see blocks.py) the MinHash values of its pairs are compared ``step`` at a
+    Documents of equal sets form one entry that carries its number of documents. Of each MinHash value its low 16 bits
+    are kept: equal values stay equal, and the few unequal ones that look equal only make more candidates. Entries with
+    equal bands of values are candidates: at the default threshold a pair of exactly that similarity is missed with
+    probability 1.4e-7, one above it with less. Inside a unit of bounded size (see blocks.py) the MinHash values of its pairs are compared ``step`` at a
     time and a pair is dropped once the posterior probability that it reaches the threshold is below ``tolerance``. For what remains
     the whole n-gram sets are brought to the unit and compared exactly. Pairs never leave a unit: it returns a count
     of links for each entry and links to one entry for each connected part, and connected components join these.
@@ -156,7 +157,7 @@ def jaccard_join(
     """
     needed = needed_matches(threshold, tolerance, step)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = shingler(words)
@@ -164,47 +165,54 @@ def jaccard_join(
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 sets = [shingles(t) for t in part.column(1).to_pylist()]
-                sketches = [minhash(s).tobytes() if len(s) else None for s in sets]
+                sketches = [minhash(s).astype(np.uint16).tobytes() if len(s) else None for s in sets]
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "key", "sketch"])
+                columns = [part.column("id"), part.column("h"), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "h", "n", "key", "sketch"])
 
-    sketches = written(source.mapInArrow(sketched, "id long, n int, key binary, sketch binary"))
-    # One entry for each n-gram set, and its smallest id to find it by.
-    entries = sketches.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    entries = written(entries.withColumn("entry", F.monotonically_increasing_id()))
-    reps = written(sketches.join(entries, ["key", "id"]).dropDuplicates(["entry"]).select("entry", "id", "key", "n", "copies", "sketch"))
+    sketches = written(source.mapInArrow(sketched, "id long, h long, n int, key binary, sketch binary"))
+    # One entry for each n-gram set, and its smallest id and that text's hash to find it by. Equal sets have equal sketches.
+    entries = sketches.where("n > 0").groupBy("key").agg(F.min(F.struct("id", "h")).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    reps = written(entries.select(F.monotonically_increasing_id().alias("entry"), "at.id", "at.h", "key", "copies", "n", "sketch"))
+    entries = reps.select("entry", "id", "key", "copies")
 
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.col("sketch").substr(b * (4 * ROWS) + 1, F.lit(4 * ROWS)), b))
-    members = reps.select(F.col("entry").alias("id"), F.col("n").cast("long").alias("weight"), F.posexplode(bands).alias("table", "bucket"))
-    placed = units(members, weight_limit=SHINGLES)
-    placed = placed.join(reps.select(F.col("entry").alias("id"), "n", "sketch"), "id")
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.col("sketch").substr(b * (2 * ROWS) + 1, F.lit(2 * ROWS)), b))
+    members = reps.select(F.col("entry").alias("id"), F.posexplode(bands).alias("table", "bucket"))
+    placed = units(members, weights=reps.select(F.col("entry").alias("id"), F.col("n").cast("long").alias("weight")), weight_limit=SHINGLES)
+    placed = placed.join(reps.select(F.col("entry").alias("id"), "n", "copies", "sketch"), "id")
+
+    columns = ["id", "table", *UNIT, "block", "n", "copies", "sketch"]
 
     def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in runs(batches, UNIT):
             a, b = _candidates(unit, threshold, needed)
             if len(a):
-                yield unit.select(["id", *UNIT, "block"]).take(np.unique(np.concatenate([a, b]))).combine_chunks().to_batches()[0]
+                yield unit.select(columns).take(np.unique(np.concatenate([a, b]))).combine_chunks().to_batches()[0]
 
-    survivors = placed.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(pruned, f"id long, {UNIT_SCHEMA}")
+    survivors = placed.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(pruned, f"id long, {UNIT_SCHEMA}, n int, copies long, sketch binary")
     survivors = written(survivors)
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = shingler(words)
+        done: set[int] = set()  # repeated rows: each task gives an entry's set once
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                sets = [shingles(t).tobytes() for t in part.column(1).to_pylist()]
-                keys = [xxhash.xxh3_128_digest(x) for x in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["id", "key", "grams"])
+                out = []
+                for entry, key, text in zip(part.column("entry").to_pylist(), part.column("key").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    if entry not in done and xxhash.xxh3_128_digest(grams := shingles(text).tobytes()) == key:
+                        done.add(entry)
+                        out.append((entry, grams))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["entry", "grams"])
 
-    wanted = reps.join(survivors.select(F.col("id").alias("entry")).distinct(), "entry")
-    texts = source.join(wanted.select("id").distinct(), "id", "left_semi")
-    sets = texts.mapInArrow(with_sets, "id long, key binary, grams binary").join(wanted, ["id", "key"]).dropDuplicates(["entry"])
-    sets = sets.select(F.col("entry").alias("id"), "n", "copies", "sketch", "grams")
+    wanted = reps.select("entry", "id", "h", "key").join(survivors.select(F.col("id").alias("entry")).distinct(), "entry")
+    texts = source.join(wanted, ["id", "h"]).select("entry", "key", "text")
+    sets = texts.mapInArrow(with_sets, "entry long, grams binary").withColumnRenamed("entry", "id")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in runs(batches, UNIT):
+            # A set that several tasks gave, as its row is repeated, counts once.
+            unit = unit.take(np.sort(np.unique(unit.column("id").to_numpy(), return_index=True)[1])).combine_chunks()
             a, b = _candidates(unit, threshold, needed)
             grams = [np.frombuffer(x, np.uint64) for x in unit.column("grams").to_pylist()]
             size = np.array([len(g) for g in grams])
@@ -224,7 +232,7 @@ def jaccard_join(
     joined = survivors.join(sets, "id").repartition(*UNIT).sortWithinPartitions(*UNIT)
     linked = written(joined.mapInArrow(verified, "id long, to long, links long"))
     parts = connected_components(linked, "id", "to").select(F.col("node").alias("entry"), "component")
-    classes = written(entries.join(parts, "entry"))
+    classes = written(entries.join(parts, "entry").select("entry", "id", "component"))
     lowest = classes.groupBy("component").agg(F.min("id").alias("class_id"))
     classes = classes.join(lowest, "component").select("entry", "class_id")
     links = linked.groupBy(F.col("id").alias("entry")).agg(F.sum("links").alias("links"))

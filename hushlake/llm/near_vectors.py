@@ -87,8 +87,8 @@ def near_vectors(
                 yield pa.RecordBatch.from_arrays([part.column("entry"), part.column("label"), pa.array(np.full(len(data), d, np.int32)), lists], ["id", "label", "dims", "keys"])
 
     keyed = entries.select("entry", "label", "vector").mapInArrow(signed, "id long, label string, dims int, keys array<long>")
-    members = keyed.select("id", F.lit(1).cast("long").alias("weight"), "label", "dims", F.posexplode("keys").alias("table", "signs"))
-    members = members.select("id", "weight", "table", F.xxhash64("label", "dims", "signs").alias("bucket"))
+    members = keyed.select("id", "label", "dims", F.posexplode("keys").alias("table", "signs"))
+    members = members.select("id", "table", F.xxhash64("label", "dims", "table", "signs").alias("bucket"))
     placed = units(members).join(entries.select(F.col("entry").alias("id"), "copies", F.xxhash64("label").alias("label_no"), "vector"), "id")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,5 +152,3 @@ def near_vectors(
 
 def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-
-

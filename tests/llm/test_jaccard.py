@@ -61,7 +61,7 @@ def test_against_brute_force(spark):
 
 def test_buckets_of_many_blocks(spark, monkeypatch):
     rows = near_copies(4, 0, 150, 3)
-    monkeypatch.setattr(jaccard, "units", lambda members, weight_limit=None: blocks.units(members, block=16, weight_limit=500))
+    monkeypatch.setattr(jaccard, "units", lambda members, weights, weight_limit: blocks.units(members, 16, weights, 500))
     assert got(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
 
 
