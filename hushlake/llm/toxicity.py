@@ -132,7 +132,7 @@ class Scorer:
 
 
 def train(texts: list[str], labels: np.ndarray, steps: int = 500, batch: int = 32, rate: float = 0.01, seed: int = 0) -> Model:
-    """Adam on the log loss. Windows that reach past a document's end see zeros, as in Scorer."""
+    """Adam on the log loss, lazily for embeddings. Windows that reach past a document's end see zeros, as in Scorer."""
     rng = np.random.default_rng(seed)
     labels, epochs = labels.astype(np.float32), max(2, round(steps * batch / max(1, len(texts))))
     split = [_words(t.lower()) for t in texts]
@@ -146,8 +146,9 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 500, batch: int = 3
         np.zeros(POOLED, np.float32), rng.normal(0, 0.3, POOLED).astype(np.float32), 0.0,
     )
     shift = np.zeros(1, np.float32)
-    params = [model.embed, *model.filters, model.bias, model.out, shift]
+    params = [*model.filters, model.bias, model.out, shift]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+    embed_moments = np.zeros_like(model.embed), np.zeros_like(model.embed)
     step = 0
     for _ in range(epochs):
         order = rng.permutation(len(docs))
@@ -198,12 +199,19 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 500, batch: int = 3
                     np.add.at(d_vectors, token.ravel(), (gp[:, :, None] * f[k].T[None]).reshape(-1, DIMS))
                 d_filters.append(d_f)
             touched = np.flatnonzero(np.abs(d_vectors[:-1]).sum(axis=1))
-            d_embed = np.zeros_like(model.embed)
+            step += 1
             if len(touched):
+                # Only embeddings with a gradient move, and only their moments decay.
                 share = np.repeat(d_vectors[touched] / counts[touched, None], counts[touched], axis=0)
-                np.add.at(d_embed, np.concatenate([own[k] for k in touched]), share)
-            step += 1
-            for p, grad, (m, v) in zip(params, [d_embed, *d_filters, d_bias, d_out, d_shift], moments, strict=True):
+                moved, where = np.unique(np.concatenate([own[k] for k in touched]), return_inverse=True)
+                grad = np.zeros((len(moved), DIMS), np.float32)
+                np.add.at(grad, where, share)
+                m, v = (x[moved] for x in embed_moments)
+                m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
+                for x, new in zip(embed_moments, (m, v), strict=True):
+                    x[moved] = new
+                model.embed[moved] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            for p, grad, (m, v) in zip(params, [*d_filters, d_bias, d_out, d_shift], moments, strict=True):
                 m *= 0.9
                 m += 0.1 * grad
                 v *= 0.99
@@ -263,8 +271,9 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: Column | None = None, pe
     draw = F.xxhash64("doc_id", F.lit(8))
     chosen = [rows.where(F.col("toxic") == t).orderBy(draw, "doc_id").limit(per_class) for t in (0, 1)]
     sample = chosen[0].unionByName(chosen[1])  # at most 2 * per_class rows
-    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").toPandas()
-    found = found.sort_values(["doc_id", "text"]).drop_duplicates(["doc_id", "text"]).reset_index(drop=True)
+    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample), "doc_id")
+    # Of rows that repeat an id the first text counts, so that no more rows come than the sample has.
+    found = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values(["doc_id", "toxic"]).reset_index(drop=True)
     y = found["toxic"].to_numpy(float)
     if not 0 < y.sum() < len(y):
         rate = totals.get(1, 0) / max(1, n_labels)
