@@ -1,5 +1,7 @@
 """The rule catalogue as data: patterns in RE2 syntax."""
 
+# Fixed values, from here to the tables: the parts that many patterns share.
+
 #: What follows a token: a quote, white space, a semicolon, an escaped line end, or the end of the text.
 END = r"""(?:[\x60'"\s;]|\\[nr]|$)"""
 
@@ -16,6 +18,16 @@ def vendor(words: str, value: str, scoped: bool = False) -> str:
     return f"(?i){BEFORE}(?:{words}){AFTER}{ASSIGN}({value}){END}"
 
 
+def vendor_core(words: str, value: str, scoped: bool = False) -> str:
+    """What a vendor rule finds from the vendor's word on. It matches somewhere just where the rule does."""
+    return f"(?i:(?:{words}){AFTER}){ASSIGN}({value}){END}" if scoped else f"(?i)(?:{words}){AFTER}{ASSIGN}({value}){END}"
+
+
+def vendor_for_java(words: str, value: str) -> str:
+    """A scoped vendor rule with its two runs of up to 50 characters as one of up to 100: the shortest that fits is the same."""
+    return r"[\w.-]{0,100}?" + vendor_core(words, value, True)
+
+
 def token(value: str) -> str:
     return rf"\b({value}){END}"
 
@@ -25,6 +37,8 @@ _HEADER = (
     r"""(?i)(?:Authorization:[ \t]{0,5}(?:Basic[ \t]([a-z0-9+/]{8,}={0,3})|(?:Bearer|(?:Api-)?Token)[ \t]([\w=~@.+/-]{8,})|([\w=~@.+/-]{8,}))"""
     r"""|(?:(?:X-(?:[a-z]+-)?)?(?:Api-?)?(?:Key|Token)):[ \t]{0,5}([\w=~@.+/-]{8,}))"""
 )
+CURL_HEADER = r"""[ \t\n\r](?:-H|--header)(?:=|[ \t]{0,5})(?:"%s"|'%s')(?:\B|\s|\z)""" % (_HEADER, _HEADER)
+CURL_USER = r"""[ \t\n\r](?:-u|--user)(?:=|[ \t]{0,5})("(:[^"]{3,}|[^:"]{3,}:|[^:"]{3,}:[^"]{3,})"|'([^:']{3,}:[^']{3,})'|((?:"[^"]{3,}"|'[^']{3,}'|[\w$@.-]+):(?:"[^"]{3,}"|'[^']{3,}'|[\w${}@.-]+)))(?:\s|\z)"""
 _YAML = r"""\bdata:(?s:.){0,100}?\s+([\w.-]+:(?:[ \t]*(?:\||>[-+]?)\s+)?[ \t]*(?:["']?[a-z0-9+/]{10,}={0,3}["']?|\{\{[ \t\w"|$:=,.-]+}}|""|''))"""
 _YAML_KIND = r"""\bkind:[ \t]*["']?\bsecret\b["']?"""
 
@@ -153,6 +167,9 @@ SCOPED_VENDOR = [
     ("sumologic-access-id", "(?-i:[Ss]umo|SUMO)", r"su[a-zA-Z0-9]{12}"),
 ]
 
+ATLASSIAN = "(?-i:ATLASSIAN|[Aa]tlassian)|(?-i:CONFLUENCE|[Cc]onfluence)|(?-i:JIRA|[Jj]ira)", r"[a-z0-9]{20}[a-f0-9]{4}"
+ATLASSIAN_TOKEN = r"ATATT3[A-Za-z0-9_\-=]{186}"
+
 # Id, literals of which every match holds one (lower case; empty: none is known), pattern.
 TOKEN = [
     ("1password-secret-key", ["a3-"], r"\bA3-[A-Z0-9]{6}-(?:(?:[A-Z0-9]{11})|(?:[A-Z0-9]{6}-[A-Z0-9]{5}))-[A-Z0-9]{5}-[A-Z0-9]{5}-[A-Z0-9]{5}\b"),
@@ -165,8 +182,7 @@ TOKEN = [
     ("anthropic-api-key", ["sk-ant-api03-"], token(r"sk-ant-api03-[a-zA-Z0-9_\-]{93}AA")),
     ("artifactory-api-key", ["akcp"], r"\bAKCp[A-Za-z0-9]{69}\b"),
     ("artifactory-reference-token", ["cmvmd"], r"\bcmVmd[A-Za-z0-9]{59}\b"),
-    ("atlassian-api-token", ["atlassian", "confluence", "jira", "atatt3"],
-     vendor("(?-i:ATLASSIAN|[Aa]tlassian)|(?-i:CONFLUENCE|[Cc]onfluence)|(?-i:JIRA|[Jj]ira)", r"[a-z0-9]{20}[a-f0-9]{4}") + "|" + token(r"ATATT3[A-Za-z0-9_\-=]{186}")),
+    ("atlassian-api-token", ["atlassian", "confluence", "jira", "atatt3"], vendor(*ATLASSIAN) + "|" + token(ATLASSIAN_TOKEN)),
     ("authress-service-client-access-key", ["sc_", "ext_", "scauth_", "authress_"],
      token(r"(?:sc|ext|scauth|authress)_(?i)[a-z0-9]{5,30}\.[a-z0-9]{4,6}\.(?-i:acc)[_-][a-z0-9-]{10,32}\.[a-z0-9+/_=-]{30,120}")),
     ("aws-access-token", ["a3t", "akia", "asia", "abia", "acca"], r"\b((?:A3T[A-Z0-9]|AKIA|ASIA|ABIA|ACCA)[A-Z2-7]{16})\b"),
@@ -176,10 +192,8 @@ TOKEN = [
     ("clickhouse-cloud-api-secret-key", ["4b1d"], r"\b(4b1d[A-Za-z0-9]{38})\b"),
     ("clojars-api-token", ["clojars_"], r"(?i)CLOJARS_[a-z0-9]{60}"),
     ("cloudflare-origin-ca-key", ["v1.0-"], token(r"v1\.0-[a-f0-9]{24}-[a-f0-9]{146}")),
-    ("curl-auth-header", ["curl"],
-     r"""\bcurl\b(?:.*?|.*?(?:[\r\n]{1,2}.*?){1,5})[ \t\n\r](?:-H|--header)(?:=|[ \t]{0,5})(?:"%s"|'%s')(?:\B|\s|\z)""" % (_HEADER, _HEADER)),
-    ("curl-auth-user", ["curl"],
-     r"""\bcurl\b(?:.*|.*(?:[\r\n]{1,2}.*){1,5})[ \t\n\r](?:-u|--user)(?:=|[ \t]{0,5})("(:[^"]{3,}|[^:"]{3,}:|[^:"]{3,}:[^"]{3,})"|'([^:']{3,}:[^']{3,})'|((?:"[^"]{3,}"|'[^']{3,}'|[\w$@.-]+):(?:"[^"]{3,}"|'[^']{3,}'|[\w${}@.-]+)))(?:\s|\z)"""),
+    ("curl-auth-header", ["curl"], r"""\bcurl\b(?:.*?|.*?(?:[\r\n]{1,2}.*?){1,5})""" + CURL_HEADER),
+    ("curl-auth-user", ["curl"], r"""\bcurl\b(?:.*|.*(?:[\r\n]{1,2}.*){1,5})""" + CURL_USER),
     ("databricks-api-token", ["dapi"], token(r"dapi[a-f0-9]{32}(?:-\d)?")),
     ("digitalocean-access-token", ["doo_v1_"], token(r"doo_v1_[a-f0-9]{64}")),
     ("digitalocean-pat", ["dop_v1_"], token(r"dop_v1_[a-f0-9]{64}")),
@@ -291,3 +305,11 @@ TOKEN = [
 
 # Rules of medium severity besides the general ones.
 MEDIUM = ["curl-auth-header", "curl-auth-user", "hashicorp-tf-password", "jwt", "jwt-base64", "kubernetes-secret-yaml", "nuget-config-password"]
+
+#: Patterns that are written otherwise for Java: the pattern, and the same for Java.
+FOR_JAVA = [
+    (GENERAL[6][6], r"\b(?:\G|(?<![a-zA-Z0-9_])(?<![a-zA-Z0-9_][.%+\-]{1,64}))[a-zA-Z0-9._%+\-]++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b"),
+    (r"""\bcurl\b(?:.*?|.*?(?:[\r\n]{1,2}.*?){1,5})""" + CURL_HEADER, r"""\bcurl\b(?:.*?|.*?(?:\n{1,2}.*?){1,5})""" + CURL_HEADER),
+    (r"""\bcurl\b(?:.*|.*(?:[\r\n]{1,2}.*){1,5})""" + CURL_USER, r"""\bcurl\b(?:.*|.*(?:\n{1,2}.*){1,5})""" + CURL_USER),
+    *((vendor(words, value, True), vendor_for_java(words, value)) for _, words, value in SCOPED_VENDOR),
+]

@@ -21,8 +21,15 @@ RANK = {"high": 3, "medium": 2, "low": 1}
 FOLD = ("ſK", "sk")
 
 
+#: Patterns whose matches Java would look for in a time that grows with the square of a text, or faster, and the same
+#: for Java. An address does not start behind a word, with dots (or % + -) between or not, but at the end of the match before:
+#: it would have started at the word, and the search at every dot would go on to the same @. Between curl and its flag a carriage return is an ordinary
+#: character, as it is for the dot, so that there is one way to cut a text into lines.
+JAVA = dict(rule_data.FOR_JAVA)
+
+
 def rule_row(ord_: int, rule_id: str, name: str, description: str, pattern: str, severity: str, mode: str, replacement: str, validator: str, keywords: list[str], guard: str = "") -> tuple:
-    return (ord_, rule_id, name, description, pattern, to_java(pattern), severity, mode, replacement, replacement_to_java(replacement), validator, keywords, guard)
+    return (ord_, rule_id, name, description, pattern, to_java(JAVA.get(pattern, pattern)), severity, mode, replacement, replacement_to_java(replacement), validator, keywords, guard)
 
 
 #: Literals of the vendor rules whose words are patterns themselves.
@@ -43,6 +50,9 @@ _GENERAL = {
 #: Cheap patterns (Java) that match wherever the rule does, for rules whose literals are common or none.
 GUARDS = {
     "ssn": r"\d-\d\d-\d", "credit-card": r"\d{13}", "sourcegraph-access-token": r"[a-fA-F0-9]{40}", "vault-service-token": r"hvs\.|s\.[a-zA-Z0-9\u017F\u212A]{24}",
+    "db-connection-string": r"(?s)\A(?=[^/]*+/).*?[^@\s]{3}@[^\s'\"`]",
+    "curl-auth-header": to_java(rule_data.CURL_HEADER), "curl-auth-user": to_java(rule_data.CURL_USER),
+    "atlassian-api-token": to_java(rule_data.vendor_core(*rule_data.ATLASSIAN) + "|" + rule_data.token(rule_data.ATLASSIAN_TOKEN)),
     "airtable-personnal-access-token": r"pat[a-zA-Z0-9]{14}\.", "facebook-access-token": r"\d{15}[|%]",
 }
 
@@ -52,14 +62,14 @@ def builtin_rows() -> list[tuple]:
     """All rules in evaluation order: the general ones, then the others by id."""
     rows = [rule_row(0, i, n, f"{n} in a text", p, s, m, r, v, _GENERAL.get(i, []), GUARDS.get(i, "")) for i, n, s, m, r, v, p in rule_data.GENERAL]
     others = []
-    for rule_id, words, value in rule_data.VENDOR:
-        others.append((rule_id, rule_data.vendor(words, value), _SPECIAL.get(rule_id) or [w.lower() for w in words.split("|")]))
-    for rule_id, words, value in rule_data.SCOPED_VENDOR:
-        others.append((rule_id, rule_data.vendor(words, value, True), _SPECIAL.get(rule_id) or [w.lower() for w in words.split("|")]))
-    others += [(rule_id, pattern, keywords) for rule_id, keywords, pattern in rule_data.TOKEN]
-    for rule_id, pattern, keywords in sorted(others):
+    for scoped, table in ((False, rule_data.VENDOR), (True, rule_data.SCOPED_VENDOR)):
+        for rule_id, words, value in table:
+            keywords = _SPECIAL.get(rule_id) or [w.lower() for w in words.split("|")]
+            others.append((rule_id, rule_data.vendor(words, value, scoped), keywords, to_java(rule_data.vendor_core(words, value, scoped))))
+    others += [(rule_id, pattern, keywords, GUARDS.get(rule_id, "")) for rule_id, keywords, pattern in rule_data.TOKEN]
+    for rule_id, pattern, keywords, guard in sorted(others):
         severity = "medium" if rule_id in rule_data.MEDIUM else "high"
-        rows.append(rule_row(0, rule_id, rule_id, f"A value of the form of a {rule_id.replace('-', ' ')}", pattern, severity, "block", REDACTED, "", keywords, GUARDS.get(rule_id, "")))
+        rows.append(rule_row(0, rule_id, rule_id, f"A value of the form of a {rule_id.replace('-', ' ')}", pattern, severity, "block", REDACTED, "", keywords, guard))
     return [(n, *row[1:]) for n, row in enumerate(rows)]
 
 

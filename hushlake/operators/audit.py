@@ -29,12 +29,16 @@ def search_filter(df: DataFrame, word: str = "") -> DataFrame:
 
 
 def time_range(df: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
-    """Rows from the first day to the end of the last one; days that are none are ignored."""
+    """Rows from the first day to the end of the last one; days that are none are ignored. Where the log is partitioned
+    by day (``dt``), only the folders of these days are read."""
     day = lambda s: F.try_to_timestamp(F.lit(s), F.lit("yyyy-MM-dd"))
+    by_day = "dt" in df.columns
     if first:
         df = df.where(day(first).isNull() | (F.col("ts") >= day(first)))
+        df = df.where(day(first).isNull() | (F.col("dt") >= F.to_date(day(first)))) if by_day else df
     if last:
         df = df.where(day(last).isNull() | (F.col("ts") < day(last) + F.expr("INTERVAL 1 DAY")))
+        df = df.where(day(last).isNull() | (F.col("dt") <= F.to_date(day(last)))) if by_day else df
     return df
 
 
@@ -149,8 +153,22 @@ def export_counts(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "blocked").alias("blocked"), F.count_if(F.col("status") == "redacted").alias("redacted"))
 
 
+def export_header(df: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
+    """The line (n = 0, line) that comes before an export of these rows: the range of days and the counts."""
+    counts = F.format_string(
+        "Days: %s to %s\nPrompts: %d, of which %d blocked and %d redacted\n", F.lit(first or "the first"), F.lit(last or "the last"), F.col("total"), F.col("blocked"), F.col("redacted")
+    )
+    return export_counts(df).select(F.lit(0).cast("long").alias("n"), counts.alias("line"))
+
+
+def with_current(df: DataFrame) -> DataFrame:
+    """Conversation rows (conv_id, turn, role, ...) with now: whether a turn comes after the last assistant one, or there
+    is none. The last one is an aggregate with map-side combine, joined back, so no task holds a conversation's texts."""
+    last = df.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("_last"))
+    rows = df.join(last, "conv_id", "left")
+    return rows.withColumn("now", F.coalesce(F.col("turn") > F.col("_last"), F.lit(True))).drop("_last")
+
+
 def latest_turns(df: DataFrame) -> DataFrame:
-    """Conversation rows (conv_id, turn, role, text) of the current turn: after the last assistant one, or all without one."""
-    conv = Window.partitionBy("conv_id")
-    last = F.max(F.when(F.col("role") == "assistant", F.col("turn"))).over(conv)
-    return df.withColumn("last_assistant", last).where(F.col("last_assistant").isNull() | (F.col("turn") > F.col("last_assistant")))
+    """Conversation rows of the current turn: after the last assistant one, or all without one."""
+    return with_current(df).where("now").drop("now")

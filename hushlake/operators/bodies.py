@@ -3,50 +3,79 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushlake.operators.detect import redact, rule_array
+from hushlake.operators.detect import inspect, once, redact, rule_array
+from hushlake.operators.requests import squeezed
 
 # A string is text when the nearest key above it is one of these; array elements have their array's key.
 TEXT_FIELDS = ["content", "text", "thinking", "tool_result", "output", "arguments", "system", "instructions", "input", "prompt"]
 
+_TOKEN = re.compile(r'"(?:[^"\\]++|\\.)*+"|[{}\[\],]', re.S)
 
-def _leaves(node: object, key: str = "") -> Iterator[tuple[str, str]]:
-    stack = [(key, node)]
-    while stack:
-        k, x = stack.pop()
-        if isinstance(x, dict):
-            stack.extend(reversed(list(x.items())))
-        elif isinstance(x, list):
-            stack.extend((k, y) for y in reversed(x))
-        elif isinstance(x, str) and k in TEXT_FIELDS:
-            yield k, x
 
+def _no_number(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
 
-def _parsed(body: str | None) -> object:
+
+def text_places(body: str) -> list[tuple[str, int, int]] | None:
+    """(field, start, end) of each text's string literal in order; None where the body is no JSON object or array.
+
+    The literals are found in the body as it is written, so that all around them can stay as it is.
+    """
     try:
-        return json.loads(body or "")
+        if not isinstance(json.loads(body, parse_constant=_no_number), (dict, list)):
+            return None
     except (ValueError, RecursionError):
         return None
+    found: list[tuple[str, int, int]] = []
+    stack: list[list] = []  # whether it is an object, and the key that its next value has
+    names_key = False
+    for m in _TOKEN.finditer(body):
+        c = body[m.start()]
+        if c == '"':
+            if names_key:
+                stack[-1][1], names_key = json.loads(m[0]), False
+            elif stack[-1][1] in TEXT_FIELDS:
+                found.append((stack[-1][1], m.start(), m.end()))
+        elif c == "{":
+            stack.append([True, ""])
+            names_key = True
+        elif c == "[":
+            stack.append([False, stack[-1][1] if stack else ""])
+        elif c == ",":
+            names_key = stack[-1][0]
+        else:
+            stack.pop()
+            names_key = False
+    return found
+
+
+def _decoded(literal: str) -> str:
+    return json.loads(literal).encode("utf-8", "replace").decode()  # half of a surrogate pair is no character
 
 
 def _with_leaves(df: DataFrame, body_col: str) -> DataFrame:
-    """Leaves of each body in order; a body that is no object or array is one leaf without a field."""
+    """Leaves of each body in order; a body that is no object or array is one leaf without a field, a null one has none."""
 
     @F.pandas_udf("array<struct<field: string, text: string>>")
     def leaves(bodies: pd.Series) -> pd.Series:
         found = []
         for body in bodies:
-            tree = _parsed(body)
-            whole = [{"field": None, "text": body or ""}]
-            found.append([{"field": k, "text": t} for k, t in _leaves(tree)] if isinstance(tree, (dict, list)) else whole)
+            places = None if body is None else text_places(body)
+            if places is None:
+                found.append([] if body is None else [{"field": None, "text": body}])
+            else:
+                found.append([{"field": k, "text": _decoded(body[a:b])} for k, a, b in places])
         return pd.Series(found)
 
-    return df.withColumn("_leaves", leaves(F.col(body_col)))
+    # Not deterministic for the planner: filters and generators behind it are not to run it again in themselves.
+    return df.withColumn("_leaves", leaves.asNondeterministic()(F.col(body_col)))
 
 
 def text_leaves(df: DataFrame, id_cols: Sequence[str], body_col: str = "body") -> DataFrame:
@@ -55,46 +84,44 @@ def text_leaves(df: DataFrame, id_cols: Sequence[str], body_col: str = "body") -
     return rows.select(*id_cols, "pos", "leaf.field", "leaf.text")
 
 
-def redact_bodies(df: DataFrame, rules: DataFrame, body_col: str = "body", agent_mode: bool = False, block: bool = False) -> DataFrame:
-    """``df`` with redacted_body: its texts redacted by the track rules (``block``: the block rules; agent mode: all).
+def redact_bodies(
+    df: DataFrame, rules: DataFrame, body_col: str = "body", agent_mode: bool = False, block: bool = False, out_col: str = "redacted_body", sure: bool = False
+) -> DataFrame:
+    """``df`` with ``out_col``: the body with its texts redacted by the track rules (``block``: the block rules; agent mode: all).
 
-    Keys, numbers and other strings stay, and so does their order. A body that is no JSON is redacted as a text. Bodies without
-    a finding stay as they are, byte for byte; a null body gives an empty one.
+    All else stays byte for byte: keys, numbers, other strings, white space. A body that is no JSON is redacted as a
+    text. A valid body that were not valid any more would stay as it is. With ``sure`` a body is given as empty if the rules
+    still find something in its texts without tags, joined by blank lines: a value that tags or several texts share out.
+    A null body gives an empty one. Only bodies in which something is replaced are put together again.
     """
     modes = None if agent_mode and not block else ["block" if block else "track"]
     array = rule_array(rules, modes)
     rows = _with_leaves(df, body_col)
-    both = F.struct(F.col("_leaves").alias("old"), F.transform("_leaves", lambda x: redact(x.text, array).text).alias("new"))
+    both = F.struct(F.transform("_leaves", lambda x: x.text).alias("old"), F.transform("_leaves", lambda x: redact(x.text, array).text).alias("new"))
     rows = rows.select("*", F.explode(F.array(both)).alias("_texts"))  # a generator keeps the native part out of the UDF's arguments
+    changed = F.col("_texts.old") != F.col("_texts.new")
 
     @F.pandas_udf("string")
-    def assemble(bodies: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
+    def assemble(bodies: pd.Series, new: pd.Series) -> pd.Series:
         out = []
-        for body, before, after in zip(bodies, old, new, strict=True):
-            tree = _parsed(body)
-            texts = iter(after)
-            if all(b["text"] == a for b, a in zip(before, after, strict=True)):
-                out.append(body or "")
-            elif not isinstance(tree, (dict, list)):
-                out.append(next(texts))
-            else:
-                out.append(json.dumps(_replaced(tree, texts), ensure_ascii=False, separators=(",", ":")))
+        for body, texts in zip(bodies, new, strict=True):
+            places = None if body is None else text_places(body)
+            if places is None:
+                out.append(None if body is None else texts[0])
+                continue
+            parts, at = [], 0
+            for (_, a, b), text in zip(places, texts, strict=True):
+                if text != _decoded(body[a:b]):
+                    parts += [body[at:a], json.dumps(text, ensure_ascii=False)]
+                    at = b
+            out.append("".join([*parts, body[at:]]))
         return pd.Series(out)
 
-    return rows.withColumn("redacted_body", assemble(body_col, "_texts.old", "_texts.new")).drop("_leaves", "_texts")
-
-
-def _replaced(tree: object, texts: Iterator[str]) -> object:
-    """The tree with its texts replaced in the order in which _leaves finds them."""
-    stack: list[tuple[object, object, str]] = [({"": tree}, "", "")]
-    root = stack[0][0]
-    while stack:
-        holder, slot, key = stack.pop()
-        x = holder[slot]
-        if isinstance(x, dict):
-            stack.extend((x, k, k) for k in reversed(list(x)))
-        elif isinstance(x, list):
-            stack.extend((x, n, key) for n in reversed(range(len(x))))
-        elif isinstance(x, str) and key in TEXT_FIELDS:
-            holder[slot] = next(texts)
-    return root[""]
+    rows = rows.withColumn("_new", assemble.asNondeterministic()(F.when(changed, F.col(body_col)), F.when(changed, F.col("_texts.new"))))
+    body = F.coalesce(F.col(body_col), F.lit(""))
+    broken = F.try_parse_json("_new").isNull() & F.try_parse_json(body).isNotNull()
+    out = F.when(changed & ~broken, F.col("_new")).otherwise(body)
+    if sure:
+        whole = F.array_join(F.transform("_texts.new", squeezed), "\n\n")
+        out = F.when(F.size(inspect(whole, array)) == 0, out).otherwise("")
+    return once(rows, out, out_col).drop("_leaves", "_texts", "_new")

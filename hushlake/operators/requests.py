@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.operators.detect import let
 
-#: Tool results may nest; texts below this depth are left out, and deeper_nests counts the results that hold them.
-DEPTH = 3
+#: Tool results nest without limit. Expressions read them to this depth; bodies with deeper ones are walked as a whole.
+DEPTH = 1
 
 # Fixed values.
 TARGET_SUFFIXES = [
@@ -23,12 +26,17 @@ def no_texts() -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^\s++|(?<!\s)\s++\z", "")
 
 
 def squeezed(text: Column) -> Column:
-    """Tags and white space become single spaces."""
-    return trimmed(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"(?U)\s+", " "))
+    """Tags and white space become single spaces, and none at the ends. What follows the last > holds no tag."""
+
+    def of(t: Column, tail: Column) -> Column:
+        tags = F.regexp_replace(F.left(t, F.length(t) - F.length(tail)), "<[^>]++>", " ")
+        return F.trim(F.regexp_replace(F.concat(tags, tail), r"(?U)\s++", " "))
+
+    return let(text, lambda t: let(F.substring_index(t, ">", -1), lambda tail: of(t, tail)))
 
 
 def clean_texts(texts: Column) -> Column:
@@ -48,6 +56,10 @@ def _unless_empty(text: Column) -> Column:
     return F.filter(F.array(text), lambda t: t != "")
 
 
+def _blocks(content: Column) -> Column:
+    return F.coalesce(F.try_variant_get(content, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
 def content_texts(content: Column, depth: int = DEPTH) -> Column:
     """Texts of a content field: a string, or blocks, of which text blocks and tool results count."""
 
@@ -57,35 +69,68 @@ def content_texts(content: Column, depth: int = DEPTH) -> Column:
             out = out.when(_text(b, "$.type") == "tool_result", content_texts(F.try_variant_get(b, "$.content", "variant"), depth - 1))
         return out.otherwise(no_texts())
 
-    blocks = F.coalesce(F.try_variant_get(content, "$", "array<variant>"), F.array().cast("array<variant>"))
-    return (
-        F.when(_kind(content) == "STRING", _unless_empty(trimmed(_text(content, "$"))))
-        .when(_kind(content).startswith("ARRAY"), F.flatten(F.transform(blocks, of_block)))
-        .otherwise(no_texts())
-    )
+    def of(c: Column) -> Column:
+        texts = F.when(_kind(c) == "STRING", _unless_empty(trimmed(_text(c, "$"))))
+        return texts.when(_kind(c).startswith("ARRAY"), F.flatten(F.transform(_blocks(c), of_block))).otherwise(no_texts())
+
+    return let(content, of)
 
 
-def deeper_nests(content: Column, depth: int = DEPTH) -> Column:
-    """How many tool results of a content field lie too deep for content_texts."""
-    blocks = F.coalesce(F.try_variant_get(content, "$", "array<variant>"), F.array().cast("array<variant>"))
-    results = F.filter(blocks, lambda b: _text(b, "$.type") == "tool_result")
+def nests_deeper(content: Column, depth: int = DEPTH) -> Column:
+    """Whether a content field has tool results that lie too deep for content_texts."""
+    result = lambda b: _text(b, "$.type") == "tool_result"
     if depth == 0:
-        return F.size(results)
-    return F.aggregate(results, F.lit(0), lambda n, b: n + deeper_nests(F.try_variant_get(b, "$.content", "variant"), depth - 1))
+        return F.exists(_blocks(content), result)
+    return F.exists(_blocks(content), lambda b: result(b) & nests_deeper(F.try_variant_get(b, "$.content", "variant"), depth - 1))
+
+
+def walked_texts(content: object) -> list[str]:
+    """The texts that content_texts gives, untrimmed and at any depth, of parsed JSON."""
+    out: list[str] = []
+    stack = [content]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x.encode("utf-8", "replace").decode())
+        elif isinstance(x, list):
+            held = [b for b in x if isinstance(b, dict)]
+            texts = {"text": "text", "tool_result": "content"}
+            found = [b.get(texts[b["type"]]) for b in held if b.get("type") in texts and (b["type"] == "tool_result" or isinstance(b.get("text"), str))]
+            stack.extend(reversed(found))
+    return out
+
+
+def walked(body: Column) -> Column:
+    """struct<system, messages>: walked_texts of the system field and of each message; nulls for a null body."""
+
+    def of(body: str | None) -> tuple[list[str] | None, list[list[str]] | None]:
+        if body is None:
+            return None, None
+        request = json.loads(body)
+        return walked_texts(request.get("system")), [walked_texts(m.get("content")) for m in request.get("messages") or []]
+
+    @F.pandas_udf("struct<system: array<string>, messages: array<array<string>>>")
+    def walk(bodies: pd.Series) -> pd.DataFrame:
+        rows = [of(b) for b in bodies]
+        return pd.DataFrame({"system": pd.Series([a for a, _ in rows], dtype=object), "messages": pd.Series([b for _, b in rows], dtype=object)})
+
+    return walk.asNondeterministic()(body)  # for the planner: it is not to run twice
 
 
 def query_tag(text: Column) -> Column:
-    return trimmed(F.regexp_extract(text, "(?s)<user_query>(.*?)</user_query>", 1))
+    """What stands between the first <user_query> and the next </user_query>, trimmed; empty without such a pair."""
+    start, end = "<user_query>", "</user_query>"
+    inner = lambda rest: F.when(F.contains(rest, F.lit(end)), trimmed(F.substring_index(rest, end, 1))).otherwise("")
+    return let(text, lambda t: F.when(F.contains(t, F.lit(start)), let(F.substring(t, F.instr(t, start) + len(start), F.length(t)), inner)).otherwise(""))
 
 
 def query_of_string(text: Column) -> Column:
-    return F.when(query_tag(text) != "", query_tag(text)).otherwise(squeezed(text))
+    return let(query_tag(text), lambda q: F.when(q != "", q).otherwise(squeezed(text)))
 
 
 def query_of_content(content: Column) -> Column:
     """The first tagged query of a content field, or else its stripped text blocks, joined by blank lines."""
-    blocks = F.coalesce(F.try_variant_get(content, "$", "array<variant>"), F.array().cast("array<variant>"))
-    texts = F.transform(F.filter(blocks, lambda b: _text(b, "$.type") == "text"), lambda b: _text(b, "$.text"))
+    texts = F.transform(F.filter(_blocks(content), lambda b: _text(b, "$.type") == "text"), lambda b: _text(b, "$.text"))
 
     def of(ts: Column) -> Column:
         tagged = F.filter(F.transform(ts, query_tag), lambda t: t != "")
@@ -105,10 +150,11 @@ def _after(items: Column, position: Column) -> Column:
 
 
 def parse_request(df: DataFrame, body_col: str = "body") -> DataFrame:
-    """``df`` with request: struct<model, streaming, session_id, prompts, full_body, user_query, background, deeper_nests>.
+    """``df`` with request: struct<model, streaming, session_id, prompts, full_body, user_query, background>.
 
     prompts are the texts of the current turn (after the last assistant message), full_body those of all turns, both
-    cleaned. A null body, one that is no JSON object, or one with a used field of another type gives empty fields.
+    cleaned. Expressions read content down to tool results in tool results; a body that nests deeper goes through ``walked``,
+    which gets a null for all others. A null body, one that is no JSON object, or one with a used field of another type gives empty fields.
     """
     rows = df.withColumn("_v", F.try_parse_json(body_col))
     v = F.col("_v")
@@ -132,7 +178,13 @@ def parse_request(df: DataFrame, body_col: str = "body") -> DataFrame:
     rows = rows.withColumns({"_t": last_message, "_ti": last_item, "_ta": last_answer})
 
     content = lambda x: F.try_variant_get(x, "$.content", "variant")
-    of_messages = lambda xs: F.flatten(F.transform(xs, lambda x: content_texts(content(x))))
+    deep = nests_deeper(field("system")) | F.exists(m, lambda x: nests_deeper(content(x)))
+    rows = rows.withColumn("_w", walked(F.when(v.isNotNull() & F.coalesce(deep, F.lit(False)), F.col(body_col))))
+    cleaned = lambda texts: F.filter(F.transform(texts, squeezed), lambda t: t != "")
+    of_messages = F.coalesce(F.col("_w.messages"), F.transform(m, lambda x: content_texts(content(x))))
+    # Each message's texts once: the current turn is a part of all turns.
+    rows = rows.withColumns({"_mt": F.transform(of_messages, cleaned), "_st": F.coalesce(F.col("_w.system"), content_texts(field("system")))})
+    mt, system = F.col("_mt"), F.col("_st")
     parts = lambda x: F.filter(
         F.coalesce(F.try_variant_get(x, "$.content", "array<variant>"), F.array().cast("array<variant>")),
         lambda c: _text(c, "$.type").isin("input_text", "text") & (trimmed(_text(c, "$.text")) != ""),
@@ -145,9 +197,8 @@ def parse_request(df: DataFrame, body_col: str = "body") -> DataFrame:
     as_string = _kind(field("input")) == "STRING"
     input_text = F.when(as_string, _unless_empty(_text(v, "$.input"))).otherwise(no_texts())
     legacy = _unless_empty(_text(v, "$.prompt"))
-    system = content_texts(field("system"))
-    now = F.concat(system, of_messages(_after(m, F.col("_t"))), instructions, input_text, of_items(_after(i, F.col("_ti"))), legacy)
-    everything = F.concat(system, of_messages(m), instructions, input_text, of_items(i), legacy)
+    turn = lambda messages, items: F.array_distinct(F.concat(
+        cleaned(system), F.flatten(messages), cleaned(F.concat(instructions, input_text, of_items(items), legacy))))
 
     mine = F.filter(_after(m, F.col("_t")), lambda x: role(x) == "user")
     asked = F.filter(F.transform(mine, lambda x: query_of_content(content(x))), lambda q: q != "")
@@ -160,12 +211,12 @@ def parse_request(df: DataFrame, body_col: str = "body") -> DataFrame:
     user_id = F.coalesce(F.try_variant_get(v, "$.metadata.user_id", "string"), F.lit(""))
     request = F.struct(
         _text(v, "$.model").alias("model"), F.coalesce(F.try_variant_get(v, "$.stream", "boolean"), F.lit(False)).alias("streaming"),
-        _text(F.try_parse_json(user_id), "$.session_id").alias("session_id"), clean_texts(now).alias("prompts"), clean_texts(everything).alias("full_body"),
+        _text(F.try_parse_json(user_id), "$.session_id").alias("session_id"), turn(_after(mt, F.col("_t")), _after(i, F.col("_ti"))).alias("prompts"), turn(mt, i).alias("full_body"),
         F.when(F.size(queries) > 0, F.array_join(queries, "\n\n")).otherwise(_text(v, "$.prompt")).alias("user_query"),
-        F.coalesce(background, F.lit(False)).alias("background"), F.aggregate(m, F.lit(0), lambda n, x: n + deeper_nests(content(x))).alias("deeper_nests"),
+        F.coalesce(background, F.lit(False)).alias("background"),
     )
     # A struct out of a generator is computed once; out of a projection each of its fields would be, wherever it is used.
-    return rows.select("*", F.explode(F.array(request)).alias("request")).drop("_v", "_m", "_i", "_t", "_ti", "_ta")
+    return rows.select("*", F.explode(F.array(request)).alias("request")).drop("_v", "_m", "_i", "_t", "_ti", "_ta", "_w", "_mt", "_st")
 
 
 def strip_port(host: Column) -> Column:

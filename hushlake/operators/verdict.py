@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hushlake.operators.bodies import redact_bodies
 from hushlake.operators.detect import MATCH, inspect, let, redact, rule_array
 from hushlake.operators.requests import telemetry_summary
 
@@ -16,12 +17,23 @@ def none() -> Column:
 
 
 def verdict(df: DataFrame, rules: DataFrame, agent_mode: bool = False) -> DataFrame:
-    """Audit columns for rows with ``request`` (see parse_request): status, matches, history, prompt, redacted_prompt,
-    safe_text, notice.
+    """``df`` with the columns of ``judged``; rows without text and matches are left out."""
+    return with_columns(df, judged(rules, agent_mode))
+
+
+def with_columns(df: DataFrame, whole: Column) -> DataFrame:
+    """``df`` with a struct's fields. Out of a generator the struct is computed once, and the filter on it stays behind it."""
+    rows = df.select("*", F.explode(F.array(whole)).alias("_a")).where("_a IS NOT NULL")
+    return rows.select(*df.columns, "_a.*")
+
+
+def judged(rules: DataFrame, agent_mode: bool = False) -> Column:
+    """Audit columns for a row with ``request`` (see parse_request): struct<status, matches, history, prompt, redacted_prompt,
+    safe_text, notice>, null for a row without text and matches.
 
     The current turn blocks (unless the request is a background one) or redacts; matches of block rules that only
-    earlier turns hold redact. Agent mode inspects nothing and redacts with all rules. Rows without text and
-    matches are left out. All of it is narrow, and each text is inspected once.
+    earlier turns hold redact. Agent mode inspects nothing and redacts with all rules. All of it is narrow, and each
+    text is inspected once.
     """
     block = rule_array(rules, ["block"])
     track = rule_array(rules, None if agent_mode else ["track"])
@@ -53,10 +65,7 @@ def verdict(df: DataFrame, rules: DataFrame, agent_mode: bool = False) -> DataFr
         return let(found, lambda f: let(redact(now, track), lambda r: with_history(now, full, f, r)))
 
     joined = lambda c: F.array_join(F.col(f"request.{c}"), "\n\n")
-    whole = let(joined("prompts"), lambda now: let(joined("full_body"), lambda full: of(now, full)))
-    # Out of a generator the struct is computed once, and the filter on it is not moved in front of it.
-    rows = df.select("*", F.explode(F.array(whole)).alias("_a")).where("_a IS NOT NULL")
-    return rows.select(*df.columns, "_a.*")
+    return let(joined("prompts"), lambda now: let(joined("full_body"), lambda full: of(now, full)))
 
 
 def status_of(block: Column, track: Column, history: Column, background: Column, any_match: Column) -> Column:
@@ -79,14 +88,23 @@ def history_only(status: Column, matches: Column, prompt: Column, redacted_promp
     return (status == "redacted") & (F.size(matches) > 0) & same
 
 
-def telemetry_rows(df: DataFrame, body_col: str = "body") -> DataFrame:
-    """Rows of telemetry bodies as audit rows: the summary as prompt, no client and no model."""
-    return df.withColumns({"prompt": telemetry_summary(F.col(body_col)), "redacted_prompt": F.lit(""), "status": F.lit("telemetry"), "matches": none(), "history": none(),
-                           "safe_text": telemetry_summary(F.col(body_col)), "notice": F.lit(""), "client": F.lit(""), "model": F.lit(""), "session_id": F.lit("")})
+def telemetry(body: Column) -> Column:
+    """The audit columns (see judged) of a telemetry body: its summary as prompt."""
+    summary, empty = telemetry_summary(body), F.lit("")
+    fields = {"status": F.lit("telemetry"), "matches": none(), "history": none(), "prompt": summary, "redacted_prompt": empty, "safe_text": summary, "notice": empty}
+    return F.struct(*[c.alias(k) for k, c in fields.items()])
+
+
+def scrubbed_bodies(df: DataFrame, rules: DataFrame, body_col: str = "body") -> DataFrame:
+    """``df`` with scrubbed_body: the body of a row with history matches, its texts redacted by the block rules. It is
+    empty for other rows, and where the rules still find something in the body's texts taken together."""
+    rows = df.withColumn("_h", F.when(F.size("history") > 0, F.col(body_col)))
+    return redact_bodies(rows, rules, "_h", block=True, out_col="scrubbed_body", sure=True).drop("_h")
 
 
-def keep_response(df: DataFrame, response_col: str = "response", body_col: str = "body") -> DataFrame:
-    """llm_response stays for redacted rows only, raw_body only where history had matches, cut at CAP characters."""
+def keep_response(df: DataFrame, response_col: str = "response", body_col: str = "scrubbed_body") -> DataFrame:
+    """llm_response stays for redacted rows only; raw_body is the scrubbed body (see scrubbed_bodies), where history had
+    matches. Both are cut at CAP characters."""
     return df.withColumns({
         "llm_response": F.when(F.col("status") == "redacted", F.substring(response_col, 1, CAP)).otherwise(""),
         "raw_body": F.when(F.size("history") > 0, F.substring(body_col, 1, CAP)).otherwise(""),

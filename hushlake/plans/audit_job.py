@@ -12,14 +12,17 @@ from hushlake.sources.audit_log import AUDIT
 def audit_requests(rows: DataFrame, rules: DataFrame, agent_mode: bool = False) -> DataFrame:
     """Audit rows of requests to the watched hosts, before any response: verdicts of prompts, and summaries of telemetry.
 
-    Narrow throughout, so the same plan serves batches and streams.
+    Narrow throughout and with one read of the log, so the same plan serves batches and streams. Bodies go no further:
+    rows with history matches have a scrubbed_body.
     """
     rows = rows.where(requests.is_target_host(F.col("host"))).withColumn("host", requests.strip_port(F.col("host")))
-    telemetry = verdict.telemetry_rows(rows.where(requests.is_telemetry(F.col("body"))))
-    parsed = requests.session_and_client(requests.parse_request(rows.where(~requests.is_telemetry(F.col("body")))))
-    judged = verdict.verdict(parsed, rules, agent_mode).withColumn("model", F.col("request.model"))
-    both = judged.drop("request").unionByName(telemetry, allowMissingColumns=True)
-    return both.withColumn("agent_mode", F.lit(agent_mode))
+    rows = rows.withColumn("_telemetry", requests.is_telemetry(F.col("body"))).withColumn("_prompt", F.when(~F.col("_telemetry"), F.col("body")))
+    parsed = requests.session_and_client(requests.parse_request(rows, "_prompt"))
+    whole = F.when(F.col("_telemetry"), verdict.telemetry(F.col("body"))).otherwise(verdict.judged(rules, agent_mode))
+    found = verdict.scrubbed_bodies(verdict.with_columns(parsed, whole), rules)
+    own = lambda c: F.when(F.col("_telemetry"), F.lit("")).otherwise(c)
+    named = {"model": own(F.col("request.model")), "session_id": own(F.col("session_id")), "client": own(F.col("client")), "agent_mode": F.lit(agent_mode)}
+    return found.withColumns(named).drop("body", "headers", "request", "_telemetry", "_prompt")
 
 
 def attach_responses(judged: DataFrame, responses: DataFrame) -> DataFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushlake.functions import rules as R
 from hushlake.functions.dialect import replacement_to_re2
 from hushlake.operators import audit, detect, requests, verdict
+from hushlake.operators.bodies import redact_bodies
+from hushlake.operators.bodies import text_leaves as text_leaves_of
+from hushlake.plans import audit_job
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +44,7 @@ def audit_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("m"), (F.col("user_id") % 7).cast("string")).alias("model"), F.col("user_id").cast("string").alias("session_id"),
         F.coalesce(F.col("props"), F.lit("")).alias("prompt"), F.floor(F.col("value") * 10).cast("long").alias("duration_ms"),
         F.floor(F.col("value")).cast("long").alias("input_tokens"), (F.col("event_id") % 11).cast("long").alias("output_tokens"),
+        F.array(F.struct(F.col("event_type").alias("rule_name"))).alias("matches"), F.when(F.col("event_id") % 2 == 0, F.lit("")).otherwise("changed").alias("redacted_prompt"),
     )
 
 
@@ -95,11 +99,11 @@ def hits_by_lang_severity(spark, sf_dir):
 
 
 def first_match_pos(spark, sf_dir):
-    return detect.findings(documents(spark, sf_dir), R.builtin_rules(spark), ["doc_id"]).where("rule_id = 'email'").select("doc_id", "start")
+    return detect.findings(documents(spark, sf_dir), R.builtin_rules(spark), ["doc_id"]).select("doc_id", "rule_id", "start")
 
 
 def snippets(spark, sf_dir):
-    return detect.findings(documents(spark, sf_dir), R.builtin_rules(spark), ["doc_id"]).where("rule_id = 'sourcegraph-access-token'").select("doc_id", "start", "snippet")
+    return detect.findings(documents(spark, sf_dir), R.builtin_rules(spark), ["doc_id"]).select("doc_id", "rule_id", "snippet")
 
 
 def luhn_cards(spark, sf_dir):
@@ -122,7 +126,16 @@ def redact_all(spark, sf_dir):
 def redact_groups(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", F.concat("text", F.lit(PLANTED)).alias("text"))
     rules = R.builtin_rules(spark).where("rule_id = 'generic-secret'")
-    return detect.redact_text(rows, rules, agent_mode=True).select("doc_id", F.right("redacted", F.lit(100)).alias("tail"))
+    return detect.redact_text(rows, rules, agent_mode=True).select("doc_id", F.length("redacted").alias("chars"), F.md5("redacted").alias("digest"))
+
+
+def rule_report(spark, sf_dir):
+    """Rules with "key" in their name, id or description as they are listed, after a change of mode, with the documents they fire on."""
+    no_changes = spark.createDataFrame([], "n int, rule_id string, mode string, severity string")
+    rules = R.apply_overrides(R.builtin_rules(spark), R.set_mode(no_changes, "aws-access-token", "track"))
+    listed = R.list_rules(rules, "KEY").select("ord", "rule_id", R.rule_label().alias("label"), "severity", "mode")
+    found = detect.findings(documents(spark, sf_dir), rules, ["doc_id"]).groupBy("rule_id").agg(F.count("*").alias("docs"))
+    return listed.join(found, "rule_id", "left").select("ord", "rule_id", "label", "severity", "mode", F.coalesce("docs", F.lit(0)).alias("docs"))
 
 
 def scan_status(spark, sf_dir):
@@ -172,9 +185,7 @@ def current_turn(spark, sf_dir):
 
 
 def conversation_findings(spark, sf_dir) -> DataFrame:
-    rows = spread(planted_turns(spark, sf_dir))
-    last = F.max(F.when(F.col("role") == "assistant", F.col("turn"))).over(Window.partitionBy("conv_id"))
-    rows = rows.withColumn("now", F.coalesce(F.col("turn") > last, F.lit(True)))
+    rows = spread(audit.with_current(planted_turns(spark, sf_dir)))
     return detect.findings(rows, R.builtin_rules(spark), ["conv_id", "turn", "now"])
 
 
@@ -241,23 +252,94 @@ def usage(spark, sf_dir):
 
 
 def audit_of_requests(spark, sf_dir):
-    """Verdicts joined with their responses, by status."""
+    """Audit rows of the bodies with their responses, by status."""
+    logged = {"request_id": F.col("conv_id").cast("string"), "ts": F.lit("2024-01-01").cast("timestamp"), "host": F.lit("claude.ai:443"), "path": F.lit("/v1"), "headers": F.lit(None).cast("map<string,string>")}
+    judged = audit_job.audit_requests(bodies(spark, sf_dir).withColumns(logged), R.builtin_rules(spark))
+    answers = responses(spark, sf_dir).select(F.col("conv_id").cast("string").alias("request_id"), (F.col("conv_id") % 9).alias("duration_ms"), "response")
+    return audit_job.attach_responses(judged, answers).groupBy("status", "host").agg(
+        F.count("*").alias("n"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("duration_ms").alias("duration"),
+        F.sum(F.length("llm_response")).alias("said"),
+    )
+
+
+def block_notices(spark, sf_dir):
+    """What a blocked request gets as an answer, and what an export shows of it."""
     rows = verdict.verdict(requests.parse_request(bodies(spark, sf_dir)), R.builtin_rules(spark))
-    u = requests.usage(F.col("response"))
-    joined = rows.join(responses(spark, sf_dir), "conv_id", "left").select("status", F.coalesce(u.input_tokens, F.lit(0)).alias("i"), F.coalesce(u.output_tokens, F.lit(0)).alias("o"))
-    return joined.groupBy("status").agg(F.count("*").alias("n"), F.sum("i").alias("input_tokens"), F.sum("o").alias("output_tokens"))
+    return rows.where("status = 'blocked'").select("conv_id", "notice", "safe_text")
 
 
 def redact_body(spark, sf_dir):
-    from hushlake.operators.bodies import redact_bodies
-
-    return redact_bodies(bodies(spark, sf_dir), R.builtin_rules(spark), agent_mode=True).select("conv_id", "redacted_body")
+    """The texts of redacted bodies, by all rules."""
+    rows = redact_bodies(bodies(spark, sf_dir), R.builtin_rules(spark), agent_mode=True)
+    return text_leaves_of(rows, ["conv_id"], "redacted_body").select("conv_id", "pos", "text")
+
+
+def history_bodies(spark, sf_dir):
+    """The texts of the bodies that are stored because earlier turns held something: nothing of it is left in them."""
+    rules = R.builtin_rules(spark)
+    rows = verdict.scrubbed_bodies(verdict.verdict(requests.parse_request(bodies(spark, sf_dir)), rules), rules)
+    rows = verdict.keep_response(rows.where("size(history) > 0").withColumn("response", F.lit("")))
+    leaves = text_leaves_of(rows, ["conv_id"], "raw_body")
+    return detect.detect(leaves, rules, modes=["block"]).select("conv_id", "pos", "text", F.size("matches").alias("left"))
+
+
+def nested_results(spark, sf_dir):
+    """Turns as texts in tool results in tool results, up to eleven deep."""
+    rows = spread(planted_turns(spark, sf_dir).where("text IS NOT NULL"))
+    depth = ((F.col("conv_id") + F.col("turn")) % 12).cast("int")
+    block = F.concat(F.lit('[{"type":"text",'), F.substring(F.to_json(F.struct("text")), 2, 1 << 30), F.lit("]"))
+    body = F.concat(F.lit('{"messages":[{"role":"user","content":'), F.repeat(F.lit('[{"type":"tool_result","content":'), depth), block, F.repeat(F.lit("}]"), depth), F.lit("}]}"))
+    rows = verdict.verdict(requests.parse_request(rows.select("conv_id", "turn", body.alias("body"))), R.builtin_rules(spark))
+    return rows.select("conv_id", "turn", "status", F.array_join("request.prompts", "\n\n").alias("now"))
+
+
+def user_queries(spark, sf_dir):
+    """Turns as requests of four kinds: a tagged query, a background task, items of the responses API, a legacy prompt."""
+    rows = spread(planted_turns(spark, sf_dir).where("text IS NOT NULL"))
+    said = lambda text: F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), text.alias("content"))).alias("messages")))
+    part = lambda role, text: F.struct(F.lit(role).alias("role"), F.array(F.struct(F.lit("input_text").alias("type"), text.alias("text"))).alias("content"))
+    text = F.col("text")
+    items = F.array(part("user", F.lit("first")), part("assistant", F.lit("second")), part("user", text))
+    body = (
+        F.when(F.col("turn") % 4 == 0, said(F.concat(F.lit("<context>c</context><user_query> "), text, F.lit(" </user_query>"))))
+        .when(F.col("turn") % 4 == 1, said(F.concat(F.lit("Summarize the following: "), text)))
+        .when(F.col("turn") % 4 == 2, F.to_json(F.struct(F.lit("be brief").alias("instructions"), items.alias("input"))))
+        .otherwise(F.to_json(F.struct(text.alias("prompt"))))
+    )
+    rows = requests.parse_request(rows.select("conv_id", "turn", body.alias("body")))
+    return rows.select("conv_id", "turn", "request.user_query", "request.background", F.array_join("request.prompts", "\n\n").alias("now"))
+
+
+def telemetry(spark, sf_dir):
+    """Events as telemetry bodies; every fifth has no key and so is none."""
+    rows = spread(table(spark, sf_dir, "events"))
+    n = F.col("event_id")
+    traits = F.struct(F.when(n % 2 == 0, F.lit("x")).alias("name"), F.when(n % 3 == 0, F.lit("a@b.example")).alias("email"), F.lit("").alias("ip"))
+    event = lambda name: F.struct(name.alias("event"), F.struct(traits.alias("traits")).alias("context"))
+    batch = F.array(event(F.col("event_type")), event(F.lit("seen")), event(F.col("event_type")))
+    body = F.to_json(F.struct(F.when(n % 5 == 0, "").otherwise("k").alias("writeKey"), batch.alias("batch")))
+    rows = rows.select("event_id", body.alias("body"))
+    return rows.select("event_id", requests.is_telemetry(F.col("body")).alias("is_telemetry"), verdict.telemetry(F.col("body")).prompt.alias("summary"))
+
+
+def sessions(spark, sf_dir):
+    """Sessions and clients from headers of four kinds."""
+    rows, n = spread(table(spark, sf_dir, "events")), F.col("event_id") % 4
+    user = F.col("user_id").cast("string")
+    agent = [F.lit("User-Agent"), F.concat(F.lit("agent/"), user, F.lit(" linux"))]
+    headers = (
+        F.when(n == 0, F.create_map(F.lit("Vscode-Sessionid"), F.concat(F.lit("v"), user), *agent))
+        .when(n == 1, F.create_map(F.lit("x-client-session-id"), F.concat(F.lit("c"), user), F.lit("Copilot-Integration-Id"), F.lit("cli one"), *agent))
+        .when(n == 2, F.create_map(F.lit("X-Client-Session-Id"), F.concat(F.lit("c"), user), *agent))
+        .otherwise(F.create_map(*agent))
+    )
+    body = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("b"), user)).otherwise("")
+    rows = requests.session_and_client(rows.select("event_id", headers.alias("headers"), body.alias("s")), session=F.col("s"))
+    return rows.select("event_id", "session_id", "client")
 
 
 def text_leaves(spark, sf_dir):
-    from hushlake.operators.bodies import text_leaves
-
-    rows = text_leaves(bodies(spark, sf_dir), ["conv_id"])
+    rows = text_leaves_of(bodies(spark, sf_dir), ["conv_id"])
     return rows.groupBy("conv_id").agg(F.count("*").alias("leaves"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -279,7 +361,7 @@ def _context(rows: DataFrame) -> DataFrame:
 
 
 def _export(rows: DataFrame) -> DataFrame:
-    text = F.when(F.col("status") == "blocked", F.lit("[blocked]")).otherwise(F.col("prompt"))
+    text = verdict.safe_text(*map(F.col, ("status", "matches", "prompt", "redacted_prompt")))
     return audit.export_lines(audit.time_range(rows.withColumn("safe_text", text), "2024-01-05", "2024-01-12"))
 
 
@@ -291,6 +373,19 @@ def _previews(rows: DataFrame) -> DataFrame:
     return rows.where("status = 'flagged'").select("id", audit.preview(F.col("prompt"), 12).alias("preview"), audit.short_session(F.col("session_id")).alias("session"))
 
 
+def _history_flags(rows: DataFrame) -> DataFrame:
+    flag = verdict.history_only(*map(F.col, ("status", "matches", "prompt", "redacted_prompt")))
+    return rows.groupBy("status", flag.alias("history_only")).agg(F.count("*").alias("n"))
+
+
+def _header(rows: DataFrame) -> DataFrame:
+    return audit.export_header(audit.time_range(rows, "2024-01-05", "2024-01-12"), "2024-01-05", "2024-01-12")
+
+
+def _one_prompt(rows: DataFrame) -> DataFrame:
+    return audit.get_prompt(rows, 7).select("id", "ts", "host", "status", "client", "prompt")
+
+
 QUERIES: dict[str, Query] = {
     "rule_hits": rule_hits,
     "hits_by_lang_severity": hits_by_lang_severity,
@@ -315,7 +410,14 @@ QUERIES: dict[str, Query] = {
     "response_text": response_text,
     "usage": usage,
     "audit_of_requests": audit_of_requests,
+    "rule_report": rule_report,
+    "block_notices": block_notices,
     "redact_body": redact_body,
+    "history_bodies": history_bodies,
+    "nested_results": nested_results,
+    "user_queries": user_queries,
+    "telemetry": telemetry,
+    "sessions": sessions,
     "text_leaves": text_leaves,
     "audit_stats": _audit(audit.audit_stats),
     "most_flagged_host": _audit(audit.most_flagged_host),
@@ -328,6 +430,9 @@ QUERIES: dict[str, Query] = {
     "export_counts": _audit(lambda rows: audit.export_counts(audit.time_range(rows, "2024-01-05", "2024-01-12"))),
     "context_use": _audit(_context),
     "previews": _audit(_previews),
+    "history_flags": _audit(_history_flags),
+    "export_header": _audit(_header),
+    "get_prompt": _audit(_one_prompt),
 }
 
 _LATENCY = f"""SELECT client, model, list_sort(list(duration_ms)) AS d, count(*) AS sample FROM (
@@ -348,7 +453,18 @@ def _redact_sql(rows: list[tuple], text: str) -> str:
     return text
 
 
-_EMAIL, _GRAPH = BY_ID["email"][4], BY_ID["sourcegraph-access-token"][4]
+def _places_sql(what: str) -> str:
+    """Each document and rule with the first match (``hit``) and where it starts, from 1."""
+    parts = []
+    for r in ROWS:
+        if r[10] == "luhn":
+            hit = f"list_filter(regexp_extract_all(text, {sql_text(r[4])}), lambda m: {LUHN.format(m='m')})[1]"
+            start = f"length(regexp_extract(text, '(?s:^(.*?))\\b' || {hit} || '\\b', 1)) + 1"
+        else:
+            hit = f"regexp_extract(text, {sql_text(r[4])})"
+            start = f"length(regexp_extract(text, {sql_text('(?s:^(.*?))(?:' + r[4] + ')')}, 1)) + 1"
+        parts.append(f"SELECT doc_id, {sql_text(r[1])} AS rule_id, text, {hit} AS hit, {start} AS start FROM documents WHERE {rule_sql(r)}")
+    return f"SELECT {what} FROM ({' UNION ALL '.join(parts)})"
 
 
 def _fired_list(rows: list[tuple], text: str) -> str:
@@ -367,30 +483,68 @@ _VERDICTS = f"""(WITH p AS MATERIALIZED {_PARSED},
   FROM w WHERE now <> '' OR len(b) + len(t) + len(h) > 0)"""
 _USAGE = f"SELECT conv_id, CAST(max(length(text)) AS INT) AS input_tokens, CAST(max(turn + 1) AS INT) AS output_tokens FROM {TURNS} WHERE role = 'assistant' AND text IS NOT NULL GROUP BY conv_id"
 _CARDS = f"list_filter(list_distinct(regexp_extract_all(text, pattern)), lambda m: {LUHN.format(m='m')})"
-#: The fold as recursion: each step applies the next rule to what the one before left.
-_FOLD = f"""WITH RECURSIVE rules(ord, pattern, replacement, validator) AS (VALUES {', '.join(f"({r[0]}, {sql_text(r[4])}, {sql_text(replacement_to_re2(r[8]))}, '{r[10]}')" for r in ROWS)}),
-  f(doc_id, k, text, fired) AS (SELECT doc_id, 0, text, 0 FROM documents UNION ALL
-    SELECT doc_id, k + 1, after, fired + CASE WHEN after <> text THEN 1 ELSE 0 END FROM (SELECT doc_id, k, text, fired, CASE WHEN validator = 'luhn'
+
+
+def _fold_sql(source: str, keys: str, rows: list[tuple], where: str = "true") -> str:
+    """The fold as recursion: each step applies the next rule to what the one before left."""
+    values = ", ".join(f"({n}, {sql_text(r[4])}, {sql_text(replacement_to_re2(r[8]))}, '{r[10]}')" for n, r in enumerate(rows))
+    return f"""WITH RECURSIVE rules(ord, pattern, replacement, validator) AS (VALUES {values}),
+  f AS (SELECT {keys}, 0 AS k, text, 0 AS fired FROM {source} UNION ALL
+    SELECT {keys}, k + 1, after, fired + CASE WHEN after <> text THEN 1 ELSE 0 END FROM (SELECT {keys}, k, text, fired, CASE WHEN validator = 'luhn'
       THEN list_reduce(list_prepend(text, {_CARDS}), lambda t, m: regexp_replace(t, '\\b' || m || '\\b', '[REDACTED]', 'g'))
       ELSE regexp_replace(text, pattern, replacement, 'g') END AS after FROM f JOIN rules ON ord = k))
-  SELECT doc_id, text AS redacted, CAST(fired AS INT) AS fired FROM f WHERE k = {len(ROWS)} AND fired > 0"""
+  SELECT {keys}, text, CAST(fired AS INT) AS fired FROM f WHERE k = {len(rows)} AND {where}"""
+
+
+_LEAVES = f"(SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INT) AS pos, text FROM {TURNS} WHERE text IS NOT NULL)"
+_HISTORY = _VERDICTS.replace("SELECT conv_id, CASE WHEN len(b) > 0", "SELECT conv_id, h, b, CASE WHEN len(b) > 0")
+_NAMES = "MAP {" + ", ".join(f"{sql_text(r[1])}: {sql_text(r[2])}" for r in ROWS) + "}"
+_SQUEEZED = "trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _report_sql() -> str:
+    rank = {"high": 0, "medium": 1, "low": 2}
+    shown = sorted((r for r in ROWS if any("key" in r[k].lower() for k in (1, 2, 3))), key=lambda r: (rank[r[6]], r[2].lower()))
+    label = lambda r: " ".join(w.capitalize() for w in r[1].split("-")) if r[1] == r[2] else r[2]
+    return " UNION ALL ".join(
+        f"SELECT CAST({r[0]} AS INT) AS ord, {sql_text(r[1])} AS rule_id, {sql_text(label(r))} AS label, '{r[6]}' AS severity, "
+        f"'{'track' if r[1] == 'aws-access-token' else r[7]}' AS mode, count(*) AS docs FROM documents WHERE {rule_sql(r)}" for r in shown)
+
 
 SQL: dict[str, str] = {
     "rule_hits": " UNION ALL ".join(f"SELECT doc_id, {sql_text(r[1])} AS rule_id, '{r[6]}' AS severity, '{r[7]}' AS mode FROM documents WHERE {rule_sql(r)}" for r in ROWS),
     "hits_by_lang_severity": f"SELECT lang, severity, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM ({_ALL_HITS}) h JOIN documents USING (doc_id) GROUP BY ALL",
-    "first_match_pos": f"SELECT doc_id, CAST(length(regexp_extract(text, '(?s)^(.*?)' || {sql_text(_EMAIL)}, 1)) + 1 AS INT) AS start FROM documents WHERE regexp_matches(text, {sql_text(_EMAIL)})",
-    "snippets": f"""WITH m AS (SELECT doc_id, text, regexp_extract(text, {sql_text(_GRAPH)}) AS hit FROM documents WHERE regexp_matches(text, {sql_text(_GRAPH)})),
-      p AS (SELECT *, strpos(text, hit) AS start FROM m)
-      SELECT doc_id, CAST(start AS INT) AS start, CASE WHEN start > 21 THEN '…' ELSE '' END || substring(text, greatest(start - 20, 1), start + length(hit) + 19 - greatest(start - 20, 1) + 1)
-        || CASE WHEN start + length(hit) + 19 < length(text) THEN '…' ELSE '' END AS snippet FROM p""",
+    "first_match_pos": _places_sql("doc_id, rule_id, CAST(start AS INT) AS start"),
+    "snippets": _places_sql("""doc_id, rule_id, CASE WHEN start > 21 THEN '…' ELSE '' END || substring(text, greatest(start - 20, 1), start + length(hit) + 19 - greatest(start - 20, 1) + 1)
+        || CASE WHEN start + length(hit) + 19 < length(text) THEN '…' ELSE '' END AS snippet"""),
     "luhn_cards": f"SELECT doc_id, card FROM (SELECT doc_id, unnest(regexp_extract_all(text, {sql_text(BY_ID['credit-card'][4])})) AS card FROM documents) WHERE {LUHN.format(m='card')}",
     "redact_track": f"SELECT doc_id, {_redact_sql(TRACK, 'text')} AS redacted FROM documents WHERE " + " OR ".join(rule_sql(r) for r in TRACK),
-    "redact_groups": f"SELECT doc_id, right({_redact_sql([BY_ID['generic-secret']], f'(text || {sql_text(PLANTED)})')}, 100) AS tail FROM documents",
-    "redact_all": _FOLD,
+    "redact_groups": f"SELECT doc_id, CAST(length(t) AS INT) AS chars, md5(t) AS digest FROM (SELECT doc_id, {_redact_sql([BY_ID['generic-secret']], f'(text || {sql_text(PLANTED)})')} AS t FROM documents)",
+    "rule_report": _report_sql(),
+    "redact_body": f"SELECT conv_id, pos, text FROM ({_fold_sql(_LEAVES, 'conv_id, pos', ROWS)})",
+    "history_bodies": f"SELECT conv_id, pos, text, 0 AS left FROM ({_fold_sql(_LEAVES, 'conv_id, pos', BLOCK)}) WHERE conv_id IN (SELECT conv_id FROM {_HISTORY} WHERE len(h) > 0)",
+    "block_notices": f"""SELECT conv_id, 'This request was blocked. It held values that these rules find:' || chr(10) || array_to_string(list_transform(b, lambda x: '- ' || ({_NAMES})[x]), chr(10)) AS notice,
+      '[blocked — content withheld. Rules matched: ' || array_to_string(list_transform(string_split(rules, ','), lambda x: ({_NAMES})[x]), ', ') || ']' AS safe_text FROM {_HISTORY} WHERE status = 'blocked'""",
+    "nested_results": f"""SELECT conv_id, turn, CASE WHEN {' OR '.join(rule_sql(r, 'now') for r in BLOCK)} THEN 'blocked' WHEN {' OR '.join(rule_sql(r, 'now') for r in TRACK)} THEN 'redacted' ELSE 'clean' END AS status, now
+      FROM (SELECT conv_id, turn, {_SQUEEZED} AS now FROM {TURNS} WHERE text IS NOT NULL) WHERE now <> ''""",
+    "user_queries": f"""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN CASE WHEN raw <> '' THEN raw ELSE 'c' END WHEN 1 THEN trim('Summarize the following: ' || t) WHEN 2 THEN t ELSE text END AS user_query, turn % 4 = 1 AS background,
+      CASE turn % 4 WHEN 0 THEN trim('c ' || t) WHEN 1 THEN trim('Summarize the following: ' || t) WHEN 2 THEN 'be brief' || CASE WHEN t NOT IN ('', 'be brief') THEN chr(10) || chr(10) || t ELSE '' END ELSE t END AS now
+      FROM (SELECT conv_id, turn, text, {_SQUEEZED} AS t, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS raw FROM {TURNS} WHERE text IS NOT NULL)""",
+    "telemetry": """SELECT event_id, event_id % 5 <> 0 AS is_telemetry, 'Events: ' || event_type || ', seen' || CASE WHEN event_id % 6 = 0 THEN ' | PII fields: email, name'
+      WHEN event_id % 2 = 0 THEN ' | PII fields: name' WHEN event_id % 3 = 0 THEN ' | PII fields: email' ELSE '' END AS summary FROM events""",
+    "sessions": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'v' || user_id WHEN 1 THEN 'c' || user_id WHEN 2 THEN 'c' || user_id ELSE CASE WHEN user_id % 2 = 0 THEN 'b' || user_id ELSE '' END END AS session_id,
+      CASE WHEN event_id % 4 = 1 THEN 'cli' WHEN event_id % 4 = 3 AND user_id % 2 <> 0 THEN '' ELSE 'agent/' || user_id END AS client FROM events""",
+    "history_flags": f"SELECT status, status = 'redacted' AND (id % 2 = 0 OR prompt = 'changed') AS history_only, count(*) AS n FROM {AUDIT} GROUP BY ALL",
+    "export_header": f"""SELECT CAST(0 AS BIGINT) AS n, 'Days: 2024-01-05 to 2024-01-12' || chr(10) || 'Prompts: ' || count(*) || ', of which ' || count(*) FILTER (status = 'blocked') || ' blocked and '
+      || count(*) FILTER (status = 'redacted') || ' redacted' || chr(10) AS line FROM {AUDIT} WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-13'""",
+    "get_prompt": f"SELECT id, ts, host, status, client, prompt FROM {AUDIT} WHERE id = 7",
+    "redact_all": _fold_sql("documents", "doc_id", ROWS, "fired > 0").replace("text, CAST(fired", "text AS redacted, CAST(fired"),
     "parse_request": f"SELECT * FROM {_PARSED}",
     "request_verdict": f"SELECT * FROM {_VERDICTS}",
-    "audit_of_requests": f"""SELECT status, count(*) AS n, CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS input_tokens, CAST(sum(coalesce(output_tokens, 0)) AS BIGINT) AS output_tokens
-      FROM {_VERDICTS} LEFT JOIN ({_USAGE}) USING (conv_id) GROUP BY status""",
+    "audit_of_requests": f"""SELECT status, 'claude.ai' AS host, count(*) AS n, CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS input_tokens, CAST(sum(coalesce(output_tokens, 0)) AS BIGINT) AS output_tokens,
+      CAST(sum(CASE WHEN input_tokens IS NULL THEN 0 ELSE conv_id % 9 END) AS BIGINT) AS duration, CAST(sum(CASE WHEN status = 'redacted' THEN coalesce(said, 0) ELSE 0 END) AS BIGINT) AS said
+      FROM {_VERDICTS} LEFT JOIN ({_USAGE}) USING (conv_id)
+      LEFT JOIN (SELECT conv_id, sum(length(text)) AS said FROM {TURNS} WHERE role = 'assistant' AND text IS NOT NULL GROUP BY conv_id) USING (conv_id) GROUP BY status""",
     "scan_status": f"SELECT doc_id, CASE WHEN {' OR '.join(rule_sql(r) for r in BLOCK)} THEN 'blocked' WHEN {' OR '.join(rule_sql(r) for r in TRACK)} THEN 'redacted' ELSE 'clean' END AS status FROM documents",
     "severity_of_documents": "SELECT doc_id, CASE " + " ".join(
         f"WHEN {' OR '.join(rule_sql(r) for r in ROWS if r[6] == s)} THEN '{s}'" for s in ("high", "medium", "low")) + " ELSE '' END AS severity FROM documents",
@@ -424,7 +578,7 @@ SQL: dict[str, str] = {
     "list_page": f"SELECT id, ts, host, client FROM {AUDIT} WHERE status = 'blocked' AND (prompt ILIKE '%view%' OR host ILIKE '%view%' OR client ILIKE '%view%' OR session_id ILIKE '%view%') ORDER BY ts DESC, id DESC LIMIT 40 OFFSET 80",
     "search_count": f"SELECT count(*) AS n FROM {AUDIT} WHERE prompt ILIKE '%ANTHROPIC%' OR host ILIKE '%ANTHROPIC%' OR client ILIKE '%ANTHROPIC%' OR session_id ILIKE '%ANTHROPIC%'",
     "export_lines": f"""SELECT row_number() OVER (ORDER BY ts, id) AS n, '[' || row_number() OVER (ORDER BY ts, id) || '] ' || strftime(ts, '%Y-%m-%d %H:%M') || ' | ' || host || ' | ' || status || chr(10)
-      || CASE WHEN status = 'blocked' THEN '[blocked]' ELSE prompt END AS line FROM {AUDIT} WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-13'""",
+      || CASE WHEN status = 'blocked' THEN '[blocked — content withheld. Rules matched: ' || client || ']' WHEN id % 2 = 1 THEN 'changed' ELSE prompt END AS line FROM {AUDIT} WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-13'""",
     "export_counts": f"SELECT count(*) AS total, count(*) FILTER (status = 'blocked') AS blocked, count(*) FILTER (status = 'redacted') AS redacted FROM {AUDIT} WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-13'",
     "context_use": f"""WITH u AS (SELECT client, CASE WHEN input_tokens > 0 THEN CAST(least(floor(input_tokens / CAST(CASE WHEN contains(lower(client), 'click') THEN 400 WHEN contains(lower(client), 'view') THEN 150 ELSE 200000 END AS DOUBLE) * 100 + 0.5), 100) AS INT) END AS p FROM {AUDIT})
       SELECT CASE WHEN p >= 90 THEN 'red' WHEN p >= 75 THEN 'amber' WHEN p IS NOT NULL THEN 'green' END AS band, client, count(*) AS n, CAST(sum(p) AS BIGINT) AS percents FROM u GROUP BY ALL""",

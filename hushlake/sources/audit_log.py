@@ -54,6 +54,7 @@ def purge_audit(spark: SparkSession, path: str, day: str | None = None) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def export_text(lines: DataFrame, path: str) -> None:
-    """Write export lines (n, line) in order as text files: ranges of n are sorted apart."""
+def export_text(lines: DataFrame, path: str, header: DataFrame | None = None) -> None:
+    """Write export lines (n, line) in order as text files, after the header (see export_header): ranges of n are sorted apart."""
+    lines = lines if header is None else header.unionByName(lines)
     lines.repartitionByRange("n").sortWithinPartitions("n").select("line").write.mode("overwrite").text(path)

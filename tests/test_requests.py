@@ -32,11 +32,15 @@ def test_tool_results_nest(spark):
     inner = [{"type": "text", "text": "deep"}, {"type": "tool_result", "content": [{"type": "text", "text": "deeper"}]}]
     (r,) = parsed(spark, {"system": [{"type": "text", "text": "block system"}], "messages": [{"role": "user", "content": [
         {"type": "tool_result", "content": "plain"}, {"type": "tool_result", "content": inner}, {"type": "tool_use", "input": {"a": "skipped"}}, {"type": "text", "text": "ask"}]}]})
-    assert r.prompts == ["block system", "plain", "deep", "deeper", "ask"] and r.user_query == "ask" and r.deeper_nests == 0
-    for _ in range(4):
-        inner = [{"type": "tool_result", "content": inner}]
-    (r,) = parsed(spark, {"messages": [{"role": "user", "content": inner}]})
-    assert r.prompts == [] and r.deeper_nests == 1
+    assert r.prompts == ["block system", "plain", "deep", "deeper", "ask"] and r.user_query == "ask"
+    for depth in (1, 2, 7, 300):
+        for _ in range(depth):
+            inner = [{"type": "text", "text": f" before {depth} "}, {"type": "tool_result", "content": inner}]
+        messages = [{"role": "user", "content": "x"}, {"role": "assistant", "content": inner}, {"role": "user", "content": inner}, {"role": "user", "content": "last"}]
+        (r,) = parsed(spark, {"system": "s", "messages": messages})
+        assert r.prompts[0] == "s" and r.prompts[-1] == "last" and r.prompts[-3:-1] == ["deep", "deeper"] and f"before {depth}" in r.prompts and r.full_body[1] == "x", depth
+    (r,) = parsed(spark, {"system": [{"type": "tool_result", "content": [{"type": "tool_result", "content": [{"type": "tool_result", "content": [{"type": "text", "text": 5}, 7, None]}]}]}], "messages": []})
+    assert r.prompts == []
 
 
 def test_tagged_query(spark):

@@ -125,9 +125,16 @@ def test_audit_job_and_log(spark, logs):
     rows = {r.request_id: r for r in S.read_audit(spark, f"{logs}/audit").collect()}
     assert set(rows) == {"clean", "block", "track", "history", "background", "span", "beat"} and rows["beat"].status == "telemetry" and rows["beat"].prompt == "Events: e"
     assert (rows["track"].llm_response, rows["clean"].llm_response, rows["track"].input_tokens, rows["track"].duration_ms) == ("hi", "", 3, 7)
-    assert rows["history"].raw_body == BODIES["history"] and rows["track"].raw_body == "" and rows["clean"].client == "tool/1" and rows["clean"].host == "api.openai.com"
+    assert rows["history"].raw_body == BODIES["history"].replace(SSN, "[REDACTED]") and rows["track"].raw_body == "" and rows["clean"].client == "tool/1" and rows["clean"].host == "api.openai.com"
     assert rows["clean"].ts.microsecond == 0
-    S.export_text(A.export_lines(S.read_audit(spark, f"{logs}/audit").withColumn("id", F.col("request_id"))), f"{logs}/text")
+    for r in rows.values():  # what is stored of a request with history matches holds no value that a block rule finds
+        assert r.request_id != "history" or not any(SSN in str(x) for k, x in r.asDict().items() if k != "matches")  # a match keeps its snippet
+    log = S.read_audit(spark, f"{logs}/audit").withColumn("id", F.col("request_id"))
+    some = A.time_range(log, "2024-01-02", "2024-01-02")
+    assert some.count() == 2 and "PartitionFilters: [isnotnull(dt" in some._jdf.queryExecution().toString()
+    S.export_text(A.export_lines(log), f"{logs}/text", A.export_header(log, None, "2024-01-03"))
+    text = "\n".join(r.value for r in sorted(spark.read.text(f"{logs}/text").collect(), key=lambda r: 0))
+    assert "Days: the first to 2024-01-03\nPrompts: 7, of which 2 blocked and 3 redacted" in text
     assert SSN not in "".join(r.value for r in spark.read.text(f"{logs}/text").collect())
     S.purge_audit(spark, f"{logs}/audit", "2024-01-02")
     assert {r.ts.day for r in S.read_audit(spark, f"{logs}/audit").collect()} == {1, 3}
@@ -185,3 +192,48 @@ def test_stream_responses(spark, logs):
     rows = []
     joined.writeStream.outputMode("append").foreachBatch(lambda df, n: rows.extend(df.select("request_id", "duration_ms", "llm_response").collect())).option("checkpointLocation", f"{logs}/c5").trigger(availableNow=True).start().awaitTermination(120)
     assert ("clean", 7, "") in set(map(tuple, rows))
+
+
+def test_stream_late_and_missing_responses(spark, logs):
+    import os
+
+    os.makedirs(f"{logs}/r1")
+    os.makedirs(f"{logs}/r2")
+
+    def put(folder, n, rows):
+        names = ["request_id", "ts", "host", "path", "headers", "body"] if folder == "r1" else ["request_id", "response_ts", "duration_ms", "response"]
+        with open(f"{logs}/{folder}/{n}.json", "w") as f:
+            f.writelines(json.dumps(dict(zip(names, r, strict=True))) + "\n" for r in rows)
+
+    request = lambda k, t: (k, f"2024-01-01T{t}Z", "claude.ai", "/", {}, BODIES["track"])
+    answer = lambda k, t: (k, f"2024-01-01T{t}Z", 9, json.dumps({"content": [{"type": "text", "text": "hi"}]}))
+    put("r1", 0, [request("answered", "00:00:00"), request("none", "00:00:01"), request("late", "00:00:02")])
+    put("r2", 0, [answer("answered", "00:00:05"), answer("late", "00:30:00"), answer("nobody", "00:00:05")])
+    rows = []
+
+    def run():
+        live = T.stream_verdict(S.read_requests(spark, f"{logs}/r1", stream=True), R.builtin_rules(spark))
+        joined = T.stream_responses(live, S.read_responses(spark, f"{logs}/r2", stream=True))
+        writer = joined.writeStream.outputMode("append").foreachBatch(lambda df, n: rows.extend(df.select("request_id", "duration_ms", "llm_response").collect()))
+        writer.option("checkpointLocation", f"{logs}/r3").trigger(availableNow=True).start().awaitTermination(240)
+
+    run()
+    assert ("answered", 9, "hi") in set(map(tuple, rows)) and "nobody" not in {r.request_id for r in rows}
+    # once the watermark of both sides has passed the time that a response may take, what had none in time is written without
+    put("r1", 1, [request("next", "02:00:00")])
+    put("r2", 1, [answer("next", "02:00:01")])
+    run()
+    put("r1", 2, [request("last", "04:00:00")])
+    put("r2", 2, [answer("last", "04:00:01")])
+    run()
+    got = sorted(tuple(r) for r in rows if r.request_id != "last")
+    assert got == [("answered", 9, "hi"), ("late", 0, ""), ("next", 9, "hi"), ("none", 0, "")]
+
+
+def test_header_and_labels(spark):
+    df, _ = log(spark)
+    head = A.export_header(A.time_range(df, "2024-01-02", None), "2024-01-02").first()
+    assert head.n == 0 and head.line.startswith("Days: 2024-01-02 to the last\nPrompts: 80, of which ")
+    rules = R.builtin_rules(spark).where("rule_id IN ('ssn', 'aws-access-token', '1password-secret-key')")
+    labels = {r.rule_id: r.label for r in rules.select("rule_id", R.rule_label().alias("label")).collect()}
+    assert labels == {"ssn": "Social Security Number", "aws-access-token": "Aws Access Token", "1password-secret-key": "1password Secret Key"}
