@@ -38,7 +38,7 @@ SIDE, DIMS = 2, 15
 STEP, CHUNK = 8192, 1 << 17
 
 #: White-space chunks, or words, that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 
 _tokens = re.compile(r"\w+|[^\w\s]").findall
 
@@ -49,7 +49,8 @@ class Hasher(dict):
     def __missing__(self, chunk: str) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
-        self[chunk] = out = b"".join(zlib.crc32(t.encode()).to_bytes(4, "little") for t in _tokens(chunk))
+        tokens = [chunk] if chunk.isalnum() else _tokens(chunk)
+        self[chunk] = out = b"".join([zlib.crc32(t.encode()).to_bytes(4, "little") for t in tokens])
         return out
 
     def numbers(self, text: str) -> bytes:
@@ -77,9 +78,11 @@ def tokenised(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def chunks(part: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The tokens of successive texts one after another, and how many each has, about CHUNK tokens at a time."""
-    ends = np.cumsum(np.diff(np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1])) // 4
-    words = np.frombuffer(b"".join(part.to_pylist()), "<u4")
-    sizes = np.diff(ends, prepend=0)
+    if not len(part):
+        return
+    places = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1] // 4
+    words = np.frombuffer(part.buffers()[2] or b"", "<u4")[places[0] : places[-1]]
+    ends, sizes = places[1:] - places[0], np.diff(places)
     lo = 0
     while lo < len(sizes):
         before = ends[lo - 1] if lo else 0
