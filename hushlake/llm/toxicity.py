@@ -135,11 +135,11 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 500, batch: int = 3
     """Adam on the log loss, lazily for embeddings. Windows that reach past a document's end see zeros, as in Scorer."""
     rng = np.random.default_rng(seed)
     labels, epochs = labels.astype(np.float32), max(2, round(steps * batch / max(1, len(texts))))
-    split = [_words(t.lower()) for t in texts]
-    vocab = {w: k for k, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
+    vocab: dict[str, int] = {}
+    # A text becomes numbers at once: the words of all texts as strings would fill the driver's memory.
+    docs = [np.array([vocab.setdefault(w, len(vocab)) for w in _words(t.lower())], np.int32) for t in texts]
     flat_feats, n_feats = features(list(vocab)) if vocab else (np.zeros(0, np.int64), np.zeros(0, int))
     feats = np.split(flat_feats, np.cumsum(n_feats)[:-1]) if vocab else []
-    docs = [np.array([vocab[w] for w in ws], np.int64) for ws in split]
     model = Model(
         rng.normal(0, 0.1, (FEATURES, DIMS)).astype(np.float32),
         [rng.normal(0, (2 / (w * DIMS)) ** 0.5, (w, DIMS, FILTERS)).astype(np.float32) for w in WIDTHS],
