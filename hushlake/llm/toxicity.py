@@ -102,7 +102,9 @@ class Scorer:
             first = len(self.known) + 1
             self.known.update(zip(new, range(first, first + len(new)), strict=True))
             while len(self.table) < first + len(new):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                grown = np.zeros((2 * len(self.table), self.table.shape[1]), np.float32)  # rows not yet used take no memory
+                grown[: len(self.table)] = self.table
+                self.table = grown
             for k in range(0, len(new), 5000):
                 self.table[first + k : first + min(k + 5000, len(new))] = self.model.responses(new[k : k + 5000])
         best = np.full((len(texts), POOLED), -np.inf, np.float32)
