@@ -1,9 +1,9 @@
 """The document pipeline: each stage calls one operator, and its decisions take effect on the documents that go on.
 
-A row is a document, whatever its doc_id: where a doc_id is null or several rows have it, the dedup stages tell the rows
-apart by a number that they give them, and one row of each group goes on, that with the smallest doc_id (null behind all
-others). Null texts count as empty. Only the columns of ``documents`` go from stage to stage; others, whatever their
-names, are left out.
+A doc_id names a document, together with its text where rows share a doc_id or have none: of such rows those with other
+texts are judged apart, and fully equal ones stay or go together. Rows without a doc_id go through the n-gram stage
+unchanged, as it compares documents by their ids. Null texts count as empty. Only the columns of ``documents`` go from
+stage to stage; others, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -29,22 +29,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select(*COLUMNS), fitted).where(~F.col("tox_rejected")).select(*COLUMNS)
 
 
-def first_of_each(docs: DataFrame, group: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """One row of each group. ``group`` gets the rows with their numbers (_row) and returns (_row, _group)."""
-    rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
-    ids = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row").alias("at"))
-    first = ids.join(group(rows), "_row").groupBy("_group").agg(F.min("at").alias("at")).select("at._row")
-    return rows.join(first, "_row", "left_semi").select(*COLUMNS)
-
-
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row goes on, that with the smallest doc_id."""
-    return first_of_each(docs, lambda rows: exact_duplicates(rows, "_row").select("_row", F.col("keep_id").alias("_group")))
+    """Of equal texts the row with the smallest doc_id goes on."""
+    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    digest = F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, lower).cast("binary"), 256)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_sha"))
+    return docs.select(*COLUMNS).join(kept, same, "left_semi")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents linked by n-gram similarity one row goes on, that with the smallest doc_id."""
-    return first_of_each(docs, lambda rows: jaccard_join(rows, id_col="_row").select("_row", F.col("class_id").alias("_group")))
+    """Of each class of documents linked by n-gram similarity the one with the smallest doc_id goes on."""
+    docs = docs.select(*COLUMNS)
+    kept = jaccard_join(docs).where(F.col("class_id") == F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
