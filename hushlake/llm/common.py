@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,22 @@ def fresh(df: DataFrame, stem: str) -> str:
     return stem
 
 
+T = TypeVar("T")
+_kept: list[tuple[Hashable, object]] = []
+
+
+def kept(key: Hashable, make: Callable[[], T]) -> T:
+    """What ``make`` gives, kept from task to task by a Python worker as long as no task asks for another key.
+
+    A worker outlives stages: were each operator to keep its own memory of words, a job of many stages would hold all of
+    them at once.
+    """
+    if not _kept or _kept[0][0] != key:
+        _kept.clear()  # before the next one is made
+        _kept.append((key, make()))
+    return _kept[0][1]
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Groups of adjacent rows with equal (non-null) keys, across batch borders, from rows sorted by the keys."""
     held: list[pa.Table] = []

@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushlake.llm.blocks import UNIT, UNIT_SCHEMA, units
-from hushlake.llm.common import connected_components, runs, written
+from hushlake.llm.common import connected_components, kept, runs, written
 
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 
-#: Words whose hash a task remembers; beyond it the memory starts anew.
+#: Words whose hash a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 500_000
 
 #: Shingles of a unit's documents, at about which its blocks become smaller.
@@ -160,7 +160,7 @@ def jaccard_join(
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = shingler(words)
+        shingles = kept(("shingles", words), lambda: shingler(words))
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -193,7 +193,7 @@ def jaccard_join(
     survivors = written(survivors)
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = shingler(words)
+        shingles = kept(("shingles", words), lambda: shingler(words))
         done: set[int] = set()  # repeated rows: each task gives an entry's set once
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):

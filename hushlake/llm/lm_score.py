@@ -6,7 +6,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushlake.llm.common import fresh, written
+from hushlake.llm.common import fresh, kept, written
 
 #: The network predicts one of CLASSES classes, then one of LEAVES leaves of that class.
 CLASSES, LEAVES = 32, 32
@@ -57,18 +56,12 @@ class Hasher(dict):
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
-@lru_cache(maxsize=1)
-def remembered() -> Hasher:
-    """What a worker knows of tokens, for all its tasks."""
-    return Hasher()
-
-
 def tokenised(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``text_col`` replaced by lm_words, the numbers of its tokens (words and signs, lower-cased) as
     little-endian 32-bit words, and with lm_row, a number for each row. It is written once and read by all later steps."""
 
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        numbers = remembered().numbers
+        numbers = kept("token numbers", Hasher).numbers
         for part in parts:
             yield pa.array([numbers(t) for t in part.to_pylist()], pa.binary())
 

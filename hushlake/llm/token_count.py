@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushlake.llm.common import kept
+
 #: The pre-token pattern and the byte order of the byte-level alphabet of this family of vocabularies.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [(0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)]
@@ -112,9 +114,8 @@ def merges(path: str) -> Merges:
     return Merges(path)
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> Callable[[list[str]], list[int]]:
-    """A function that counts the tokens of texts; the pre-tokens and counts that it remembers last as long as the worker."""
+    """A function that counts the tokens of texts and remembers the counts of pre-tokens."""
     table, known = merges(path), {}
     find = regex.compile(PRE_TOKEN).findall
     cut = regex.compile("|".join(regex.escape(s) for s in sorted(table.special, key=len, reverse=True))) if table.special else None
@@ -153,7 +154,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path)
+        count = kept(("counts", path), lambda: counter(path))
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)

@@ -10,18 +10,22 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushlake.llm.common import BROADCAST_ROWS, fresh
+from hushlake.llm.common import BROADCAST_ROWS, fresh, kept
 
 FEATURES, DIMS, FILTERS, WIDTHS = 1 << 15, 16, 12, (1, 2, 3)
 PAD = max(WIDTHS) - 1
 POOLED = FILTERS * len(WIDTHS)
 
-#: Words whose filter responses a task remembers; beyond it the memory starts anew.
+#: Words whose filter responses a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 150_000
 
+#: Bytes of texts, about, that are split into words at a time, and words whose pieces are hashed at a time.
+SLICE, HASHED = 1 << 20, 2000
+
 #: Tokens that are convolved at a time; a longer document goes in slices that overlap by PAD, with the same maxima.
 TOKENS = 1 << 16
 
@@ -63,11 +67,20 @@ class Model:
     out: np.ndarray  # POOLED
     shift: float
 
+    def digest(self) -> int:
+        """A number that tells models apart."""
+        return zlib.crc32(b"".join(p.tobytes() for p in (self.embed, *self.filters, self.bias, self.out, np.float64(self.shift))))
+
     def responses(self, words: list[str]) -> np.ndarray:
         """For each word, what it adds to each filter at each of its places: sum(WIDTHS) * FILTERS numbers."""
         feats, counts = features(words)
         vectors = np.add.reduceat(self.embed[feats], np.cumsum(counts) - counts) / counts[:, None]
-        return vectors.astype(np.float32) @ np.concatenate([f.transpose(1, 0, 2).reshape(DIMS, -1) for f in self.filters], axis=1).astype(np.float32)
+        weights = np.concatenate([f.transpose(1, 0, 2).reshape(DIMS, -1) for f in self.filters], axis=1).astype(np.float32)
+        # Added up one dimension after another: a matrix product's rounding would depend on the words beside.
+        out = np.zeros((len(words), weights.shape[1]), np.float32)
+        for x, w in zip(vectors.astype(np.float32).T, weights, strict=True):
+            out += x[:, None] * w
+        return out
 
 
 class Scorer:
@@ -105,8 +118,8 @@ class Scorer:
                 grown = np.zeros((2 * len(self.table), self.table.shape[1]), np.float32)  # rows not yet used take no memory
                 grown[: len(self.table)] = self.table
                 self.table = grown
-            for k in range(0, len(new), 5000):
-                self.table[first + k : first + min(k + 5000, len(new))] = self.model.responses(new[k : k + 5000])
+            for k in range(0, len(new), HASHED):
+                self.table[first + k : first + min(k + HASHED, len(new))] = self.model.responses(new[k : k + HASHED])
         best = np.full((len(texts), POOLED), -np.inf, np.float32)
         owners, held, size = [], [], 0
 
@@ -130,7 +143,7 @@ class Scorer:
                     size = 0
         flush()
         hidden = np.maximum(best.astype(float) + self.model.bias, 0)
-        return 1 / (1 + np.exp(-np.clip(hidden @ self.model.out + self.model.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip((hidden * self.model.out).sum(axis=1) + self.model.shift, -30, 30)))
 
 
 def train(texts: list[str], labels: np.ndarray, steps: int = 500, batch: int = 32, rate: float = 0.01, seed: int = 0) -> Model:
@@ -330,21 +343,23 @@ def score(docs: DataFrame, fitted: Toxicity) -> DataFrame:
     Only the text enters the score, whole texts however long; a null text counts as empty and has the score of no
     words. Repeated rows score alike; empty input gives no rows; all columns of ``docs`` stay.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fitted.model)
-    scorers: list[Scorer] = []
+    shared, name = docs.sparkSession.sparkContext.broadcast(fitted.model), fitted.model.digest()
 
     def run(texts: Iterator["pa.Array"]) -> Iterator["pa.Array"]:
-        if not scorers:
-            scorers.append(Scorer(shared.value))
+        scorer = kept(("toxicity", name), lambda: Scorer(shared.value))
         for part in texts:
-            yield pa.array(np.concatenate([np.zeros(0), *(scorers[0].scores(part[k : k + 500].to_pylist()) for k in range(0, len(part), 500))]))
+            # A slice ends where its texts pass SLICE bytes, so that a few long ones do not fill the memory.
+            at = np.cumsum(pc.binary_length(part).to_numpy(zero_copy_only=False)) // SLICE
+            ends = np.append(np.flatnonzero(np.diff(at)) + 1, len(part)).tolist()
+            cuts = zip([0, *ends[:-1]], ends, strict=True)
+            yield pa.array(np.concatenate([np.zeros(0), *(scorer.scores(part[a:b].to_pylist()) for a, b in cuts if a < b)]))
 
     udf = F.arrow_udf(run, "double")
-    name = fresh(docs, "tox_score")
-    rows = docs.withColumn(name, udf(F.coalesce("text", F.lit(""))))
+    column = fresh(docs, "tox_score")
+    rows = docs.withColumn(column, udf(F.coalesce("text", F.lit(""))))
     limits = [F.lit(x) for k, v in sorted(fitted.by_lang.items()) for x in (k, v)]
     limit = F.coalesce(F.element_at(F.create_map(*limits), F.coalesce("lang", F.lit(""))), F.lit(fitted.threshold)) if limits else F.lit(fitted.threshold)
-    return rows.withColumn(fresh(docs, "tox_rejected"), F.col(name) >= limit)
+    return rows.withColumn(fresh(docs, "tox_rejected"), F.col(column) >= limit)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
