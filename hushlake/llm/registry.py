@@ -1,6 +1,6 @@
 """Registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from hushlake.llm import exact_dedup, html_text, jaccard, lm_score, mixing, near_vectors, packing, token_count, toxicity, url_filter
+from hushlake.llm import centroids, exact_dedup, filter_audit, html_text, jaccard, lm_score, mixing, near_vectors, packing, secrets, token_count, toxicity, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -13,9 +13,15 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_lm_score": lm_score.op9_lm_score,
     "op10_html_extraction": html_text.op10_html_extraction,
+    "op11_centroids": centroids.op11_centroids,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_secret_scan": secrets.op13_secret_scan,
 }
 
 SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op11_centroids": centroids.OP11_SQL,
+    "op12_filter_audit": filter_audit.OP12_SQL,
+    "op13_secret_scan": secrets.OP13_SQL,
 }
