@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.operators.detect import inspect, once, redact, rule_array
+from hushlake.operators.json_reader import read_json
 from hushlake.operators.requests import squeezed
 
 # A string is text when the nearest key above it is one of these; array elements have their array's key.
@@ -23,15 +24,26 @@ def _no_number(name: str) -> None:
     raise ValueError(f"{name} is no JSON")
 
 
+def _holds_texts(body: str) -> bool:
+    """Whether it is JSON of an object or array. Numbers are of any length, and so is depth: where the fast reader ends, the other one goes on."""
+    try:
+        return isinstance(json.loads(body, parse_constant=_no_number, parse_int=len, parse_float=len), (dict, list))
+    except RecursionError:
+        pass
+    except ValueError:
+        return False
+    try:
+        return isinstance(read_json(body), (dict, list))
+    except ValueError:
+        return False
+
+
 def text_places(body: str) -> list[tuple[str, int, int]] | None:
     """(field, start, end) of each text's string literal in order; None where the body is no JSON object or array.
 
     The literals are found in the body as it is written, so that all around them can stay as it is.
     """
-    try:
-        if not isinstance(json.loads(body, parse_constant=_no_number), (dict, list)):
-            return None
-    except (ValueError, RecursionError):
+    if not _holds_texts(body):
         return None
     found: list[tuple[str, int, int]] = []
     stack: list[list] = []  # whether it is an object, and the key that its next value has

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.operators.detect import let
+from hushlake.operators.json_reader import PII_KEYS, slimmed
 
-#: Tool results nest without limit. Expressions read them to this depth; bodies with deeper ones are walked as a whole.
+#: Tool results nest without limit. Expressions read them to this depth; of bodies with deeper ones another reader flattens them.
 DEPTH = 1
 
 # Fixed values.
@@ -18,7 +16,6 @@ TARGET_SUFFIXES = [
     "api.openai.com", "api.anthropic.com", "api.githubcopilot.com", "copilot-proxy.githubusercontent.com", ".githubcopilot.com", ".openai.com", ".anthropic.com", "claude.ai",
 ]
 BACKGROUND_STARTS = ["Summarize the following", "Please write a brief title", "Please generate exactly"]
-PII_KEYS = ["email", "userId", "user_id", "anonymousId", "ip", "phone", "name"]
 
 
 def no_texts() -> Column:
@@ -84,37 +81,22 @@ def nests_deeper(content: Column, depth: int = DEPTH) -> Column:
     return F.exists(_blocks(content), lambda b: result(b) & nests_deeper(F.try_variant_get(b, "$.content", "variant"), depth - 1))
 
 
-def walked_texts(content: object) -> list[str]:
-    """The texts that content_texts gives, untrimmed and at any depth, of parsed JSON."""
-    out: list[str] = []
-    stack = [content]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            out.append(x.encode("utf-8", "replace").decode())
-        elif isinstance(x, list):
-            held = [b for b in x if isinstance(b, dict)]
-            texts = {"text": "text", "tool_result": "content"}
-            found = [b.get(texts[b["type"]]) for b in held if b.get("type") in texts and (b["type"] == "tool_result" or isinstance(b.get("text"), str))]
-            stack.extend(reversed(found))
-    return out
-
-
-def walked(body: Column) -> Column:
-    """struct<system, messages>: walked_texts of the system field and of each message; nulls for a null body."""
+def readable(df: DataFrame, body_col: str = "body", out_col: str = "readable") -> DataFrame:
+    """``df`` with ``out_col``: a body that VARIANT and the expressions here can read.
 
-    def of(body: str | None) -> tuple[list[str] | None, list[list[str]] | None]:
-        if body is None:
-            return None, None
-        request = json.loads(body)
-        return walked_texts(request.get("system")), [walked_texts(m.get("content")) for m in request.get("messages") or []]
-
-    @F.pandas_udf("struct<system: array<string>, messages: array<array<string>>>")
-    def walk(bodies: pd.Series) -> pd.DataFrame:
-        rows = [of(b) for b in bodies]
-        return pd.DataFrame({"system": pd.Series([a for a, _ in rows], dtype=object), "messages": pd.Series([b for _, b in rows], dtype=object)})
-
-    return walk.asNondeterministic()(body)  # for the planner: it is not to run twice
+    That is the body itself for nearly all rows. Bodies that VARIANT refuses though they hold an object (double keys, long
+    numbers or keys, great depth), and those with tool results deeper than expressions go, are cut down to their used fields by
+    ``slimmed`` (one Arrow pass, which gets a null for all others). Null where no reader finds an object.
+    """
+    rows = df.withColumn("_v", F.try_parse_json(body_col))
+    v = F.col("_v")
+    field = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
+    messages = F.coalesce(F.try_variant_get(v, "$.messages", "array<variant>"), F.array().cast("array<variant>"))
+    deep = nests_deeper(field("system")) | F.exists(messages, lambda m: nests_deeper(F.try_variant_get(m, "$.content", "variant")))
+    refused = v.isNull() & F.ltrim(F.col(body_col)).rlike(r"\A\s*\{")
+    rows = rows.withColumn("_slim", slimmed(F.when(refused | F.coalesce(deep, F.lit(False)), F.col(body_col))))
+    whole = F.when(_kind(v).startswith("OBJECT"), F.col(body_col))
+    return rows.withColumn(out_col, F.coalesce("_slim", whole)).drop("_v", "_slim")
 
 
 def query_tag(text: Column) -> Column:
@@ -149,14 +131,15 @@ def _after(items: Column, position: Column) -> Column:
     return F.filter(items, lambda _, i: i > position)
 
 
-def parse_request(df: DataFrame, body_col: str = "body") -> DataFrame:
-    """``df`` with request: struct<model, streaming, session_id, prompts, full_body, user_query, background>.
+def parse_request(df: DataFrame, body_col: str = "body", readable_col: str | None = None) -> DataFrame:
+    """``df`` with request: struct<model, streaming, session_id, prompts, full_body, user_query, background, unread>.
 
     prompts are the texts of the current turn (after the last assistant message), full_body those of all turns, both
-    cleaned. Expressions read content down to tool results in tool results; a body that nests deeper goes through ``walked``,
-    which gets a null for all others. A null body, one that is no JSON object, or one with a used field of another type gives empty fields.
+    cleaned. Bodies are read by ``readable``, or come from it in ``readable_col``. A null body, one that is no JSON object, or one with a used
+    field of another type gives empty fields; unread says that there was something in it.
     """
-    rows = df.withColumn("_v", F.try_parse_json(body_col))
+    rows = df if readable_col else readable(df, body_col, "_r")
+    rows = rows.withColumn("_v", F.try_parse_json(readable_col or "_r"))
     v = F.col("_v")
     field = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
     is_type = lambda name, *kinds: _kind(field(name)).isin("VOID", *kinds)
@@ -170,6 +153,7 @@ def parse_request(df: DataFrame, body_col: str = "body") -> DataFrame:
     )
     items = F.coalesce(F.try_variant_get(v, "$.input", "array<variant>"), F.array().cast("array<variant>"))
     rows = rows.withColumn("_v", F.when(F.coalesce(ok, F.lit(False)), v)).withColumns({"_m": messages, "_i": items})
+    unread = v.isNull() & (F.coalesce(trimmed(F.col(body_col)), F.lit("")) != "")
     m, i = F.col("_m"), F.col("_i")
     role = lambda x: _text(x, "$.role")
     last_message = _last(m, lambda x: role(x) == "assistant")
@@ -178,12 +162,10 @@ def parse_request(df: DataFrame, body_col: str = "body") -> DataFrame:
     rows = rows.withColumns({"_t": last_message, "_ti": last_item, "_ta": last_answer})
 
     content = lambda x: F.try_variant_get(x, "$.content", "variant")
-    deep = nests_deeper(field("system")) | F.exists(m, lambda x: nests_deeper(content(x)))
-    rows = rows.withColumn("_w", walked(F.when(v.isNotNull() & F.coalesce(deep, F.lit(False)), F.col(body_col))))
     cleaned = lambda texts: F.filter(F.transform(texts, squeezed), lambda t: t != "")
-    of_messages = F.coalesce(F.col("_w.messages"), F.transform(m, lambda x: content_texts(content(x))))
+    of_messages = F.transform(m, lambda x: content_texts(content(x)))
     # Each message's texts once: the current turn is a part of all turns.
-    rows = rows.withColumns({"_mt": F.transform(of_messages, cleaned), "_st": F.coalesce(F.col("_w.system"), content_texts(field("system")))})
+    rows = rows.withColumns({"_mt": F.transform(of_messages, cleaned), "_st": content_texts(field("system"))})
     mt, system = F.col("_mt"), F.col("_st")
     parts = lambda x: F.filter(
         F.coalesce(F.try_variant_get(x, "$.content", "array<variant>"), F.array().cast("array<variant>")),
@@ -213,10 +195,10 @@ def parse_request(df: DataFrame, body_col: str = "body") -> DataFrame:
         _text(v, "$.model").alias("model"), F.coalesce(F.try_variant_get(v, "$.stream", "boolean"), F.lit(False)).alias("streaming"),
         _text(F.try_parse_json(user_id), "$.session_id").alias("session_id"), turn(_after(mt, F.col("_t")), _after(i, F.col("_ti"))).alias("prompts"), turn(mt, i).alias("full_body"),
         F.when(F.size(queries) > 0, F.array_join(queries, "\n\n")).otherwise(_text(v, "$.prompt")).alias("user_query"),
-        F.coalesce(background, F.lit(False)).alias("background"),
+        F.coalesce(background, F.lit(False)).alias("background"), unread.alias("unread"),
     )
     # A struct out of a generator is computed once; out of a projection each of its fields would be, wherever it is used.
-    return rows.select("*", F.explode(F.array(request)).alias("request")).drop("_v", "_m", "_i", "_t", "_ti", "_ta", "_w", "_mt", "_st")
+    return rows.select("*", F.explode(F.array(request)).alias("request")).drop("_r", "_v", "_m", "_i", "_t", "_ti", "_ta", "_mt", "_st")
 
 
 def strip_port(host: Column) -> Column:

@@ -16,9 +16,10 @@ def none() -> Column:
     return F.from_json(F.lit("[]"), f"array<struct<{MATCH}>>")
 
 
-def verdict(df: DataFrame, rules: DataFrame, agent_mode: bool = False) -> DataFrame:
-    """``df`` with the columns of ``judged``; rows without text and matches are left out."""
-    return with_columns(df, judged(rules, agent_mode))
+def verdict(df: DataFrame, rules: DataFrame, agent_mode: bool = False, body_col: str | None = None) -> DataFrame:
+    """``df`` with the columns of ``judged``; rows without text and matches are left out. Give ``body_col`` so that bodies
+    that are no request are judged as texts and stay."""
+    return with_columns(df, judged(rules, agent_mode, body_col))
 
 
 def with_columns(df: DataFrame, whole: Column) -> DataFrame:
@@ -27,13 +28,13 @@ def with_columns(df: DataFrame, whole: Column) -> DataFrame:
     return rows.select(*df.columns, "_a.*")
 
 
-def judged(rules: DataFrame, agent_mode: bool = False) -> Column:
+def judged(rules: DataFrame, agent_mode: bool = False, body_col: str | None = None) -> Column:
     """Audit columns for a row with ``request`` (see parse_request): struct<status, matches, history, prompt, redacted_prompt,
     safe_text, notice>, null for a row without text and matches.
 
     The current turn blocks (unless the request is a background one) or redacts; matches of block rules that only
     earlier turns hold redact. Agent mode inspects nothing and redacts with all rules. All of it is narrow, and each
-    text is inspected once.
+    text is inspected once. A body that is no request (``request.unread``) is judged as one plain text.
     """
     block = rule_array(rules, ["block"])
     track = rule_array(rules, None if agent_mode else ["track"])
@@ -64,7 +65,8 @@ def judged(rules: DataFrame, agent_mode: bool = False) -> Column:
         found = none() if agent_mode else inspect(now, block)
         return let(found, lambda f: let(redact(now, track), lambda r: with_history(now, full, f, r)))
 
-    joined = lambda c: F.array_join(F.col(f"request.{c}"), "\n\n")
+    plain = F.coalesce(F.col(body_col), F.lit("")) if body_col else F.lit("")
+    joined = lambda c: F.when(F.col("request.unread"), plain).otherwise(F.array_join(F.col(f"request.{c}"), "\n\n"))
     return let(joined("prompts"), lambda now: let(joined("full_body"), lambda full: of(now, full)))
 
 

@@ -13,16 +13,18 @@ def audit_requests(rows: DataFrame, rules: DataFrame, agent_mode: bool = False)
     """Audit rows of requests to the watched hosts, before any response: verdicts of prompts, and summaries of telemetry.
 
     Narrow throughout and with one read of the log, so the same plan serves batches and streams. Bodies go no further:
-    rows with history matches have a scrubbed_body.
+    rows with history matches have a scrubbed_body. A body that no reader finds a request in is judged as a text, and its row is ``unread``.
     """
     rows = rows.where(requests.is_target_host(F.col("host"))).withColumn("host", requests.strip_port(F.col("host")))
-    rows = rows.withColumn("_telemetry", requests.is_telemetry(F.col("body"))).withColumn("_prompt", F.when(~F.col("_telemetry"), F.col("body")))
-    parsed = requests.session_and_client(requests.parse_request(rows, "_prompt"))
-    whole = F.when(F.col("_telemetry"), verdict.telemetry(F.col("body"))).otherwise(verdict.judged(rules, agent_mode))
+    rows = requests.readable(rows, "body", "_readable")
+    rows = rows.withColumn("_telemetry", requests.is_telemetry(F.col("_readable"))).withColumn("_prompt", F.when(~F.col("_telemetry"), F.col("body")))
+    rows = rows.withColumn("_asked", F.when(~F.col("_telemetry"), F.col("_readable")))
+    parsed = requests.session_and_client(requests.parse_request(rows, "_prompt", "_asked"))
+    whole = F.when(F.col("_telemetry"), verdict.telemetry(F.col("_readable"))).otherwise(verdict.judged(rules, agent_mode, "_prompt"))
     found = verdict.scrubbed_bodies(verdict.with_columns(parsed, whole), rules)
     own = lambda c: F.when(F.col("_telemetry"), F.lit("")).otherwise(c)
-    named = {"model": own(F.col("request.model")), "session_id": own(F.col("session_id")), "client": own(F.col("client")), "agent_mode": F.lit(agent_mode)}
-    return found.withColumns(named).drop("body", "headers", "request", "_telemetry", "_prompt")
+    named = {"model": own(F.col("request.model")), "session_id": own(F.col("session_id")), "client": own(F.col("client")), "agent_mode": F.lit(agent_mode), "unread": F.col("request.unread")}
+    return found.withColumns(named).drop("body", "headers", "request", "_telemetry", "_prompt", "_readable", "_asked")
 
 
 def attach_responses(judged: DataFrame, responses: DataFrame) -> DataFrame:

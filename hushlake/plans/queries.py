@@ -293,6 +293,24 @@ def nested_results(spark, sf_dir):
     return rows.select("conv_id", "turn", "status", F.array_join("request.prompts", "\n\n").alias("now"))
 
 
+def odd_bodies(spark, sf_dir):
+    """Turns in bodies that VARIANT refuses, of six kinds, and in one that is cut off: none of them goes uninspected."""
+    rows = spread(planted_turns(spark, sf_dir).where("text IS NOT NULL"))
+    block = F.concat(F.lit('[{"type":"text",'), F.substring(F.to_json(F.struct("text")), 2, 1 << 30), F.lit("]"))
+    said = lambda content: F.concat(F.lit('"messages":[{"role":"user","content":'), content, F.lit("}]"))
+    deep = F.concat(F.repeat(F.lit('[{"type":"tool_result","content":'), 2000), block, F.repeat(F.lit("}]"), 2000))
+    heads = [
+        F.lit('{"x":1,"x":2,'), F.lit('{"messages":[{"role":"user","content":"an earlier value"}],'), F.concat(F.lit('{"x":'), F.repeat(F.lit("7"), 1500), F.lit(",")),
+        F.concat(F.lit('{"'), F.repeat(F.lit("k"), 70_000), F.lit('":0,')), F.concat(F.lit('{"x":'), F.repeat(F.lit("["), 1200), F.repeat(F.lit("]"), 1200), F.lit(",")),
+    ]
+    kind = (F.col("conv_id") * 5 + F.col("turn")) % 7
+    body = F.when(kind == 5, F.concat(F.lit("{"), said(deep), F.lit("}"))).when(kind == 6, F.concat(F.lit('{"messages":['), "text"))
+    for n, head in enumerate(heads):
+        body = body.when(kind == n, F.concat(head, said(block), F.lit("}")))
+    rows = verdict.verdict(requests.parse_request(rows.select("conv_id", "turn", body.alias("body"))), R.builtin_rules(spark), body_col="body")
+    return rows.select("conv_id", "turn", "status", "request.unread", F.array_join("request.prompts", "\n\n").alias("now"))
+
+
 def user_queries(spark, sf_dir):
     """Turns as requests of four kinds: a tagged query, a background task, items of the responses API, a legacy prompt."""
     rows = spread(planted_turns(spark, sf_dir).where("text IS NOT NULL"))
@@ -415,6 +433,7 @@ QUERIES: dict[str, Query] = {
     "redact_body": redact_body,
     "history_bodies": history_bodies,
     "nested_results": nested_results,
+    "odd_bodies": odd_bodies,
     "user_queries": user_queries,
     "telemetry": telemetry,
     "sessions": sessions,
@@ -527,6 +546,10 @@ SQL: dict[str, str] = {
       '[blocked — content withheld. Rules matched: ' || array_to_string(list_transform(string_split(rules, ','), lambda x: ({_NAMES})[x]), ', ') || ']' AS safe_text FROM {_HISTORY} WHERE status = 'blocked'""",
     "nested_results": f"""SELECT conv_id, turn, CASE WHEN {' OR '.join(rule_sql(r, 'now') for r in BLOCK)} THEN 'blocked' WHEN {' OR '.join(rule_sql(r, 'now') for r in TRACK)} THEN 'redacted' ELSE 'clean' END AS status, now
       FROM (SELECT conv_id, turn, {_SQUEEZED} AS now FROM {TURNS} WHERE text IS NOT NULL) WHERE now <> ''""",
+    "odd_bodies": f"""SELECT conv_id, turn, CASE WHEN {' OR '.join(rule_sql(r, 'seen') for r in BLOCK)} THEN 'blocked' WHEN {' OR '.join(rule_sql(r, 'seen') for r in TRACK)} THEN 'redacted' ELSE 'clean' END AS status,
+      unread, CASE WHEN unread THEN '' ELSE now END AS now
+      FROM (SELECT *, CASE WHEN unread THEN '{{"messages":[' || text ELSE now END AS seen
+        FROM (SELECT conv_id, turn, text, (conv_id * 5 + turn) % 7 = 6 AS unread, {_SQUEEZED} AS now FROM {TURNS} WHERE text IS NOT NULL)) WHERE seen <> ''""",
     "user_queries": f"""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN CASE WHEN raw <> '' THEN raw ELSE 'c' END WHEN 1 THEN trim('Summarize the following: ' || t) WHEN 2 THEN t ELSE text END AS user_query, turn % 4 = 1 AS background,
       CASE turn % 4 WHEN 0 THEN trim('c ' || t) WHEN 1 THEN trim('Summarize the following: ' || t) WHEN 2 THEN 'be brief' || CASE WHEN t NOT IN ('', 'be brief') THEN chr(10) || chr(10) || t ELSE '' END ELSE t END AS now
       FROM (SELECT conv_id, turn, text, {_SQUEEZED} AS t, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS raw FROM {TURNS} WHERE text IS NOT NULL)""",

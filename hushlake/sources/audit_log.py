@@ -12,7 +12,7 @@ REQUESTS = "request_id string, ts timestamp, host string, path string, headers m
 RESPONSES = "request_id string, response_ts timestamp, duration_ms long, response string"
 AUDIT = [
     "request_id", "ts", "host", "path", "prompt", "redacted_prompt", "safe_text", "status", "matches", "duration_ms", "agent_mode", "input_tokens", "output_tokens",
-    "session_id", "client", "model", "llm_response", "raw_body",
+    "session_id", "client", "model", "llm_response", "raw_body", "unread",
 ]
 
 

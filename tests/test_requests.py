@@ -1,8 +1,11 @@
 import json
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from hushlake.operators import requests as Q
+from hushlake.operators.json_reader import read_json
 
 
 def parsed(spark, *bodies):
@@ -76,6 +79,60 @@ def test_legacy_session_background_and_bad_bodies(spark):
     assert rows[10].session_id == ""
 
 
+SAID = '"messages":[{"role":"user","content":"my number"}]'
+ODD = [
+    '{"x":1,"x":2,%s}' % SAID, '{"messages":[{"role":"user","content":"old"}],%s}' % SAID, '{"x":%s,%s}' % ("1" * 5000, SAID), '{"x":1.%se5,%s}' % ("1" * 1500, SAID), '{"%s":1,%s}' % ("k" * 60_000, SAID),
+    '{"x":%s%s,%s}' % ("[" * 1200, "]" * 1200, SAID), '{"x":%s1%s,%s}' % ('{"a":' * 100_000, "}" * 100_000, SAID), ' \t\n{"x":1,"x":{"y":1,"y":"\\ud800"},%s}' % SAID,
+]
+
+
+def test_bodies_that_variant_refuses(spark):
+    deep = '"my number"'
+    for _ in range(2000):
+        deep = '[{"type":"text","text":5},{"type":"tool_result","content":%s}]' % deep
+    rows = parsed(spark, *ODD, '{"messages":[{"role":"user","content":%s}],"x":1,"x":2}' % deep)
+    assert [r.prompts for r in rows] == [["my number"]] * len(ODD) + [["5", "my number"]] and not any(r.unread for r in rows)
+    assert [r.user_query for r in rows] == ["my number"] * len(ODD) + ["5"]
+
+
+def test_fields_of_odd_bodies_are_those_of_plain_ones(spark):
+    bodies = [
+        {"model": "m", "stream": True, "metadata": {"user_id": '{"session_id":"s"}'}, "system": [{"type": "text", "text": "sys"}], "messages": [
+            {"role": "user", "content": [{"type": "text", "text": "<user_query>q</user_query>"}, {"type": "image", "source": {"a": [1]}}]}, {"role": "assistant", "content": "a"},
+            {"role": "user", "content": [{"type": "tool_result", "content": [{"type": "text", "text": "r"}, {"type": "tool_result", "content": "rr"}]}, {"type": "text", "text": "ask"}, 7, None]}]},
+        {"instructions": "do", "input": [{"role": "user", "content": [{"type": "input_text", "text": "first"}]}, {"type": "function_call", "name": "f"}, {"type": "function_call_output", "output": " out "}, "x", {"role": "user", "content": "no parts"}]},
+        {"instructions": "do", "input": "asked"}, {"prompt": "legacy"}, {"model": 5, "prompt": "x"}, {"messages": {"role": "user"}}, {"messages": [{"role": 1}]}, {"messages": ["x"], "prompt": "y"}, {"metadata": "m", "prompt": "x"},
+        {"stream": 1, "prompt": "x"}, {"metadata": {"user_id": 5}}, {"messages": None, "input": None, "system": None, "prompt": "p"}, {"messages": [{"role": "user", "content": " Summarize the following x"}]}, {},
+    ]
+    plain = parsed(spark, *bodies)
+    odd = parsed(spark, *[json.dumps(b)[:-1] + (", " if b else "") + '"zz": 1, "zz": 2}' for b in bodies])
+    assert odd == plain
+
+
+def test_unread_bodies(spark):
+    rows = parsed(spark, "no json", '{"messages": [', "[1]", '"text"', '{"x":1 "x":2}', None, "", "  ", "{}", '{"model": 5}')
+    assert [r.unread for r in rows] == [True] * 5 + [False] * 4 + [True]
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.recursive(st.none() | st.booleans() | st.text() | st.integers() | st.floats(allow_nan=False, allow_infinity=False), lambda x: st.lists(x) | st.dictionaries(st.text(), x)))
+def test_reader_reads_what_json_reads(value):
+    text = json.dumps(value, indent=1)
+    assert read_json(text) == json.loads(text, parse_int=lambda _: 0, parse_float=lambda _: 0)
+
+
+@settings(deadline=None, max_examples=500)
+@given(st.lists(st.sampled_from(['"a"', '"b"', ":", ",", "{", "}", "[", "]", "1", "true", "null", " ", "x", '"', "-", "01", "1.", "\\u0041"]), max_size=12).map("".join))
+def test_reader_refuses_what_json_refuses(text):
+    def read(f):
+        try:
+            return [f(text)]
+        except ValueError:
+            return None
+
+    assert read(read_json) == read(lambda t: json.loads(t, parse_int=lambda _: 0, parse_float=lambda _: 0))
+
+
 def test_clean_texts(spark):
     df = spark.createDataFrame([(["<a>x</a>  y", "x y", "", "<br/>", "z\n\tz", None],)], "t array<string>")
     assert df.select(Q.clean_texts(F.filter("t", lambda x: x.isNotNull())).alias("t")).first().t == ["x y", "z z"]
