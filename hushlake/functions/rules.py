@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hushlake.functions import rule_data
 from hushlake.functions.dialect import replacement_to_java, to_java
+from hushlake.functions.literals import required_literals
 
 REDACTED = "[REDACTED]"
 SCHEMA = (
@@ -28,7 +29,9 @@ FOLD = ("ſK", "sk")
 JAVA = dict(rule_data.FOR_JAVA)
 
 
-def rule_row(ord_: int, rule_id: str, name: str, description: str, pattern: str, severity: str, mode: str, replacement: str, validator: str, keywords: list[str], guard: str = "") -> tuple:
+def rule_row(ord_: int, rule_id: str, name: str, description: str, pattern: str, severity: str, mode: str, replacement: str, validator: str, keywords: list[str] | None = None, guard: str = "") -> tuple:
+    """A rule's row. Without ``keywords`` the literals that its matches must hold are read off the pattern."""
+    keywords = required_literals(pattern) if keywords is None else keywords
     return (ord_, rule_id, name, description, pattern, to_java(JAVA.get(pattern, pattern)), severity, mode, replacement, replacement_to_java(replacement), validator, keywords, guard)
 
 
@@ -104,7 +107,7 @@ def load_rule_config(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
             jvm.java.util.regex.Pattern.compile(java)
         except Exception as e:
             raise ValueError(f"rule {r.id}: the pattern does not compile: {e}") from e
-        rows.append(rule_row(n, r.id, r.name or r.id, r.description or "", r.pattern or "", r.severity or "high", r.mode or "block", REDACTED, "", []))
+        rows.append(rule_row(n, r.id, r.name or r.id, r.description or "", r.pattern or "", r.severity or "high", r.mode or "block", REDACTED, ""))
     overrides = [] if config is None or config.overrides is None else [(n, o.id, o.mode, o.severity) for n, o in enumerate(config.overrides)]
     limits = {} if config is None or config.context_limits is None else dict(config.context_limits)
     return spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(overrides, "n int, rule_id string, mode string, severity string"), limits

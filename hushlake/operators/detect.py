@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from hushlake.functions.rules import FOLD, SCHEMA
 
-#: A rule table beyond this is no catalogue any more: rules of that number belong in several passes over the texts.
+#: A rule table beyond this is no constant any more: ``findings`` joins it, ``redact`` and verdicts refuse it.
 MAX_RULES = 5_000
 MATCH = "ord int, rule_id string, rule_name string, severity string, mode string, start int, snippet string"
 SNIPPET = 20
@@ -151,7 +151,14 @@ def detect(df: DataFrame, rules: DataFrame, text_col: str = "text", modes: Seque
 
 
 def findings(df: DataFrame, rules: DataFrame, id_cols: Sequence[str], text_col: str = "text", modes: Sequence[str] | None = None) -> DataFrame:
-    """One row for each row of ``df`` and rule that fires: id_cols and the fields of the match."""
+    """One row for each row of ``df`` and rule that fires: id_cols and the fields of the match.
+
+    A rule table beyond MAX_RULES is joined by the literals found in the texts (see rule_index); what is found is the same.
+    """
+    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
+        from hushlake.operators.rule_index import indexed_findings
+
+        return indexed_findings(df, rules, id_cols, text_col, modes)
     found = df.select(*id_cols, F.explode(inspect(F.col(text_col), rule_array(rules, modes))).alias("m"))
     return found.select(*id_cols, "m.*")
 
