@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 #: A set of alternatives larger than this tells too little to be worth looking for.
 MOST = 64
+#: Of longer literals the beginning is looked for.
+LONGEST = 64
 #: What a class may stand for and still count as alternatives.
 CLASS = 16
 _ASCII = frozenset(map(chr, range(128)))
@@ -220,5 +222,5 @@ def required_literals(pattern: str) -> list[str]:
             raise _Unknown
     except (_Unknown, IndexError):
         return []
-    best = sorted(_better(part.needed, part.exact) or [])
+    best = sorted({w[:LONGEST] for w in _better(part.needed, part.exact) or []})
     return [w for w in best if not any(o != w and o in w for o in best)]

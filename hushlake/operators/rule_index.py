@@ -2,68 +2,67 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushlake.operators.detect import _as_match, _found, findings, fold, longest_word
+from hushlake.functions.literals import LONGEST
+from hushlake.operators.detect import MAX_RULES, _as_match, _found, findings, fold, longest_word
 
-#: Rules of one pass over the texts. Their literals are one pattern in the plan, and their rows are broadcast: some 20 MB.
-PASS = 50_000
+#: Rules of one pass over the texts, and bytes of them (each once for each of its literals): they are broadcast.
+PASS, PASS_BYTES = 50_000, 32 << 20
 
 
-def literal_index(rules: DataFrame) -> DataFrame:
-    """(word, rule, words): for each rule the literals in which one of its own begins, its own included.
+def passes(rules: DataFrame, most: int, most_bytes: int) -> Iterator[tuple[int, int]]:
+    """First and last ``ord`` of neighbouring rules, so many that neither limit is passed; a rule beyond the limit is alone.
 
-    A search for the longest literal at each place of a text finds one of these wherever it holds one of the rule's. ``words`` has
-    all of a rule, so that a text that holds several meets the rule once. Beginnings of literals are joined with literals; nothing is compared with all others.
+    A number or two of each rule come to the driver. Rules of one ``ord`` stay together.
     """
-    literals = rules.select(F.explode("keywords").alias("word")).distinct()
-    starts = literals.select("word", F.explode(F.expr("transform(sequence(1, length(word)), n -> left(word, n))")).alias("start"))
-    own = rules.select(F.struct(*rules.columns).alias("rule"), F.explode(F.array_distinct("keywords")).alias("start"))
-    pairs = own.join(starts, "start").select("rule", "word").distinct()
-    whole = pairs.groupBy(F.col("rule.ord").alias("_ord")).agg(F.array_sort(F.collect_list("word")).alias("words"))
-    return pairs.join(whole, F.col("rule.ord") == F.col("_ord")).drop("_ord")
+    strings = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in rules.dtypes if kind == "string"]
+    size = (reduce(lambda a, b: a + b, strings) + 100) * F.greatest(F.size("keywords"), F.lit(1))
+    first = last = None
+    count = held = 0
+    for r in rules.groupBy("ord").agg(F.count("*").alias("n"), F.sum(size.cast("long")).alias("bytes")).orderBy("ord").collect():
+        if first is not None and (count + r.n > most or held + r.bytes > most_bytes):
+            yield first, last
+            first, count, held = None, 0, 0
+        first, last, count, held = r.ord if first is None else first, r.ord, count + r.n, held + r.bytes
+    if first is not None:
+        yield first, last
 
 
 def indexed_findings(
-    df: DataFrame, rules: DataFrame, id_cols: Sequence[str], text_col: str = "text", modes: Sequence[str] | None = None, per_pass: int = PASS
+    df: DataFrame, rules: DataFrame, id_cols: Sequence[str], text_col: str = "text", modes: Sequence[str] | None = None, most: int = PASS, most_bytes: int = PASS_BYTES
 ) -> DataFrame:
-    """What ``findings`` gives, for rule tables of any number of rules (``ord`` must tell them apart).
+    """What ``findings`` gives, for rule tables of any number of rules.
 
-    One pattern in the form of a tree of letters finds the literals of a text, which are exploded and meet the rules in a
-    hash join; of a rule with several literals in a text the first meets it. Each pair runs the rule's own pattern. The number of pairs follows
-    what the texts hold, not the number of rules. Rules go in passes of ``per_pass`` by their order, whose tables are broadcast (that bounds them); each pass reads the texts again.
-    All of it is narrow. Rules without a literal run on every text, in passes of the constant array.
+    One pattern in the form of a tree of letters finds the longest literal at each place of a text; its beginnings are held as well.
+    All these are exploded and meet the rules' literals in a hash join, in which what is no literal falls out. A rule of which a text holds
+    several literals is met by the first of them only. Each pair runs the rule's own pattern. The number of pairs follows what the texts hold,
+    not the number of rules. Rules go in passes by ``ord`` (see passes), whose tables are broadcast; each pass reads the texts again, and all of it
+    is narrow. Rules without a literal run on every text, in passes of the constant array.
     """
+    mode = F.when(F.col("mode") == "redact", "track").otherwise(F.col("mode"))
+    shortened = F.transform(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: F.left(fold(k), F.lit(LONGEST)))
+    rules = rules.withColumns({"mode": mode, "keywords": F.array_distinct(shortened)})
     if modes is not None:
-        rules = rules.where(F.when(F.col("mode") == "redact", "track").otherwise(F.col("mode")).isin(*modes))
-    rules = rules.withColumn("mode", F.when(F.col("mode") == "redact", "track").otherwise(F.col("mode"))).withColumn("keywords", F.transform("keywords", F.lower))
-    literal = F.size("keywords") > 0
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(*id_cols, text.alias("_text"))
-    parts = []
+        rules = rules.where(F.col("mode").isin(*modes))
+    rows = df.select(*id_cols, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    bare, literal = rules.where(F.size("keywords") == 0), rules.where(F.size("keywords") > 0)
 
-    bare = [r.ord for r in rules.where(~literal).select("ord").orderBy("ord").collect()]
-    for at in range(0, len(bare), 5_000):
-        some = rules.where(~literal & F.col("ord").between(bare[at], bare[min(at + 5_000, len(bare)) - 1]))
-        parts.append(findings(rows, some, id_cols, "_text"))
-
-    orders = [r.ord for r in rules.where(literal).select("ord").orderBy("ord").collect()]
-    for at in range(0, len(orders), per_pass):
-        some = rules.where(literal & F.col("ord").between(orders[at], orders[min(at + per_pass, len(orders)) - 1]))
-        words = [r.word for r in some.select(F.explode("keywords").alias("word")).distinct().collect()]
-        held = F.array_distinct(F.regexp_extract_all(fold(F.col("_text")), F.lit(f"(?=({longest_word(sorted(words))}))"), F.lit(1)))
+    parts = [findings(rows, bare.where(F.col("ord").between(*ends)), id_cols, "_text") for ends in passes(bare, MAX_RULES, most_bytes)]
+    for ends in passes(literal, most, most_bytes):
+        some = literal.where(F.col("ord").between(*ends))
+        words = sorted(r.word for r in some.select(F.explode("keywords").alias("word")).distinct().collect())
+        longest = F.regexp_extract_all(fold(F.col("_text")), F.lit(f"(?=({longest_word(words)}))"), F.lit(1))
+        beginnings = F.transform(F.array_distinct(longest), lambda w: F.transform(F.sequence(F.lit(0), F.length(w)), lambda n: F.left(w, n)))
         # Out of a generator the literals are found once; the join and what follows only read them.
-        texts = rows.select("*", F.explode(F.array(held)).alias("_held")).select("*", F.explode("_held").alias("word"))
-        met = texts.join(F.broadcast(literal_index(some)), "word").where(F.col("word") == F.array_min(F.array_intersect("_held", "words")))
-        guarded = met.where((F.col("rule.guard") == "") | F.rlike("_text", F.col("rule.guard")))
-        found = guarded.select("*", F.explode(F.array(_found(F.col("_text"), F.col("rule")))).alias("_m")).where("_m IS NOT NULL")
-        parts.append(found.select(*id_cols, _as_match(F.col("_text"), F.col("rule"), F.col("_m")).alias("m")).select(*id_cols, "m.*"))
-    if not parts:
-        return findings(rows, rules, id_cols, "_text")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        texts = rows.select("*", F.explode(F.array(F.array_distinct(F.flatten(beginnings)))).alias("_held")).select("*", F.explode("_held").alias("_word"))
+        index = some.select(F.struct(*rules.columns).alias("_rule"), F.explode("keywords").alias("_word"))
+        met = texts.join(F.broadcast(index), "_word").where(F.col("_word") == F.array_min(F.array_intersect("_held", "_rule.keywords")))
+        guarded = met.where((F.col("_rule.guard") == "") | F.rlike("_text", F.col("_rule.guard")))
+        found = guarded.select("*", F.explode(F.array(_found(F.col("_text"), F.col("_rule")))).alias("_m")).where("_m IS NOT NULL")
+        parts.append(found.select(*id_cols, _as_match(F.col("_text"), F.col("_rule"), F.col("_m")).alias("_as")).select(*id_cols, "_as.*"))
+    return reduce(DataFrame.unionByName, parts) if parts else findings(rows, rules, id_cols, "_text")

@@ -12,6 +12,7 @@ from hushlake.functions.dialect import replacement_to_re2
 from hushlake.operators import audit, detect, requests, verdict
 from hushlake.operators.bodies import redact_bodies
 from hushlake.operators.bodies import text_leaves as text_leaves_of
+from hushlake.operators.rule_index import indexed_findings
 from hushlake.plans import audit_job
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -404,7 +405,26 @@ def _one_prompt(rows: DataFrame) -> DataFrame:
     return audit.get_prompt(rows, 7).select("id", "ts", "host", "status", "client", "prompt")
 
 
+def word_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A watch list: a rule for each word of ``conversations`` of six or more characters, which stands between white space or the ends of a text."""
+    words = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", r"[\t\n\f\r ]+")).alias("w")).where("length(w) >= 6").distinct()
+    quoted = F.regexp_replace("w", r"([^\p{L}\p{N}_])", r"\\$1")
+    pattern = lambda space, end: F.concat(F.lit(f"(?:^|{space})"), quoted, F.lit(f"(?:{space}|{end})"))
+    known = {
+        "ord": F.xxhash64("w"), "rule_id": F.col("w"), "rule_name": F.col("w"), "pattern_re2": pattern(r"\s", "$"), "pattern_java": pattern(r"[\t\n\f\r ]", r"\z"),
+        "severity": F.lit("low"), "mode": F.lit("track"), "keywords": F.array(detect.fold(F.col("w"))),
+    }
+    return words.select(*[known.get(c, F.lit("")).alias(c) for c in spark.createDataFrame([], R.SCHEMA).columns])
+
+
+def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the number of rules of ``word_rules`` that fire (16,080 rules at sf0.01), and the length of their words."""
+    found = indexed_findings(documents(spark, sf_dir), word_rules(spark, sf_dir), ["doc_id"])
+    return found.groupBy("doc_id").agg(F.count("*").alias("rules"), F.sum(F.length("rule_id")).alias("chars"), F.min("start").cast("long").alias("first"))
+
+
 QUERIES: dict[str, Query] = {
+    "many_rules": many_rules,
     "rule_hits": rule_hits,
     "hits_by_lang_severity": hits_by_lang_severity,
     "first_match_pos": first_match_pos,
@@ -531,6 +551,12 @@ def _report_sql() -> str:
 
 
 SQL: dict[str, str] = {
+    "many_rules": r"""WITH words AS (SELECT DISTINCT doc_id, text, unnest(regexp_split_to_array(text, '[\t\n\f\r ]+')) AS w FROM documents),
+      rules AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[\t\n\f\r ]+')) AS w FROM conversations)
+      SELECT doc_id, count(*) AS rules, CAST(sum(length(w)) AS BIGINT) AS chars,
+        min(CASE WHEN starts_with(text, w) AND regexp_matches(substring(text, length(w) + 1, 1), '^(\s|$)') THEN 1
+          ELSE length(regexp_extract(text, '(?s)^(.*?)\s' || regexp_escape(w) || '(\s|$)', 1)) + 1 END) AS first
+      FROM words JOIN rules USING (w) WHERE length(w) >= 6 GROUP BY doc_id""",
     "rule_hits": " UNION ALL ".join(f"SELECT doc_id, {sql_text(r[1])} AS rule_id, '{r[6]}' AS severity, '{r[7]}' AS mode FROM documents WHERE {rule_sql(r)}" for r in ROWS),
     "hits_by_lang_severity": f"SELECT lang, severity, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM ({_ALL_HITS}) h JOIN documents USING (doc_id) GROUP BY ALL",
     "first_match_pos": _places_sql("doc_id, rule_id, CAST(start AS INT) AS start"),
