@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +17,7 @@ from hushlake.operators.bodies import redact_bodies
 from hushlake.operators.bodies import text_leaves as text_leaves_of
 from hushlake.operators.rule_index import indexed_findings
 from hushlake.plans import audit_job
+from hushlake.sources import audit_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -423,7 +427,29 @@ def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count("*").alias("rules"), F.sum(F.length("rule_id")).alias("chars"), F.min("start").cast("long").alias("first"))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one that the session names; a local one only where the master is local and none is named."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    return f"{top or tempfile.mkdtemp(prefix='spark-')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def late_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as a stored log; every third one is answered twice after it was written, and the newer answer is merged in."""
+    path, e = scratch(spark), table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("request_id"), "*")
+    zero = {c: F.lit(0).cast("long") for c in ("duration_ms", "input_tokens", "output_tokens")}
+    audit_log.write_audit(e.select("request_id", "ts", F.when(F.col("event_id") % 2 == 0, "redacted").otherwise("clean").alias("status")).withColumns(zero | {"llm_response": F.lit("")}), path)
+    used = F.struct((F.col("event_id") % 7).alias("input_tokens"), (F.col("event_id") % 11).alias("output_tokens"))
+    body = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("event_type").alias("text"))).alias("content"), used.alias("usage")))
+    answers = e.where("event_id % 3 = 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(2)))).select(
+        "request_id", (F.col("ts") + F.expr("make_interval(0, 0, 0, n)")).alias("response_ts"), (F.col("event_id") % 100 + F.col("n")).alias("duration_ms"), F.when(F.col("n") == 2, body).otherwise("").alias("response"))
+    audit_log.merge_responses(spark, path, answers)
+    return audit_log.read_audit(spark, path, ["request_id", "status", *zero, "llm_response"])
+
+
 QUERIES: dict[str, Query] = {
+    "late_responses": late_responses,
     "many_rules": many_rules,
     "rule_hits": rule_hits,
     "hits_by_lang_severity": hits_by_lang_severity,
@@ -551,6 +577,9 @@ def _report_sql() -> str:
 
 
 SQL: dict[str, str] = {
+    "late_responses": """SELECT CAST(event_id AS VARCHAR) AS request_id, CASE WHEN event_id % 2 = 0 THEN 'redacted' ELSE 'clean' END AS status,
+      CASE WHEN event_id % 3 = 0 THEN event_id % 100 + 2 ELSE 0 END AS duration_ms, CASE WHEN event_id % 3 = 0 THEN event_id % 7 ELSE 0 END AS input_tokens,
+      CASE WHEN event_id % 3 = 0 THEN event_id % 11 ELSE 0 END AS output_tokens, CASE WHEN event_id % 6 = 0 THEN event_type ELSE '' END AS llm_response FROM events""",
     "many_rules": r"""WITH words AS (SELECT DISTINCT doc_id, text, unnest(regexp_split_to_array(text, '[\t\n\f\r ]+')) AS w FROM documents),
       rules AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[\t\n\f\r ]+')) AS w FROM conversations)
       SELECT doc_id, count(*) AS rules, CAST(sum(length(w)) AS BIGINT) AS chars,
