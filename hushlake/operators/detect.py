@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +20,8 @@ from hushlake.functions.rules import FOLD, SCHEMA
 MAX_RULES = 5_000
 MATCH = "ord int, rule_id string, rule_name string, severity string, mode string, start int, snippet string"
 SNIPPET = 20
+#: What a rule's validator may be; a rule with another one would fire unchecked.
+VALIDATORS = ("", "luhn")
 _EDGE_LEFT, _EDGE_RIGHT = r"(?<!\w)", r"(?!\w)"
 
 
@@ -36,6 +38,7 @@ def rule_array(rules: DataFrame, modes: Sequence[str] | None = None) -> RuleSet:
     rows = rules.limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
+    check_validators(r.validator for r in rows)
     chosen = [r.asDict() for r in sorted(rows, key=lambda r: r.ord)]
     for r in chosen:
         r["mode"] = "track" if r["mode"] == "redact" else r["mode"]
@@ -44,6 +47,12 @@ def rule_array(rules: DataFrame, modes: Sequence[str] | None = None) -> RuleSet:
     return RuleSet(F.from_json(F.lit(json.dumps(chosen)), f"array<struct<{SCHEMA}>>"), tuple(words))
 
 
+def check_validators(names: Iterable[str | None]) -> None:
+    unknown = sorted({n for n in names if n and n not in VALIDATORS})
+    if unknown:
+        raise ValueError(f"unknown validators: {', '.join(unknown)}")
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once; a lambda's body would compute it again for each element."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

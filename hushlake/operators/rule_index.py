@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.functions.literals import LONGEST
-from hushlake.operators.detect import MAX_RULES, _as_match, _found, findings, fold, longest_word
+from hushlake.operators.detect import MAX_RULES, _as_match, _found, check_validators, findings, fold, longest_word
 
 #: Rules of one pass over the texts, and bytes of them (each once for each of its literals): they are broadcast.
 PASS, PASS_BYTES = 50_000, 32 << 20
@@ -44,6 +44,7 @@ def indexed_findings(
     not the number of rules. Rules go in passes by ``ord`` (see passes), whose tables are broadcast; each pass reads the texts again, and all of it
     is narrow. Rules without a literal run on every text, in passes of the constant array.
     """
+    check_validators(r.validator for r in rules.select("validator").distinct().limit(100).collect())
     mode = F.when(F.col("mode") == "redact", "track").otherwise(F.col("mode"))
     shortened = F.transform(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: F.left(fold(k), F.lit(LONGEST)))
     rules = rules.withColumns({"mode": mode, "keywords": F.array_distinct(shortened)})

@@ -113,3 +113,12 @@ def test_passes_keep_to_their_limits(spark):
 def test_custom_rules_get_literals():
     row = R.rule_row(0, "x", "x", "", r"(?i)corp-[0-9]{8}", "high", "block", "", "")
     assert row[11] == [f"corp-{n}" for n in range(10)] and BY_ID["email"][11] == ["@"]
+
+
+def test_unknown_validators_are_refused(spark):
+    """A rule whose validator does not exist would fire unchecked."""
+    rules = spark.createDataFrame([R.rule_row(0, "x", "x", "", r"\d{8}", "high", "block", "", "mod-97")], R.SCHEMA)
+    df = spark.createDataFrame([(1, "12345678")], "id long, text string")
+    for find in (D.findings, indexed_findings):
+        with pytest.raises(ValueError, match="mod-97"):
+            find(df, rules, ["id"])
