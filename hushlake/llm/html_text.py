@@ -17,7 +17,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: Elements whose content is no markup; the last two may hold character references.
 RAW = {"script", "style", "noscript", "template", "iframe", "noembed", "noframes", "xmp", "plaintext", "textarea", "title"}
 #: Never part of the main text.
-SKIP = RAW | set("head nav footer aside form button select option menu dialog svg math canvas object audio video map fieldset datalist".split())
+SKIP = RAW | set("head nav footer aside button select option menu dialog svg math canvas object audio video map fieldset datalist".split())
 BLOCK = set(
     "address article blockquote body center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre section summary table "
     "tbody td tfoot th thead tr ul caption".split()
@@ -27,7 +27,8 @@ HEADING = set("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of the key closes an open element of the values, up to the barrier.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIER = {"ul", "ol", "dl", "table", "div", "article", "section", "body", "menu", "select"}
-#: Words of a class or id that mark what is not the article: a node with one goes with all that is below it.
+#: Words of a class or id that mark what is not the article. A name that is just such a word takes its node out with all
+#: below it; one made of it and others (has-comments, ad-free) is weighed, as it may be the layout's or a state's name.
 APART = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|comments?|commentlist|consent|cookies?|disqus|newsletter|popup|promo\w*|related|replies|reply|respond|shoutbox|"
     r"sponsor\w*|subscribe|teaser)(?=$|[\s_-])", re.I,
@@ -39,6 +40,14 @@ AROUND = re.compile(
 )
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar"}
 
+#: Words that name an article's own container, or a state.
+OWN = re.compile(
+    r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text|accepted|closed|disabled|enabled|free|has|layout|no|off|on|open|with|without)(?=$|[\s_-])", re.I
+)
+
+#: A container stays the best one, though another has more against it (cost 1; 2 or more), if it scores this part of the other's.
+DOUBT = (1 / 3, 0.1)
+
 #: What a container around the article must score less than, as a part of one in a marked node, for that node to count.
 RESCUE = 1 / 3
 
@@ -48,8 +57,9 @@ ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:
 SPACE = re.compile(r"\s+")
 
 
-#: Whether a node is part of the main text: FREE ones may be, HELD ones only if the text is found in them, GONE ones never.
-FREE, HELD, GONE = 0, 1, 2
+#: Whether a node is part of the main text: FREE ones may be, HELD ones only if the text is found in them, DOUBTFUL ones
+#: only if next to nothing is found elsewhere, GONE ones never.
+FREE, HELD, DOUBTFUL, GONE = 0, 1, 2, 3
 
 
 @dataclass(eq=False)
@@ -58,26 +68,34 @@ class Node:
     parent: Node | None = None
     mark: int = FREE
     inside: bool = False
+    cost: int = 0
     children: list[Node | str] = field(default_factory=list)
     score: float = 0.0
     chars: int = 0
     link_chars: int = 0
 
 
-def _mark(tag: str, attributes: str, inside: bool) -> int:
-    """What a node's tag and attributes say. A header is apart unless it is an article's own."""
+def _mark(tag: str, attributes: str, inside: bool) -> tuple[int, int]:
+    """What a node's tag and attributes say, and how much they speak against it. A header is apart unless it is an
+    article's own; a form may stand round a whole page."""
     if tag in SKIP or (tag == "header" and not inside):
-        return GONE
+        return GONE, 0
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
-    if not found:
-        return FREE
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
-        return GONE
+        return GONE, 0
     names = (found.get("class", ""), found.get("id", ""))
-    if tag != "main" and (found.get("role", "").lower() in ROLES or any(map(APART.search, names))):
-        return GONE
+    if tag != "main":
+        if tag != "form" and found.get("role", "").lower() in ROLES:
+            return GONE, 0
+        apart = any(map(APART.search, names))
+        if apart and tag != "article" and any(APART.fullmatch(w) for n in names for w in n.split()):
+            return GONE, 0
+        if apart or tag == "form":
+            return DOUBTFUL, 1 if tag == "article" or not apart or any(map(OWN.search, names)) else 2
     # Articles may name the layout around them in their class.
-    return HELD if tag not in ("main", "article") and any(map(AROUND.search, names)) else FREE
+    if tag not in ("main", "article") and any(map(AROUND.search, names)):
+        return HELD, int(any(AROUND.fullmatch(w) for n in names for w in n.split()))
+    return FREE, 0
 
 
 class _Open:
@@ -135,7 +153,8 @@ def parse(page: str) -> Node:
                 open_.close(place)
         node = open_.nodes[-1]
         inside = node.inside or node.tag in ("article", "main")
-        new = Node(tag, node, _mark(tag, m[3] or "", inside), inside)
+        mark, cost = _mark(tag, m[3] or "", inside)
+        new = Node(tag, node, mark, inside, cost)
         node.children.append(new)
         if tag in RAW:
             end = None if tag in endless else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -215,8 +234,8 @@ def blocks(top: list[Node]) -> list[str]:
     return out
 
 
-def _score(nodes: list[Node]) -> list[Node]:
-    """Points of paragraphs go to what holds them; the nodes that got some."""
+def _score(nodes: list[Node], apart: bool = False) -> list[Node]:
+    """Points of paragraphs go to what holds them (``apart``: up to a node that something speaks against); the nodes that got some."""
     scored: dict[int, Node] = {}
     for node in nodes:
         node.score = 0.0
@@ -231,7 +250,7 @@ def _score(nodes: list[Node]) -> list[Node]:
             x.score += points * share
             scored[id(x)] = x
             share = 0.5 if depth == 0 else share / 3
-            if depth == 3:
+            if depth == 3 or (apart and x.cost):
                 break
     return [n for n in nodes if id(n) in scored]
 
@@ -240,6 +259,33 @@ def _worth(node: Node) -> float:
     return node.score * (1 - _density(node))
 
 
+def free_doubtful(root: Node) -> None:
+    """Decide on doubtful nodes. Points stay within a node that something speaks against. The container with the least
+    against it is taken, unless it scores next to nothing beside the best one with more against it (see DOUBT). Doubtful
+    nodes around the one taken stay; all others go, those within it too."""
+    nodes = _walk(root, DOUBTFUL)
+    if all(n.mark != DOUBTFUL for n in nodes):
+        return
+    measure(nodes)
+    against: dict[int, int] = {}
+    best: dict[int, Node] = {}
+    for n in nodes:
+        against[id(n)] = max(n.cost, against[id(n.parent)] if n.parent is not None else 0)
+    for n in _score(nodes, apart=True):
+        held = best.get(against[id(n)])
+        if _worth(n) > (_worth(held) if held else 0.0):
+            best[against[id(n)]] = n
+    chosen = None
+    for cost in sorted(best, reverse=True):
+        if all(_worth(best[cost]) >= DOUBT[min(c, 2) - 1] * _worth(best[c]) for c in best if c > cost):
+            chosen = best[cost]
+    for up in _up(chosen):
+        if up.mark == DOUBTFUL:
+            up.mark = FREE
+    for n in nodes:
+        n.chars = n.link_chars = 0
+
+
 def free_held(root: Node) -> None:
     """Decide on nodes that name a layout: what holds the page's article or main elements, or the best container by far, stays."""
     nodes = _walk(root, HELD)
@@ -287,12 +333,14 @@ def main_text(page: str) -> str:
     Each paragraph of 25 characters or more scores 1, its commas and one for each 100 characters up to 3; its parent
     gets all of that, the one above half, those above less. A container's score is cut by its link density, and the
     best one holds the text. Siblings stay too if they score a fifth of it, or are paragraphs or headings with few
-    links. A best container inside an article or main element stands for that whole element. Menus, forms, scripts,
-    hidden nodes, adverts, comments and so on never count. A node whose class or id names a layout (sidebar, header,
+    links. A best container inside an article or main element stands for that whole element. Menus, scripts, hidden nodes,
+    adverts, comments and so on never count; forms and nodes whose class or id only has such a word as a part (has-comments,
+    ad-free) count where what is outside them scores little beside what is in them. A node whose class or id names a layout (sidebar, header,
     share ..) counts where the page's only article or main elements are in it, or where the best container by far is. A page without
     a paragraph that scores gives its articles, or else all that is left, unless most of it is links.
     """
     root = parse(page)
+    free_doubtful(root)
     free_held(root)
     nodes = _walk(root)
     for node in nodes:

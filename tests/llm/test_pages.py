@@ -220,3 +220,58 @@ def test_rows_and_deep_or_long_pages(spark):
     out = H.extract(df.withColumn("_html", df.url).withColumn("n_chars", df.url)).orderBy("page_id").collect()
     assert out[0].text == "" and out[0].n_chars == 0 and out[1].text == "Deep text, long enough, with commas." and out[2].n_chars == len(out[2].text) == 20_000 * 35 - 1 and out[3].text == out[2].text
     assert H.extract(df.limit(0)).collect() == []
+
+
+def article_text(page):
+    """The blocks of the page's article, read with Python's own parser; nothing of the code under test is used."""
+    parts, within = [], [0, 0]
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            within[0] += tag == "article"
+            within[1] += tag in ("aside", "nav", "footer") or dict(attrs).get("class") == "ad"
+            parts.append(" " if tag == "br" else "\0" if tag in ("p", "h1", "h2", "h3", "div", "li", "ul", "article") else "")
+
+        def handle_endtag(self, tag):
+            within[0] -= tag == "article"
+            within[1] -= tag in ("aside", "nav", "footer", "div")
+            parts.append("\0" if tag in ("p", "h1", "h2", "h3", "div", "li", "ul", "article") else "")
+
+        def handle_data(self, data):
+            if within[0] and within[1] <= 0:
+                parts.append(data)
+
+    reader = Reader(convert_charrefs=True)
+    reader.feed(page)
+    reader.close()
+    return " ".join(" ".join(x.split()) for x in "".join(parts).split("\0") if x.strip())
+
+
+def test_every_page_has_its_article(spark, sf_dir):
+    got = H.op10_html_extraction(spark, sf_dir).select("page_id", "text").collect()
+    pages = {r.page_id: r.html or "" for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    assert len(got) == len(pages) and all(r.text == article_text(pages[r.page_id]) for r in got)
+
+
+TEXT = "".join(f"<p>Paragraph number {n}, with words, and commas, and more of it, so that it is long enough.</p>" for n in range(4))
+COMMENT = "<div><p>I, a reader, say this, that, and more, at length, too.</p></div>"
+WRAPPERS = [
+    '<div class="ad-free">{}</div>', '<article class="post has-comments">{}</article>', '<article class="post no-comments">{}</article>', '<div class="entry comments-open">{}</div>',
+    '<div id="content" class="subscribe-enabled">{}</div>', '<div class="content related-layout">{}</div>', '<div class="cookies-accepted"><article>{}</article></div>',
+    '<form id="aspnetForm"><div class="content">{}</div></form>', '<form role="form"><div class="comments-closed"><div class="page ads-off">{}</div></div></form>',
+]
+
+
+def test_wrappers_named_for_what_they_are_not():
+    text = H.main_text(f"<article>{TEXT}</article>")
+    for wrapper in WRAPPERS:
+        page = wrapper.format(TEXT)
+        inner = f'{TEXT}<div class="comment-list">{COMMENT * 30}</div><div class="ad">Buy now, please, do, or else.</div><ul class="menu"><li>One of the menu, long, and longer</ul>'
+        for html in (
+            page, wrapper.format(inner), page + f'<div class="comment-list">{COMMENT * 30}</div>', page + f'<div id="comments">{COMMENT * 30}</div>', f"<nav>{TEXT}</nav>{page}<footer>{TEXT}</footer>",
+            f'<div class="page sidebar-left"><div class="sidebar"><p>Aside text, a long one, really long, and more.</p></div>{page}</div>',
+            wrapper.format(TEXT + '<form class="subscribe-box"><p>Give us your mail address, please, do it.</p></form>'),
+        ):
+            assert H.main_text(html) == text, html
+    # an article that nothing speaks against is the text, whatever forms and lists stand beside it
+    assert H.main_text(f'<article>{TEXT}</article><form>{TEXT}</form><div class="related-posts">{TEXT}{TEXT}</div>') == text
