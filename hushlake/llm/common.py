@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
 from typing import TypeVar
 
 import numpy as np
@@ -32,17 +34,41 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared or sc.getCheckpointDir()
 
 
+#: For each thread, the lists of tables of the blocks of scratch_of that are open, the innermost last.
+_noted = threading.local()
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: it cuts the lineage and outlives lost executors.
 
-    Tables stay under ``<shared folder>/<application id>`` until the caller removes that folder.
+    Tables stay under ``<shared folder>/<application id>`` until the caller removes that folder, or discards those noted.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if lists := getattr(_noted, "lists", None):
+        lists[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_of() -> Iterator[list[str]]:
+    """The tables that this thread writes within the block; checkpoints are not among them."""
+    lists = _noted.__dict__.setdefault("lists", [])
+    lists.append([])
+    try:
+        yield lists[-1]
+    finally:
+        lists.pop()
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete such tables, once nothing reads them any more."""
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_small(rows: DataFrame, small: DataFrame, n_small: int, on: Column) -> DataFrame:
     """Left join with a table of ``n_small`` rows (already counted): broadcast up to BROADCAST_ROWS, else left to
     Spark's sort-merge join, whose skewed partitions adaptive execution splits."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -146,15 +146,21 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip((hidden * self.model.out).sum(axis=1) + self.model.shift, -30, 30)))
 
 
-def train(texts: list[str], labels: np.ndarray, steps: int = 500, batch: int = 32, rate: float = 0.01, seed: int = 0) -> Model:
-    """Adam on the log loss, lazily for embeddings. Windows that reach past a document's end see zeros, as in Scorer."""
+def numbered(texts: Iterable[str], vocab: dict[str, int]) -> list[np.ndarray]:
+    """Each text as the numbers of its words; ``vocab`` takes new words up. A text can go once the next one is asked for."""
+    return [np.array([vocab.setdefault(w, len(vocab)) for w in _words(t.lower())], np.int32) for t in texts]
+
+
+def train(docs: list[np.ndarray], vocab: list[str], labels: np.ndarray, steps: int = 500, batch: int = 32, rate: float = 0.01, seed: int = 0) -> Model:
+    """Adam on the log loss, lazily for embeddings, over documents whose words are places in ``vocab``. Windows that reach
+    past a document's end see zeros, as in Scorer."""
     rng = np.random.default_rng(seed)
-    labels, epochs = labels.astype(np.float32), max(2, round(steps * batch / max(1, len(texts))))
-    vocab: dict[str, int] = {}
-    # A text becomes numbers at once: the words of all texts as strings would fill the driver's memory.
-    docs = [np.array([vocab.setdefault(w, len(vocab)) for w in _words(t.lower())], np.int32) for t in texts]
-    flat_feats, n_feats = features(list(vocab)) if vocab else (np.zeros(0, np.int64), np.zeros(0, int))
-    feats = np.split(flat_feats, np.cumsum(n_feats)[:-1]) if vocab else []
+    labels, epochs = labels.astype(np.float32), max(2, round(steps * batch / max(1, len(docs))))
+    # Hashed some words at a time: what hashing holds besides its result is many times that.
+    parts = [features(vocab[k : k + HASHED]) for k in range(0, len(vocab), HASHED)]
+    flat_feats = np.concatenate([np.zeros(0, np.int32), *(f.astype(np.int32) for f, _ in parts)])
+    ends = np.cumsum(np.concatenate([np.zeros(1, int), *(n for _, n in parts)]))
+    del parts
     model = Model(
         rng.normal(0, 0.1, (FEATURES, DIMS)).astype(np.float32),
         [rng.normal(0, (2 / (w * DIMS)) ** 0.5, (w, DIMS, FILTERS)).astype(np.float32) for w in WIDTHS],
@@ -171,9 +177,9 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 500, batch: int = 3
             chosen = order[lo : lo + batch]
             types, places = np.unique(np.concatenate([docs[k] for k in chosen]), return_inverse=True)
             sizes = np.array([len(docs[k]) for k in chosen])
-            own = [feats[k] for k in types]
+            own = [flat_feats[ends[k] : ends[k + 1]] for k in types]
             counts = np.array([len(f) for f in own], int)
-            flat = np.concatenate(own) if own else np.zeros(0, np.int64)
+            flat = np.concatenate(own) if own else np.zeros(0, np.int32)
             vectors = np.zeros((len(types) + 1, DIMS), np.float32)  # the last row is padding
             if len(own):
                 vectors[:-1] = np.add.reduceat(model.embed[flat], np.cumsum([0, *counts[:-1]])) / counts[:, None].astype(np.float32)
@@ -288,21 +294,30 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: Column | None = None, pe
     sample = chosen[0].unionByName(chosen[1])  # at most 2 * per_class rows
     found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample), "doc_id")
     # Of rows that repeat an id the first text counts, so that no more rows come than the sample has.
-    found = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values(["doc_id", "toxic"]).reset_index(drop=True)
-    y = found["toxic"].to_numpy(float)
+    found = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id", "toxic")
+    # Texts come a partition at a time and stay as numbers of their words.
+    ids, toxic, vocab = [], [], {}
+
+    def texts() -> Iterator[str]:
+        for row in found.toLocalIterator():
+            ids.append(row["doc_id"])
+            toxic.append(row["toxic"])
+            yield row["text"]
+
+    words, y = numbered(texts(), vocab), np.array(toxic, float)
     if not 0 < y.sum() < len(y):
         rate = totals.get(1, 0) / max(1, n_labels)
         logit = np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
         empty = Model(np.zeros((FEATURES, DIMS), np.float32), [np.zeros((w, DIMS, FILTERS)) for w in WIDTHS], np.zeros(POOLED), np.zeros(POOLED), float(logit))
         return empty, None, n_labels
     drawn = {t: min(per_class, totals[t]) for t in (0, 1)}
-    held = np.array([zlib.crc32(f"fold{i}".encode()) % 1000 < 1000 * calibrate for i in found["doc_id"]])
+    held = np.array([zlib.crc32(f"fold{i}".encode()) % 1000 < 1000 * calibrate for i in ids], bool)
     if len(np.unique(y[~held])) < 2:
         held[:] = False
-    model = train([t for t, h in zip(found["text"], held, strict=True) if not h], y[~held])
+    model = train([w for w, h in zip(words, held, strict=True) if not h], list(vocab), y[~held])
     model.shift += float(np.log(totals[1] / drawn[1]) - np.log(totals[0] / drawn[0]))
-    ids = [(i,) for i in dict.fromkeys(found["doc_id"][~held].tolist())]
-    return model, docs.sparkSession.createDataFrame(ids, docs.select("doc_id").schema), n_labels
+    trained = [(i,) for i in dict.fromkeys(i for i, h in zip(ids, held, strict=True) if not h)]
+    return model, docs.sparkSession.createDataFrame(trained, docs.select("doc_id").schema), n_labels
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: Column | None = None, per_class: int = 2000, calibrate: float = 0.2, least: int = 25) -> Toxicity:

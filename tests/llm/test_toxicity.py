@@ -61,7 +61,9 @@ def test_without_labels(spark):
 
 def test_slices_of_long_texts_have_the_same_maxima(monkeypatch):
     rows = make(200, 4)
-    model = T.train([t for _, t, *_ in rows], np.array([y for *_, y in rows], float), steps=60)
+    vocab = {}
+    words = T.numbered((t for _, t, *_ in rows), vocab)
+    model = T.train(words, list(vocab), np.array([y for *_, y in rows], float), steps=60)
     texts = [" ".join(t for _, t, *_ in rows), "grobben", "", "a b"]
     whole = T.Scorer(model).scores(texts)
     monkeypatch.setattr(T, "TOKENS", 50)
