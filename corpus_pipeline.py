@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushlake.llm import toxicity
-from hushlake.llm.common import written
+from hushlake.llm.common import discard, scratch_of, written
 from hushlake.llm.exact_dedup import exact_duplicates
 from hushlake.llm.jaccard import jaccard_join
 from hushlake.llm.mixing import mix_sources
@@ -73,13 +73,20 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over ``documents``; what one returns is written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs = written(docs)
-    return docs
+    """The stages in turn over ``documents``; what one returns is written as Parquet and read again by the next.
+
+    Once a stage's documents are written, what the stage itself wrote on the way is deleted, and the documents that it
+    read, so that the shared folder holds one stage's tables at a time. The last stage's stay, as its rows are read later.
+    """
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for _, stage in STAGES[:-1]:
+        with scratch_of() as used:
+            result = stage(spark, docs, sf_dir)
+        with scratch_of() as table:
+            docs = written(result)
+        discard(spark, read + used)
+        read = table
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: The classifier, the n-gram join and the tokenizer cannot be written in SQL; tests hold them against brute force.
