@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from hushlake.functions.rules import apply_overrides
 from hushlake.operators.audit import LAST
 from hushlake.plans.audit_job import audit_requests, finished
 
+#: The setting that keyed state with an end needs.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
 def stream_verdict(rows: DataFrame, rules: DataFrame, agent_mode: bool = False) -> DataFrame:
     """A verdict for each request of a stream; no state."""
@@ -33,25 +37,51 @@ def stream_responses(judged: DataFrame, responses: DataFrame, late: str = "10 mi
     return finished(left.join(right, in_time, "left").drop("_id"))
 
 
-def stream_model_latency(judged: DataFrame, n: int = LAST) -> DataFrame:
-    """client, model, p50, p95, p99 and sample over the newest ``n`` durations of each key, for update mode.
+class _Latency(StatefulProcessor):
+    """A key's state is a list of its newest ``n`` rows (time and duration), and a timer at the newest one's time: it rings
+    when the watermark has passed that, and the list goes."""
 
-    The state of a key is its newest ``n`` rows (time and duration), however many have come.
-    """
+    def __init__(self, n: int):
+        self.n = n
 
-    def update(key: tuple[str, str], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, durations = state.get if state.exists else ([], [])
-        rows = list(zip(times, durations, strict=True))
-        for part in parts:
-            rows = sorted([*rows, *zip(part["at"].tolist(), part["duration_ms"].tolist(), strict=True)], reverse=True)[:n]
-        state.update(([a for a, _ in rows], [b for _, b in rows]))
-        d = sorted(b for _, b in rows)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getListState("newest", "at long, duration_ms long")
+
+    def handleInputRows(self, key: tuple[str, str], rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        newest = [tuple(map(int, x)) for x in self.newest.get()]
+        for part in rows:
+            newest = heapq.nlargest(self.n, [*newest, *zip(part["at"].tolist(), part["duration_ms"].tolist(), strict=True)])
+        self.newest.put(newest)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(newest[0][0] // 1000 + 1)
+        d = sorted(b for _, b in newest)
         at = lambda q: d[min(int(len(d) * q), len(d) - 1)]
         yield pd.DataFrame({"client": [key[0]], "model": [key[1]], "p50": [at(0.5)], "p95": [at(0.95)], "p99": [at(0.99)], "sample": [len(d)]})
 
-    rows = judged.where((F.col("model") != "") & (F.col("duration_ms") > 0)).select("client", "model", F.unix_micros("ts").alias("at"), F.col("duration_ms").cast("long"))
-    return rows.groupBy("client", "model").applyInPandasWithState(
-        update, "client string, model string, p50 long, p95 long, p99 long, sample long", "times array<long>, durations array<long>", "update", GroupStateTimeout.NoTimeout
+    def handleExpiredTimer(self, key: tuple[str, str], timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.newest.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_model_latency(judged: DataFrame, n: int = LAST, idle: str | None = "1 day") -> DataFrame:
+    """client, model, p50, p95, p99 and sample over the newest ``n`` durations of each key, for update mode.
+
+    The state of a key is its newest ``n`` rows, however many have come. It goes when the newest of all rows is ``idle``
+    past the key's newest, in the rows' own time; a key that comes back later starts anew. A row that comes when others
+    are already ``idle`` past it is left out. With None the stream's own watermark on ts says when. State is kept in the
+    RocksDB store, which timers need: the session must name it (see STORE), else this is an error.
+    """
+    if judged.sparkSession.conf.get(STORE[0], None) != STORE[1]:
+        raise ValueError(f"set {STORE[0]} to {STORE[1]}")
+    rows = judged.withWatermark("ts", idle) if idle else judged
+    rows = rows.where((F.col("model") != "") & (F.col("duration_ms") > 0))
+    return rows.select("client", "model", "ts", F.unix_micros("ts").alias("at"), F.col("duration_ms").cast("long")).groupBy("client", "model").transformWithStateInPandas(
+        _Latency(n), "client string, model string, p50 long, p95 long, p99 long, sample long", "Update", "EventTime"
     )
 
 

@@ -3,12 +3,14 @@ import tempfile
 import pytest
 from pyspark.sql import SparkSession
 
+from hushlake.streaming.stream import STORE
+
 
 @pytest.fixture(scope="session")
 def spark():
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "6g").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config(*STORE).config("spark.local.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
