@@ -110,6 +110,25 @@ def context_limit(client: Column, limits: Mapping[str, int] | None = None) -> Co
     return out
 
 
+def with_context_limit(df: DataFrame, limits: DataFrame, client_col: str = "client", out_col: str = "context_limit") -> DataFrame:
+    """``df`` with the limit of the first key (by name) of ``limits`` (key, tokens) that the client's name holds, else the default.
+
+    Case does not count. Each distinct client is cut into its pieces of the lengths that keys have, and these meet the
+    keys by equality, so that neither table is gone through for each row of the other. Null keys and tokens count for
+    nothing, of keys that differ in case only the first by name counts; a null client has the default.
+    """
+    lower, at = F.col("_lower"), F.col("_length")
+    keys = limits.where("key IS NOT NULL AND tokens IS NOT NULL").select("key", F.lower("key").alias("_piece"), F.col("tokens").cast("long").alias("_tokens"))
+    lengths = keys.agg(F.sort_array(F.collect_set(F.length("_piece"))).alias("_lengths"))  # one row, of as many numbers as the longest key has letters
+    clients = df.select(F.col(client_col).alias("_client")).where("_client IS NOT NULL").distinct().withColumn("_lower", F.lower("_client"))
+    cut = clients.join(F.broadcast(lengths)).select("_client", "_lower", F.explode("_lengths").alias("_length")).where(F.length(lower) >= at)
+    starts = F.sequence(F.lit(1), F.length(lower) - at + 1)
+    cut = cut.select("_client", F.explode(F.array_distinct(F.transform(starts, lambda k: F.substring(lower, k, at)))).alias("_piece"))
+    found = cut.join(keys, "_piece").groupBy("_client").agg(F.min(F.struct("key", "_tokens"))["_tokens"].alias("_tokens"))
+    rows = df.join(found, F.col(client_col) == F.col("_client"), "left")
+    return rows.withColumn(out_col, F.coalesce("_tokens", F.lit(DEFAULT_LIMIT).cast("long"))).drop("_client", "_tokens")
+
+
 def context_use(tokens: Column, limit: Column) -> Column:
     """Percent of the context that is used, rounded half up, at most 100; null without tokens."""
     return F.when(tokens > 0, F.least(F.floor(tokens / limit * 100 + 0.5), F.lit(100)).cast("int"))

@@ -378,8 +378,8 @@ def _named_page(rows: DataFrame) -> DataFrame:
 
 
 def _context(rows: DataFrame) -> DataFrame:
-    limit = audit.context_limit(F.col("client"), LIMITS)
-    use = audit.context_use(F.col("input_tokens"), limit)
+    rows = audit.with_context_limit(rows, rows.sparkSession.createDataFrame(list(LIMITS.items()), "key string, tokens long"))
+    use = audit.context_use(F.col("input_tokens"), F.col("context_limit"))
     return rows.groupBy(audit.context_band(use).alias("band"), "client").agg(F.count("*").alias("n"), F.sum(use).alias("percents"))
 
 
