@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.functions.literals import LONGEST
-from hushlake.operators.detect import MAX_RULES, _as_match, _found, check_validators, findings, fold, longest_word
+from hushlake.operators.detect import MAX_RULES, SNIPPET, _as_match, _found, check_validators, findings, fold, longest_word
 
 #: Rules of one pass over the texts, and bytes of them (each once for each of its literals): they are broadcast.
 PASS, PASS_BYTES = 50_000, 32 << 20
+#: What a rule matches and looks at may be so long for it to run on pieces of a text, and the characters of which each piece has the matches that start there.
+REACH, CORE = 64, 128
 
 
 def passes(rules: DataFrame, most: int, most_bytes: int) -> Iterator[tuple[int, int]]:
@@ -42,7 +44,8 @@ def indexed_findings(
     All these are exploded and meet the rules' literals in a hash join, in which what is no literal falls out. A rule of which a text holds
     several literals is met by the first of them only. Each pair runs the rule's own pattern. The number of pairs follows what the texts hold,
     not the number of rules. Rules go in passes by ``ord`` (see passes), whose tables are broadcast; each pass reads the texts again, and all of it
-    is narrow. Rules without a literal run on every text, in passes of the constant array.
+    is narrow. Rules without a literal run on every text, in passes of the constant array. Rules whose matches are known to be short take
+    another way, of which the work is in proportion to the texts and to the rules (see short_findings).
     """
     check_validators(r.validator for r in rules.select("validator").distinct().limit(100).collect())
     mode = F.when(F.col("mode") == "redact", "track").otherwise(F.col("mode"))
@@ -51,9 +54,14 @@ def indexed_findings(
     if modes is not None:
         rules = rules.where(F.col("mode").isin(*modes))
     rows = df.select(*id_cols, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    plain = (F.coalesce("validator", F.lit("")) == "") & (F.coalesce("guard", F.lit("")) == "") & F.forall("keywords", lambda k: anchor(k) != "")
+    rules = rules.withColumn("_reach", F.coalesce(F.when(plain & (F.size("keywords") > 0), reach(F.col("pattern_java"))), F.lit(REACH + 1)))
+    short, rules = rules.where(F.col("_reach") <= REACH), rules.where(F.col("_reach") > REACH).drop("_reach")
     bare, literal = rules.where(F.size("keywords") == 0), rules.where(F.size("keywords") > 0)
 
-    parts = [findings(rows, bare.where(F.col("ord").between(*ends)), id_cols, "_text") for ends in passes(bare, MAX_RULES, most_bytes)]
+    longest = short.agg(F.max("_reach")).first()[0]
+    parts = [] if longest is None else [short_findings(rows, short, id_cols, longest)]
+    parts += [findings(rows, bare.where(F.col("ord").between(*ends)), id_cols, "_text") for ends in passes(bare, MAX_RULES, most_bytes)]
     for ends in passes(literal, most, most_bytes):
         some = literal.where(F.col("ord").between(*ends))
         words = sorted(r.word for r in some.select(F.explode("keywords").alias("word")).distinct().collect())
@@ -67,3 +75,79 @@ def indexed_findings(
         found = guarded.select("*", F.explode(F.array(_found(F.col("_text"), F.col("_rule")))).alias("_m")).where("_m IS NOT NULL")
         parts.append(found.select(*id_cols, _as_match(F.col("_text"), F.col("_rule"), F.col("_m")).alias("_as")).select(*id_cols, "_as.*"))
     return reduce(DataFrame.unionByName, parts) if parts else findings(rows, rules, id_cols, "_text")
+
+
+def reach(pattern: Column) -> Column:
+    """At most so many characters are matched by a pattern (Java), and looked at behind a match, of those before it one at most; null where that is not known.
+
+    Without a repeat each character that it matches or looks at has one of its own in the pattern.
+    """
+    plain = F.regexp_replace(F.regexp_replace(pattern, r"(?s)\\.", "x"), r"\[\^?\]?[^\]]*\]", "x")
+    behind = F.regexp_replace(pattern, r"\(\?<[=!]\\w\)", "")
+    known = ~F.rlike(plain, F.lit(r"[*+{]")) & ~F.contains(behind, F.lit("(?<")) & ~F.rlike(F.replace(pattern, F.lit("\\\\")), F.lit(r"\\[1-9kGQRX]"))
+    return F.when(known, F.length(F.regexp_replace(plain, r"\(\?[a-z-]*:|[()|^$]", "")) + 1)
+
+
+def anchor(literal: Column) -> Column:
+    """The longest run of a literal without white space: wherever the literal is, it lies in one word."""
+    runs = F.regexp_extract_all(_one_sigma(literal), F.lit(r"\S+"), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run")))).run, F.lit(""))
+
+
+def whole_word(pattern: Column) -> Column:
+    """The folded word for which a pattern (Java) asks between white space or the ends of the text; null for other patterns."""
+    space = r"(?:\\s|\[\\t\\n\\f\\r \])"
+    inner = F.regexp_extract(pattern, rf"(?s)\A(?:\(\?d\))?\(\?:(?:\^|\\A)\|{space}\)(.+)\(\?:{space}\|\\z\)\z", 1)
+    literal = (inner != "") & ~F.rlike(F.regexp_replace(inner, r"\\[^A-Za-z0-9]", ""), F.lit(r"[.^$|()\[\]?*+{}\\]"))
+    return F.when(literal, _one_sigma(fold(F.regexp_replace(inner, r"\\([^A-Za-z0-9])", "$1"))))
+
+
+def _one_sigma(folded: Column) -> Column:
+    """Folding tells the last sigma of a word; where a text is cut, that may be another one."""
+    return F.translate(folded, "ς", "σ")
+
+
+def short_findings(rows: DataFrame, rules: DataFrame, id_cols: Sequence[str], longest: int) -> DataFrame:
+    """``findings`` of rules with literals that reach over ``longest`` characters at most (see reach), over rows with ``_text``.
+
+    Texts are cut into pieces. The distinct words of all pieces (with the text's cut ends) meet the literals by all their substrings of
+    a literal's length; pieces then meet the rules of their words. Both are joins by equality, none of them by a broadcast of all rules. A rule
+    runs on a piece that overlaps the next ones, for matches that do not start behind the piece's own part; of a row's pieces the first counts.
+    """
+    side = max(longest, SNIPPET + 1)
+    cores = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{CORE}}}"), F.lit(0))
+    texts = rows.select(*id_cols, F.monotonically_increasing_id().alias("_row"), F.length("_text").alias("_size"), F.explode(F.array(cores)).alias("_cores"))
+    at = lambda n: F.coalesce(F.get("_cores", n), F.lit(""))
+    cut = lambda c, n: F.struct((n * CORE).alias("_at"), F.concat(F.right(at(n - 1), F.lit(side)), c, F.left(at(n + 1), F.lit(longest + side))).alias("_piece"))
+    pieces = texts.select(*id_cols, "_row", "_size", F.inline(F.transform("_cores", cut)))
+    before = F.when(F.col("_at") > 0, side).otherwise(0)
+    seen = _one_sigma(fold(F.substring("_piece", before + 1, F.lit(CORE + longest))))
+    index = rules.withColumn("_k", F.monotonically_increasing_id()).select("_k", "ord", "rule_id", "rule_name", "severity", "mode", "pattern_java", F.explode(F.transform("keywords", anchor)).alias("_anchor"), "keywords")
+    # A literal that must be a whole word has a space behind it: no word and no part of one is like that.
+    index = index.withColumn("_whole", F.coalesce(whole_word(F.col("pattern_java")) == F.col("_anchor"), F.lit(False)) & (F.size("keywords") == 1)).drop("keywords")
+    known = sorted((r.n, r._whole) for r in index.select(F.length("_anchor").alias("n"), "_whole").distinct().collect())
+    lengths = [n for n, alone in known if not alone]
+    index = index.withColumn("_anchor", F.when(F.col("_whole"), F.concat("_anchor", F.lit(" "))).otherwise(F.col("_anchor"))).drop("_whole")
+    words = F.array_distinct(F.filter(F.regexp_extract_all(seen, F.lit(r"\S+"), F.lit(0)), lambda w: F.length(w) >= known[0][0]))
+    met = pieces.withColumn("_word", F.explode(words))
+
+    fitting = lambda w: F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(w))
+    substrings = F.flatten(F.transform(fitting(F.col("_word")), lambda n: F.transform(F.sequence(F.lit(1), F.length("_word") - n + 1), lambda i: F.substring(F.col("_word"), i, n))))
+    held = met.select("_word").distinct().withColumn("_anchor", F.explode(F.concat(F.array_distinct(substrings), F.array(F.concat("_word", F.lit(" "))))))
+    pairs = met.join(held.join(index, "_anchor").drop("_anchor"), "_word")
+
+    # The piece's start is not the text's; a match in front of its own part is a true one, which the piece before has.
+    pattern = F.when(F.col("_at") > 0, F.concat(F.lit(r"(?!\A)(?:"), "pattern_java", F.lit(")"))).otherwise(F.col("pattern_java"))
+    pairs = pairs.withColumn("_pattern", pattern)
+    beyond = F.length(F.call_function("regexp_extract", F.col("_piece"), F.concat(F.lit(r"\A((?s:.*?))(?:"), "_pattern", F.lit(")")), F.lit(1))) + 1
+    once = lambda df, value, name: df.select("*", F.explode(F.array(value)).alias(name))
+    met = once(pairs, F.regexp_instr("_piece", F.col("_pattern")), "_place").where("_place > 0")  # counts characters beyond 16 bits twice
+    place = F.when(F.rlike("_piece", F.lit(r"[\x{10000}-\x{10FFFF}]")), beyond).otherwise(F.col("_place"))
+    found = once(met, place, "_in").where((F.col("_in") > before) & (F.col("_in") <= before + CORE))
+    found = found.withColumns({"start": F.col("_in") + F.col("_at") - before, "_match": F.regexp_substr("_piece", F.col("_pattern"))})
+    low, high = F.greatest(F.col("start") - SNIPPET, F.lit(1)), F.col("start") + F.length("_match") + SNIPPET - 1
+    body = F.substring("_piece", F.col("_in") - (F.col("start") - low), F.least(high, F.col("_size")) - low + 1)
+    snippet = F.concat(F.when(low > 1, "…").otherwise(""), body, F.when(high < F.col("_size"), "…").otherwise(""))
+    fields = ["ord", "rule_id", "rule_name", "severity", "mode"]
+    first = found.withColumn("snippet", snippet).groupBy("_row", "_k", *id_cols, *fields).agg(F.min("start").alias("start"), F.min_by("snippet", "start").alias("snippet"))
+    return first.select(*id_cols, *fields, "start", "snippet")

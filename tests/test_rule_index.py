@@ -4,11 +4,12 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from hushlake.functions import rules as R
 from hushlake.functions.literals import LONGEST, required_literals
 from hushlake.operators import detect as D
-from hushlake.operators.rule_index import indexed_findings, passes
+from hushlake.operators.rule_index import indexed_findings, passes, reach
 from tests.test_rules import BY_ID, POSITIVE, made_for
 
 ORDER = ["id", "ord"]
@@ -122,3 +123,21 @@ def test_unknown_validators_are_refused(spark):
     for find in (D.findings, indexed_findings):
         with pytest.raises(ValueError, match="mod-97"):
             find(df, rules, ["id"])
+
+
+def test_short_rules_run_on_pieces(spark):
+    """Rules of short reach give what they give over whole texts: ends of the text, borders of pieces, case, snippets, repeated rows and rules."""
+    words = ["^start", "end$", r"(?:^|\s)alpha(?:\s|$)", r"(?i)\bBeta\b", "gamma|delta", "two words", r"x\*y", r"(?:^|\s)x\*y(?:\s|$)", "ΟΔΟΣ", "[ab]cdef", "ſtrong", "zz top", r"🙂smile", "(?s)q.uvw"]
+    made = [R.rule_row(n, f"r{n}", f"n{n}", "", p, "low", "track", "", "") for n, p in enumerate([*words, words[2], r"a+bcd", "token=[a-z]{3,}"])]
+    made.append(made[3])
+    rules = spark.createDataFrame(made, R.SCHEMA)
+    held = {r.rule_id: r.n for r in rules.select("rule_id", reach(F.col("pattern_java")).alias("n")).collect()}
+    assert all(held[f"r{n}"] for n in range(len(words))) and held["r15"] is None and held["r16"] is None
+    rng = random.Random(1)
+    hits = ["start", "end", "alpha", "xalpha", "BETA", "betas", "gamma", "two words", "two\nwords", "x*y", "οδος", "ΟΔΟΣ", "ΟΔΟΣΑ", "acdef", "strong", "ſtrong", "zz top", "q\nuvw", "aabcd", "token=abcd", "y" * 90, "  "]
+    texts = [*hits, "", None, "startend", "alpha", *(" ".join(rng.choice(hits) for _ in range(rng.choice([3, 30, 120]))) for _ in range(60)), "start" + "-" * 700 + "end", "w" * 300 + " alpha " + "w" * 300, "w" * 200 + "🙂smile"]
+    texts += ["z" * n + " alpha Beta " + "v" * 150 for n in range(100, 140)]
+    df = spark.createDataFrame([(n // 2, t) for n, t in enumerate([*texts, *texts])], "id long, text string")
+    key = lambda r: tuple(map(str, r))
+    want = sorted((tuple(r) for r in D.findings(df, rules, ["id"]).collect()), key=key)
+    assert len(want) > 300 and sorted((tuple(r) for r in indexed_findings(df, rules, ["id"]).collect()), key=key) == want
