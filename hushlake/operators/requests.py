@@ -224,10 +224,8 @@ def telemetry_summary(body: Column) -> Column:
 
     def of(items: Column) -> Column:
         events = F.array_distinct(F.filter(F.transform(items, lambda x: _text(x, "$.event")), lambda e: e != ""))
-        keys = F.array(*[F.lit(k) for k in PII_KEYS])
-        held = lambda x: F.filter(keys, lambda k: _text(F.get(F.filter(F.array(*[
-            F.struct(F.lit(p).alias("k"), F.try_variant_get(x, f"$.context.traits.{p}", "variant").alias("v")) for p in PII_KEYS
-        ]), lambda kv: kv.k == k), F.lit(0)).v, "$") != "")
+        held = lambda x: let(F.try_variant_get(x, "$.context.traits", "variant"), lambda t: F.filter(
+            F.array(*[F.when(_text(t, f"$.{k}") != "", k) for k in PII_KEYS]), lambda k: k.isNotNull()))
         fields = F.array_distinct(F.flatten(F.transform(items, held)))
         # The form of the line.
         text = F.concat(F.lit("Events: "), F.array_join(events, ", "))

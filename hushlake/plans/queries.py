@@ -30,10 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Small files are one task each; texts that rules scan are dealt over all cores. Large inputs are split by Spark already."""
+def spread(df: DataFrame, counted: DataFrame | None = None, rows: int = 5_000) -> DataFrame:
+    """Small files are one task each; texts that rules scan are dealt over all cores, some ``rows`` a task at the most. Large inputs are split by Spark already.
+
+    Give ``counted``, a table whose rows are counted in its stead, where those of ``df`` are made from it at some cost, or few bytes become many.
+    """
     sc = df.sparkSession.sparkContext
-    return df if df.rdd.getNumPartitions() >= sc.defaultParallelism else df.repartition(sc.defaultParallelism)
+    tasks = max(sc.defaultParallelism, -(-counted.count() // rows)) if counted is not None else sc.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +227,7 @@ def bodies(spark, sf_dir) -> DataFrame:
     messages = F.transform("m", lambda x: F.struct(x.role.alias("role"), x.content.alias("content")))
     user = F.to_json(F.struct(F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id")))
     body = F.to_json(F.struct(F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")).alias("model"), (F.col("conv_id") % 2 == 0).alias("stream"), F.struct(user.alias("user_id")).alias("metadata"), messages.alias("messages")))
-    return spread(grouped.select("conv_id", body.alias("body")))
+    return spread(grouped.select("conv_id", body.alias("body")), table(spark, sf_dir, "conversations"))
 
 
 def parse_request(spark, sf_dir):
@@ -290,7 +294,7 @@ def history_bodies(spark, sf_dir):
 
 def nested_results(spark, sf_dir):
     """Turns as texts in tool results in tool results, up to eleven deep."""
-    rows = spread(planted_turns(spark, sf_dir).where("text IS NOT NULL"))
+    rows = spread(planted_turns(spark, sf_dir).where("text IS NOT NULL"), table(spark, sf_dir, "conversations"))
     depth = ((F.col("conv_id") + F.col("turn")) % 12).cast("int")
     block = F.concat(F.lit('[{"type":"text",'), F.substring(F.to_json(F.struct("text")), 2, 1 << 30), F.lit("]"))
     body = F.concat(F.lit('{"messages":[{"role":"user","content":'), F.repeat(F.lit('[{"type":"tool_result","content":'), depth), block, F.repeat(F.lit("}]"), depth), F.lit("}]}"))
@@ -300,7 +304,7 @@ def nested_results(spark, sf_dir):
 
 def odd_bodies(spark, sf_dir):
     """Turns in bodies that VARIANT refuses, of six kinds, and in one that is cut off: none of them goes uninspected."""
-    rows = spread(planted_turns(spark, sf_dir).where("text IS NOT NULL"))
+    rows = spread(planted_turns(spark, sf_dir).where("text IS NOT NULL"), table(spark, sf_dir, "conversations"))
     block = F.concat(F.lit('[{"type":"text",'), F.substring(F.to_json(F.struct("text")), 2, 1 << 30), F.lit("]"))
     said = lambda content: F.concat(F.lit('"messages":[{"role":"user","content":'), content, F.lit("}]"))
     deep = F.concat(F.repeat(F.lit('[{"type":"tool_result","content":'), 2000), block, F.repeat(F.lit("}]"), 2000))
@@ -335,7 +339,8 @@ def user_queries(spark, sf_dir):
 
 def telemetry(spark, sf_dir):
     """Events as telemetry bodies; every fifth has no key and so is none."""
-    rows = spread(table(spark, sf_dir, "events"))
+    events = table(spark, sf_dir, "events")
+    rows = spread(events, events, 50_000)
     n = F.col("event_id")
     traits = F.struct(F.when(n % 2 == 0, F.lit("x")).alias("name"), F.when(n % 3 == 0, F.lit("a@b.example")).alias("email"), F.lit("").alias("ip"))
     event = lambda name: F.struct(name.alias("event"), F.struct(traits.alias("traits")).alias("context"))
@@ -347,7 +352,8 @@ def telemetry(spark, sf_dir):
 
 def sessions(spark, sf_dir):
     """Sessions and clients from headers of four kinds."""
-    rows, n = spread(table(spark, sf_dir, "events")), F.col("event_id") % 4
+    events = table(spark, sf_dir, "events")
+    rows, n = spread(events, events, 50_000), F.col("event_id") % 4
     user = F.col("user_id").cast("string")
     agent = [F.lit("User-Agent"), F.concat(F.lit("agent/"), user, F.lit(" linux"))]
     headers = (

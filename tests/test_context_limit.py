@@ -34,3 +34,20 @@ def test_query_equals_its_sql(spark):
     got = sorted(map(str, (tuple(r) for r in X.QUERIES["context_use"](spark, folder).collect())))
     want = db.execute(X.SQL["context_use"]).fetchall()
     assert got == sorted(map(str, want)) and got
+
+
+def test_rows_are_dealt_by_their_number(spark):
+    """A small file of many rows, of which each is made into much, is no longer a task for each core alone."""
+    from hushlake.plans.queries import spread
+
+    rows = spark.range(1000).repartition(1)
+    assert spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(rows, rows, 10).rdd.getNumPartitions() == 100
+
+
+def test_a_telemetry_body_is_read_once_for_each_field(spark):
+    from pyspark.sql import functions as F
+
+    from hushlake.operators.requests import PII_KEYS, telemetry_summary
+
+    plan = spark.range(1).select(telemetry_summary(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count(".traits") == 1 and len(PII_KEYS) == 7
