@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -103,15 +102,14 @@ def token_pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str
     return rows.mapInArrow(run, schema)
 
 
-def vector_best_fit(sizes: np.ndarray, capacity: Sequence[float], rule: str = "dot", weights: Sequence[float] | None = None, classes: int = 16) -> tuple[np.ndarray, np.ndarray]:
+def vector_best_fit(sizes: np.ndarray, capacity: Sequence[float], rule: str = "dot", weights: Sequence[float] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each item; row i of ``sizes`` holds (tokens, documents, attention cost) of item i.
 
-    Items come in descending order of tokens. Open bins lie in lists by residual tokens, each list by its bins' other
-    residuals. An item looks at the ``classes`` tightest token residuals that have a bin which holds it under every
-    capacity, and takes the bin of the highest score, with all sizes as parts of the capacity: ``dot`` is the weighted
+    Items come in descending order of tokens. An item looks at all open bins that hold it under every capacity, and takes the
+    one of the highest score (of equal ones the first), with all sizes as parts of the capacity: ``dot`` is the weighted
     dot product of the item and of what the bin has used up (one less its residual, so that full bins come first),
     ``norm`` the negative weighted norm of the residual that would be left. Where nothing fits, a bin opens. An item
-    that no empty bin holds raises ValueError.
+    that no empty bin holds raises ValueError. Bins that are full are not looked at any more.
     """
     capacity = np.asarray(capacity, float)
     weights = np.ones(len(capacity)) if weights is None else np.asarray(weights, float)
@@ -119,46 +117,28 @@ def vector_best_fit(sizes: np.ndarray, capacity: Sequence[float], rule: str = "d
         raise ValueError("an item is larger than the capacity")
     order = np.lexsort((np.arange(len(sizes)), -sizes[:, 0]))
     bins, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-    cap, wt, parts = tuple(capacity.tolist()), tuple(weights.tolist()), sizes.tolist()
-    residuals: list[int] = []  # token residuals that have bins, ascending
-    at: dict[int, dict[tuple, list[int]]] = {}  # token residual -> residual vector -> bins
-    opened = 0
+    parts = sizes / capacity
+    left = np.empty((1024, len(capacity)))  # residuals of open bins
+    names = np.empty(1024, np.int64)
+    count = opened = 0
     for i in order.tolist():
-        item = parts[i]
-        best, best_score, looked = None, -np.inf, 0
-        for k in range(bisect_left(residuals, item[0]), len(residuals)):
-            fits = False
-            for left in at[residuals[k]]:
-                if all(x <= r for x, r in zip(item, left, strict=True)):
-                    fits = True
-                    if rule == "dot":
-                        score = sum(w * (x / c) * (1 - r / c) for w, x, r, c in zip(wt, item, left, cap, strict=True))
-                    else:
-                        score = -sum(w * ((r - x) / c) ** 2 for w, x, r, c in zip(wt, item, left, cap, strict=True))
-                    if score > best_score:
-                        best, best_score = left, score
-            looked += fits
-            if looked >= classes:
-                break
-        if best is None:
-            best, name = cap, opened
-            opened += 1
+        item, open_ = sizes[i], left[:count]
+        # Without bins that are too full in tokens, which are many.
+        near = np.flatnonzero(open_[:, 0] >= item[0])
+        near = near[(open_[near, 1:] >= item[1:]).all(axis=1)]
+        if len(near):
+            score = (1 - open_[near] / capacity) @ (weights * parts[i]) if rule == "dot" else -(((open_[near] - item) / capacity) ** 2 @ weights)
+            best = near[np.argmax(score)]
         else:
-            same = at[int(best[0])]
-            name = same[best].pop()
-            if not same[best]:
-                del same[best]
-                if not same:
-                    del at[int(best[0])]
-                    residuals.pop(bisect_left(residuals, int(best[0])))
-        bins[i], offsets[i] = name, int(cap[0] - best[0])
-        left = tuple(r - x for r, x in zip(best, item, strict=True))
-        key = int(left[0])
-        if key > 0:
-            if key not in at:
-                at[key] = {}
-                residuals.insert(bisect_left(residuals, key), key)
-            at[key].setdefault(left, []).append(name)
+            if count == len(left):
+                left, names = np.concatenate([left, np.empty_like(left)]), np.concatenate([names, np.empty_like(names)])
+            best, left[count], names[count] = count, capacity, opened
+            count, opened = count + 1, opened + 1
+        bins[i], offsets[i] = names[best], int(capacity[0] - left[best, 0])
+        left[best] -= item
+        if left[best, 0] <= 0:  # the last open bin takes its place
+            count -= 1
+            left[best], names[best] = left[count], names[count]
     return bins, offsets
 
 

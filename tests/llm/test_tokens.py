@@ -90,3 +90,12 @@ def test_vector_best_fit_keeps_every_capacity(rule):
     assert bins.max() + 1 <= 1.15 * lower
     with pytest.raises(ValueError):
         vector_best_fit(np.array([[2000.0, 1, 1]]), cap)
+
+
+def test_an_item_looks_at_all_bins():
+    """The bin of the highest score lies behind more than sixteen tighter ones: of those it is the only one with few documents."""
+    tight = [[900.0 - n, 40, 1] for n in range(30)]
+    sizes = np.array([*tight, [500.0, 95, 1], [10.0, 1, 1]])
+    cap = (1000, 100, 1000)
+    bins, _ = vector_best_fit(sizes, cap, "dot", (0.001, 1, 0))
+    assert bins[-1] == bins[-2]
