@@ -59,16 +59,25 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def longest_word(words: Sequence[str]) -> str:
-    """A pattern (Java) for the longest of these words at a place: a tree of their letters, so that few are tried there."""
+    """A pattern (Java) for the longest of these words at a place: a tree of their letters, halved by classes, so that few are tried there."""
     heads: dict[str, list[str]] = {}
     for w in words:
         heads.setdefault(w[:1], []).append(w[1:])
-    rest = [re.escape(c) + longest_word(tails) for c, tails in sorted(heads.items()) if c]
+    rest = [(re.escape(c), re.escape(c) + longest_word(tails)) for c, tails in sorted(heads.items()) if c]
     if not rest:
         return ""
     if len(rest) == 1 and "" not in heads:
-        return rest[0]
-    return f"(?:{'|'.join(rest)})" + ("?" if "" in heads else "")
+        return rest[0][1]
+    return f"(?:{_halved(rest)})" + ("?" if "" in heads else "")
+
+
+def _halved(parts: list[tuple[str, str]]) -> str:
+    """Alternatives by their first letter; of more than a few, a class tells first in which half to look."""
+    if len(parts) <= 3:
+        return "|".join(p for _, p in parts)
+    half = len(parts) // 2
+    first = lambda some: "".join(c for c, _ in some)
+    return "|".join(f"(?=[{first(some)}])(?:{_halved(some)})" for some in (parts[:half], parts[half:]))
 
 
 def _may_match(rules: RuleSet, text: Column) -> Column:

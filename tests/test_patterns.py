@@ -102,3 +102,20 @@ def test_squeezed_against_python(spark):
     out = spark.createDataFrame(rows, "t string").select("t", Q.squeezed(F.col("t")).alias("s"), Q.trimmed(F.col("t")).alias("w")).collect()
     for r in out:
         assert r.s == re.sub(r"\s+", " ", re.sub("<[^>]+>", " ", r.t)).strip() and r.w == r.t.strip()
+
+
+def test_the_tree_of_literals_is_halved_by_classes():
+    """Of many first letters few are tried, and the longest word is found as it would be among all."""
+    import random
+    import re
+
+    from hushlake.operators.detect import longest_word
+
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abcdefgh-]^.&[ é") for _ in range(rng.randint(1, 4))) for _ in range(300)})
+    pattern = longest_word(words)
+    assert max(map(len, re.findall(r"\(\?=\[((?:\\.|[^\]])*)\]", pattern))) > 6 and "|" not in re.sub(r"\(\?=.*", "", pattern.removeprefix("(?:"))
+    for _ in range(500):
+        text = "".join(rng.choice("abcdefgh-]^.&[ éz") for _ in range(6))
+        m = re.match(pattern, text)
+        assert (m[0] if m else "") == max((w for w in words if text.startswith(w)), key=len, default="")
