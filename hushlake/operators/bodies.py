@@ -6,12 +6,13 @@ import json
 import re
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.operators.detect import inspect, once, redact, rule_array
 from hushlake.operators.json_reader import read_json
+from hushlake.operators.pieces import piecewise
 from hushlake.operators.requests import squeezed
 
 # A string is text when the nearest key above it is one of these; array elements have their array's key.
@@ -72,22 +73,31 @@ def _decoded(literal: str) -> str:
     return json.loads(literal).encode("utf-8", "replace").decode()  # half of a surrogate pair is no character
 
 
-def _with_leaves(df: DataFrame, body_col: str) -> DataFrame:
-    """Leaves of each body in order; a body that is no object or array is one leaf without a field, a null one has none."""
+def _leaves(body: str | None) -> list[dict]:
+    places = None if body is None else text_places(body)
+    if places is None:
+        return [] if body is None else [{"field": None, "text": body}]
+    return [{"field": k, "text": _decoded(body[a:b])} for k, a, b in places]
+
 
-    @F.pandas_udf("array<struct<field: string, text: string>>")
-    def leaves(bodies: pd.Series) -> pd.Series:
-        found = []
-        for body in bodies:
-            places = None if body is None else text_places(body)
-            if places is None:
-                found.append([] if body is None else [{"field": None, "text": body}])
-            else:
-                found.append([{"field": k, "text": _decoded(body[a:b])} for k, a, b in places])
-        return pd.Series(found)
+def _assembled(body: str | None, texts: list[str] | None) -> str | None:
+    """The body with these texts in their places."""
+    places = None if body is None else text_places(body)
+    if places is None:
+        return None if body is None else texts[0]
+    parts, at = [], 0
+    for (_, a, b), text in zip(places, texts, strict=True):
+        if text != _decoded(body[a:b]):
+            parts += [body[at:a], json.dumps(text, ensure_ascii=False)]
+            at = b
+    return "".join([*parts, body[at:]])
 
-    # Not deterministic for the planner: filters and generators behind it are not to run it again in themselves.
-    return df.withColumn("_leaves", leaves.asNondeterministic()(F.col(body_col)))
+
+def _with_leaves(df: DataFrame, body_col: str) -> DataFrame:
+    """Leaves of each body in order; a body that is no object or array is one leaf without a field, a null one has none."""
+    kind = pa.list_(pa.struct([("field", pa.string()), ("text", pa.string())]))
+    leaves = piecewise(_leaves, kind, "array<struct<field: string, text: string>>")
+    return df.withColumn("_leaves", leaves(F.col(body_col)))
 
 
 def text_leaves(df: DataFrame, id_cols: Sequence[str], body_col: str = "body") -> DataFrame:
@@ -113,23 +123,8 @@ def redact_bodies(
     rows = rows.select("*", F.explode(F.array(both)).alias("_texts"))  # a generator keeps the native part out of the UDF's arguments
     changed = F.col("_texts.old") != F.col("_texts.new")
 
-    @F.pandas_udf("string")
-    def assemble(bodies: pd.Series, new: pd.Series) -> pd.Series:
-        out = []
-        for body, texts in zip(bodies, new, strict=True):
-            places = None if body is None else text_places(body)
-            if places is None:
-                out.append(None if body is None else texts[0])
-                continue
-            parts, at = [], 0
-            for (_, a, b), text in zip(places, texts, strict=True):
-                if text != _decoded(body[a:b]):
-                    parts += [body[at:a], json.dumps(text, ensure_ascii=False)]
-                    at = b
-            out.append("".join([*parts, body[at:]]))
-        return pd.Series(out)
-
-    rows = rows.withColumn("_new", assemble.asNondeterministic()(F.when(changed, F.col(body_col)), F.when(changed, F.col("_texts.new"))))
+    assemble = piecewise(_assembled, pa.string(), "string")
+    rows = rows.withColumn("_new", assemble(F.when(changed, F.col(body_col)), F.when(changed, F.col("_texts.new"))))
     body = F.coalesce(F.col(body_col), F.lit(""))
     broken = F.try_parse_json("_new").isNull() & F.try_parse_json(body).isNotNull()
     out = F.when(changed & ~broken, F.col("_new")).otherwise(body)
