@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushlake.llm.common import written
+from hushlake.llm.common import join_sorted, written
 
 #: Rows of a block; a unit has at most about twice as many.
 BLOCK = 1024
@@ -27,12 +27,12 @@ def units(members: DataFrame, block: int = BLOCK, weights: DataFrame | None = No
     only twice, with nothing but these columns. Of buckets with the same rows only the one of the first table remains: the
     first table in which two rows meet always keeps its bucket. A block holds about ``block`` rows, fewer where the sum of
     ``weights`` (id, weight) would pass ``weight_limit``. All steps on a bucket are aggregates with map-side combine, or
-    joins whose hot partitions adaptive execution can split.
+    sort-merge joins whose hot partitions adaptive execution can split.
     """
     ids = F.col("id")
     shared = members.groupBy("bucket").count().where("count > 1").select("bucket")
-    rows = written(members.select("id", "table", "bucket").join(shared, "bucket"))
-    weighed = rows.join(weights, "id") if weights is not None and weight_limit else rows.withColumn("weight", F.lit(0).cast("long"))
+    rows = written(join_sorted(members.select("id", "table", "bucket"), shared, "bucket"))
+    weighed = join_sorted(rows, weights, "id") if weights is not None and weight_limit else rows.withColumn("weight", F.lit(0).cast("long"))
     buckets = weighed.groupBy("bucket").agg(
         F.min("table").alias("table"), F.count("*").alias("n"), F.sum("weight").alias("w"), F.bit_xor(F.xxhash64(ids)).alias("x"), F.bit_xor(F.xxhash64(ids, F.lit(1))).alias("y")
     )
@@ -41,7 +41,7 @@ def units(members: DataFrame, block: int = BLOCK, weights: DataFrame | None = No
     if weight_limit:
         blocks = F.greatest(blocks, F.least(F.ceil(F.col("b.w") / weight_limit), F.col("n")))
     kept = kept.select("b.bucket", blocks.cast("int").alias("blocks"))
-    placed = rows.join(kept, "bucket")
+    placed = join_sorted(rows, kept, "bucket")
     own = F.pmod(F.xxhash64(ids, F.lit(2)), F.col("blocks")).cast("int")
     placed = placed.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return placed.select("id", "table", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")

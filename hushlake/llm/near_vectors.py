@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushlake.llm.blocks import UNIT, units
-from hushlake.llm.common import connected_components, runs, written
+from hushlake.llm.common import connected_components, join_sorted, runs, written
 from hushlake.llm.jaccard import _spanning
 
 #: The chance that a pair of exactly the threshold shares no bucket.
@@ -89,7 +89,8 @@ def near_vectors(
     keyed = entries.select("entry", "label", "vector").mapInArrow(signed, "id long, label string, dims int, keys array<long>")
     members = keyed.select("id", "label", "dims", F.posexplode("keys").alias("table", "signs"))
     members = members.select("id", "table", F.xxhash64("label", "dims", "table", "signs").alias("bucket"))
-    placed = units(members).join(entries.select(F.col("entry").alias("id"), "copies", F.xxhash64("label").alias("label_no"), "vector"), "id")
+    vectors = entries.select(F.col("entry").alias("id"), "copies", F.xxhash64("label").alias("label_no"), "vector")
+    placed = join_sorted(units(members), vectors, "id")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in runs(batches, UNIT):
@@ -136,13 +137,13 @@ def near_vectors(
     linked = written(linked)
     parts = connected_components(linked, "id", "to").select(F.col("node").alias("entry"), "component")
     light = entries.select("entry", "key", "id", "copies")
-    classes = written(light.join(parts, "entry"))
+    classes = written(join_sorted(light, parts, "entry"))
     lowest = classes.groupBy("component").agg(F.min("id").alias("lowest"))
-    classes = classes.join(lowest, "component").select("entry", "lowest")
+    classes = join_sorted(classes, lowest, "component", n_most=2 * linked.count()).select("entry", "lowest")
     links = linked.groupBy(F.col("id").alias("entry")).agg(F.sum("links").alias("links"))
-    known = light.join(links, "entry", "left").join(classes, "entry", "left")
+    known = join_sorted(join_sorted(light, links, "entry", "left"), classes, "entry", "left")
     known = known.select("key", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("lowest", "id").alias("lowest"))
-    out = base.select("id", "key").join(known, "key", "left")
+    out = join_sorted(base.select("id", "key"), known, "key", "left")
     component = F.coalesce("lowest", "id")
     return out.select(
         F.col("id").alias(id_col), F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"),

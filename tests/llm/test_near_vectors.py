@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 
-from hushlake.llm import blocks, near_vectors
+from hushlake.llm import blocks, common, near_vectors
 from hushlake.llm.common import connected_components
 from hushlake.llm.near_vectors import op7_near_vectors, table_sizes
 from hushlake.llm.near_vectors import near_vectors as join
@@ -65,6 +65,25 @@ def test_many_blocks(spark, monkeypatch):
     assert got(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
 
 
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """Spark takes exploded and compressed tables for small ones; none of those that grow with the rows may reach the driver."""
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.written(df)
+
+    for module in (near_vectors, blocks):
+        monkeypatch.setattr(module, "written", noted)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    kind = type(spark.range(1))
+    saved = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or saved(df))
+    out = join(spark.createDataFrame(rows_of(), SCHEMA))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 6 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_empty(spark):
     assert got(spark.createDataFrame([], SCHEMA)) == []
     assert got(spark.createDataFrame([(None, [1.0], 1), (2, [1.0], 1)], SCHEMA)) == [(2, 0, 2, True)]
