@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.functions.literals import LONGEST
-from hushlake.operators.detect import MAX_RULES, SNIPPET, _as_match, _found, check_validators, findings, fold, longest_word
+from hushlake.operators.detect import MAX_RULES, SNIPPET, VALIDATORS, _as_match, _found, check_validators, findings, fold, longest_word, once
 
 #: Rules of one pass over the texts, and bytes of them (each once for each of its literals): they are broadcast.
 PASS, PASS_BYTES = 50_000, 32 << 20
@@ -45,36 +45,49 @@ def indexed_findings(
     several literals is met by the first of them only. Each pair runs the rule's own pattern. The number of pairs follows what the texts hold,
     not the number of rules. Rules go in passes by ``ord`` (see passes), whose tables are broadcast; each pass reads the texts again, and all of it
     is narrow. Rules without a literal run on every text, in passes of the constant array. Rules whose matches are known to be short take
-    another way, of which the work is in proportion to the texts and to the rules (see short_findings).
+    another way, of which the work is in proportion to the texts and to the rules (see short_findings), and those that ask for a whole
+    word a shorter one (see word_findings).
     """
-    check_validators(r.validator for r in rules.select("validator").distinct().limit(100).collect())
     mode = F.when(F.col("mode") == "redact", "track").otherwise(F.col("mode"))
     shortened = F.transform(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: F.left(fold(k), F.lit(LONGEST)))
     rules = rules.withColumns({"mode": mode, "keywords": F.array_distinct(shortened)})
-    if modes is not None:
-        rules = rules.where(F.col("mode").isin(*modes))
+    names = rules.columns
+    plain = (F.coalesce("validator", F.lit("")) == "") & (F.coalesce("guard", F.lit("")) == "")
+    # Out of generators: else the filters by kind would move in front of what has made the rules distinct.
+    known = once(rules, F.when(plain, asked_word(F.col("pattern_java"))), "_word")
+    known = once(known, F.when((F.col("keywords") == F.array(fold(F.col("_word")))) & (F.length("_word") <= REACH), F.col("_word")), "_asked")
+    some = plain & (F.size("keywords") > 0) & F.forall("keywords", lambda k: anchor(k) != "")
+    known = once(known, F.when(F.isnull("_asked") & some, reach(F.col("pattern_java"))), "_reach")
+    kind = F.when(F.isnotnull("_asked"), "whole").when(F.col("_reach") <= REACH, "short").when(F.size("keywords") == 0, "bare").otherwise("literal")
+    known = known.withColumn("_kind", kind)
+    chosen = F.lit(True) if modes is None else F.coalesce(F.col("mode").isin(*modes), F.lit(False))
+    odd, size = F.when(~F.col("validator").isin(*VALIDATORS), F.col("validator")), F.length("_asked")
+    spans = known.groupBy("_kind", chosen.alias("chosen")).agg(F.min(odd).alias("odd"), F.max(odd).alias("odder"), F.min(size).alias("low"), F.max(size).alias("high"), F.max("_reach").alias("reach")).collect()
+    check_validators(v for r in spans for v in (r.odd, r.odder))
+    spans = {r["_kind"]: r for r in spans if r.chosen}
+    of = lambda name: known.where(chosen & (F.col("_kind") == name))
     rows = df.select(*id_cols, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    plain = (F.coalesce("validator", F.lit("")) == "") & (F.coalesce("guard", F.lit("")) == "") & F.forall("keywords", lambda k: anchor(k) != "")
-    rules = rules.withColumn("_reach", F.coalesce(F.when(plain & (F.size("keywords") > 0), reach(F.col("pattern_java"))), F.lit(REACH + 1)))
-    short, rules = rules.where(F.col("_reach") <= REACH), rules.where(F.col("_reach") > REACH).drop("_reach")
-    bare, literal = rules.where(F.size("keywords") == 0), rules.where(F.size("keywords") > 0)
-
-    longest = short.agg(F.max("_reach")).first()[0]
-    parts = [] if longest is None else [short_findings(rows, short, id_cols, longest)]
-    parts += [findings(rows, bare.where(F.col("ord").between(*ends)), id_cols, "_text") for ends in passes(bare, MAX_RULES, most_bytes)]
-    for ends in passes(literal, most, most_bytes):
+
+    parts = []
+    if "whole" in spans:
+        parts.append(word_findings(rows, of("whole"), id_cols, spans["whole"].low, spans["whole"].high))
+    if "short" in spans:
+        parts.append(short_findings(rows, of("short").select(*names, "_reach"), id_cols, spans["short"].reach))
+    bare, literal = of("bare").select(*names), of("literal").select(*names)
+    parts += [findings(rows, bare.where(F.col("ord").between(*ends)), id_cols, "_text") for ends in (passes(bare, MAX_RULES, most_bytes) if "bare" in spans else ())]
+    for ends in passes(literal, most, most_bytes) if "literal" in spans else ():
         some = literal.where(F.col("ord").between(*ends))
         words = sorted(r.word for r in some.select(F.explode("keywords").alias("word")).distinct().collect())
         longest = F.regexp_extract_all(fold(F.col("_text")), F.lit(f"(?=({longest_word(words)}))"), F.lit(1))
         beginnings = F.transform(F.array_distinct(longest), lambda w: F.transform(F.sequence(F.lit(0), F.length(w)), lambda n: F.left(w, n)))
         # Out of a generator the literals are found once; the join and what follows only read them.
         texts = rows.select("*", F.explode(F.array(F.array_distinct(F.flatten(beginnings)))).alias("_held")).select("*", F.explode("_held").alias("_word"))
-        index = some.select(F.struct(*rules.columns).alias("_rule"), F.explode("keywords").alias("_word"))
+        index = some.select(F.struct(*names).alias("_rule"), F.explode("keywords").alias("_word"))
         met = texts.join(F.broadcast(index), "_word").where(F.col("_word") == F.array_min(F.array_intersect("_held", "_rule.keywords")))
         guarded = met.where((F.col("_rule.guard") == "") | F.rlike("_text", F.col("_rule.guard")))
         found = guarded.select("*", F.explode(F.array(_found(F.col("_text"), F.col("_rule")))).alias("_m")).where("_m IS NOT NULL")
         parts.append(found.select(*id_cols, _as_match(F.col("_text"), F.col("_rule"), F.col("_m")).alias("_as")).select(*id_cols, "_as.*"))
-    return reduce(DataFrame.unionByName, parts) if parts else findings(rows, rules, id_cols, "_text")
+    return reduce(DataFrame.unionByName, parts) if parts else findings(rows, bare, id_cols, "_text")
 
 
 def reach(pattern: Column) -> Column:
@@ -94,12 +107,21 @@ def anchor(literal: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run")))).run, F.lit(""))
 
 
-def whole_word(pattern: Column) -> Column:
-    """The folded word for which a pattern (Java) asks between white space or the ends of the text; null for other patterns."""
-    space = r"(?:\\s|\[\\t\\n\\f\\r \])"
+#: White space of a pattern (Java) that was RE2's.
+_SPACE = r"\[\\t\\n\\f\\r \]"
+
+
+def asked_word(pattern: Column, space: str = _SPACE) -> Column:
+    """The word for which a pattern (Java) asks between such white space or the ends of the text; null for other patterns."""
     inner = F.regexp_extract(pattern, rf"(?s)\A(?:\(\?d\))?\(\?:(?:\^|\\A)\|{space}\)(.+)\(\?:{space}\|\\z\)\z", 1)
     literal = (inner != "") & ~F.rlike(F.regexp_replace(inner, r"\\[^A-Za-z0-9]", ""), F.lit(r"[.^$|()\[\]?*+{}\\]"))
-    return F.when(literal, _one_sigma(fold(F.regexp_replace(inner, r"\\([^A-Za-z0-9])", "$1"))))
+    word = F.regexp_replace(inner, r"\\([^A-Za-z0-9])", "$1")
+    return F.when(literal & ~F.rlike(word, F.lit(r"\s")), word)
+
+
+def whole_word(pattern: Column) -> Column:
+    """The folded word for which a pattern (Java) asks between white space or the ends of the text; null for other patterns."""
+    return _one_sigma(fold(asked_word(pattern, rf"(?:\\s|{_SPACE})")))
 
 
 def _one_sigma(folded: Column) -> Column:
@@ -107,6 +129,41 @@ def _one_sigma(folded: Column) -> Column:
     return F.translate(folded, "ς", "σ")
 
 
+def _pieces(rows: DataFrame, id_cols: Sequence[str], side: int, beyond: int) -> DataFrame:
+    """Pieces of the texts: _row and _size of the text, _at characters before the piece's own CORE, _piece with ``side`` more in front and ``beyond`` behind."""
+    cores = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{CORE}}}"), F.lit(0))
+    texts = rows.select(*id_cols, F.monotonically_increasing_id().alias("_row"), F.length("_text").alias("_size"), F.explode(F.array(cores)).alias("_cores"))
+    at = lambda n: F.coalesce(F.get("_cores", n), F.lit(""))
+    cut = lambda c, n: F.struct((n * CORE).alias("_at"), F.concat(F.right(at(n - 1), F.lit(side)), c, F.left(at(n + 1), F.lit(beyond))).alias("_piece"))
+    return texts.select(*id_cols, "_row", "_size", F.inline(F.transform("_cores", cut)))
+
+
+def word_findings(rows: DataFrame, rules: DataFrame, id_cols: Sequence[str], shortest: int, longest: int) -> DataFrame:
+    """``findings`` of rules that ask for a whole word ``_asked`` (see asked_word) of so many characters, over rows with ``_text``.
+
+    Such a rule fires where a word of the text equals its own, so no pattern runs, and no text is moved: pieces are cut into words with their places in front
+    of the only shuffle, by word, after which each word of a text is kept once and meets the rules in a sort-merge join. A snippet is moved only where the caller uses it.
+    """
+    side = SNIPPET + 1
+    pieces = _pieces(rows, id_cols, side, longest + SNIPPET)
+    spaced = F.translate("_piece", "\t\n\f\r", "    ")
+    # One character in front, a space at the text's start; a word that goes on behind what is seen is longer than any that a rule asks for.
+    seen = F.when(F.col("_at") > 0, F.substring(spaced, side, 1 + CORE + longest)).otherwise(F.concat(F.lit(" "), F.substring(spaced, 1, CORE + longest)))
+    words = F.filter(F.array_distinct(F.split("_seen", " ")), lambda w: F.length(w).between(shortest, longest))
+    met = once(pieces, F.concat(seen, F.lit(" ")), "_seen").withColumn("_word", F.explode(words))
+    met = once(met, F.position(F.concat(F.lit(" "), "_word", F.lit(" ")), F.col("_seen")), "_in").where(F.col("_in").between(1, CORE))
+
+    place, before = F.col("_at") + F.col("_in"), F.when(F.col("_at") > 0, side).otherwise(0)
+    start = F.greatest(place - 1, F.lit(1))
+    low, high = F.greatest(start - SNIPPET, F.lit(1)), F.least(place + F.length("_word"), F.col("_size")) + SNIPPET
+    body = F.substring("_piece", low - F.col("_at") + before, F.least(high, F.col("_size")) - low + 1)
+    snippet = F.concat(F.when(low > 1, "…").otherwise(""), body, F.when(high < F.col("_size"), "…").otherwise(""))
+    words = met.select(*id_cols, "_row", "_word", start.alias("start"), snippet.alias("snippet")).repartition("_word")
+    first = words.groupBy("_word", "_row", *id_cols).agg(F.min("start").alias("start"), F.min_by("snippet", "start").alias("snippet"))
+    fields = ["ord", "rule_id", "rule_name", "severity", "mode"]
+    return first.join(rules.select(F.col("_asked").alias("_word"), *fields).hint("merge"), "_word").select(*id_cols, *fields, "start", "snippet")
+
+
 def short_findings(rows: DataFrame, rules: DataFrame, id_cols: Sequence[str], longest: int) -> DataFrame:
     """``findings`` of rules with literals that reach over ``longest`` characters at most (see reach), over rows with ``_text``.
 
@@ -115,11 +172,7 @@ def short_findings(rows: DataFrame, rules: DataFrame, id_cols: Sequence[str], lo
     runs on a piece that overlaps the next ones, for matches that do not start behind the piece's own part; of a row's pieces the first counts.
     """
     side = max(longest, SNIPPET + 1)
-    cores = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{CORE}}}"), F.lit(0))
-    texts = rows.select(*id_cols, F.monotonically_increasing_id().alias("_row"), F.length("_text").alias("_size"), F.explode(F.array(cores)).alias("_cores"))
-    at = lambda n: F.coalesce(F.get("_cores", n), F.lit(""))
-    cut = lambda c, n: F.struct((n * CORE).alias("_at"), F.concat(F.right(at(n - 1), F.lit(side)), c, F.left(at(n + 1), F.lit(longest + side))).alias("_piece"))
-    pieces = texts.select(*id_cols, "_row", "_size", F.inline(F.transform("_cores", cut)))
+    pieces = _pieces(rows, id_cols, side, longest + side)
     before = F.when(F.col("_at") > 0, side).otherwise(0)
     seen = _one_sigma(fold(F.substring("_piece", before + 1, F.lit(CORE + longest))))
     index = rules.withColumn("_k", F.monotonically_increasing_id()).select("_k", "ord", "rule_id", "rule_name", "severity", "mode", "pattern_java", F.explode(F.transform("keywords", anchor)).alias("_anchor"), "keywords")
@@ -140,7 +193,6 @@ def short_findings(rows: DataFrame, rules: DataFrame, id_cols: Sequence[str], lo
     pattern = F.when(F.col("_at") > 0, F.concat(F.lit(r"(?!\A)(?:"), "pattern_java", F.lit(")"))).otherwise(F.col("pattern_java"))
     pairs = pairs.withColumn("_pattern", pattern)
     beyond = F.length(F.call_function("regexp_extract", F.col("_piece"), F.concat(F.lit(r"\A((?s:.*?))(?:"), "_pattern", F.lit(")")), F.lit(1))) + 1
-    once = lambda df, value, name: df.select("*", F.explode(F.array(value)).alias(name))
     met = once(pairs, F.regexp_instr("_piece", F.col("_pattern")), "_place").where("_place > 0")  # counts characters beyond 16 bits twice
     place = F.when(F.rlike("_piece", F.lit(r"[\x{10000}-\x{10FFFF}]")), beyond).otherwise(F.col("_place"))
     found = once(met, place, "_in").where((F.col("_in") > before) & (F.col("_in") <= before + CORE))

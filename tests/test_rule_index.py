@@ -141,3 +141,32 @@ def test_short_rules_run_on_pieces(spark):
     key = lambda r: tuple(map(str, r))
     want = sorted((tuple(r) for r in D.findings(df, rules, ["id"]).collect()), key=key)
     assert len(want) > 300 and sorted((tuple(r) for r in indexed_findings(df, rules, ["id"]).collect()), key=key) == want
+
+
+def word_rules():
+    words = ["alpha", "Alpha", "x*y", "a", "🙂smile", "ΟΔΟΣ", "w" * 31, "-", "be.ta", "alphabet"]
+    return [R.rule_row(n, f"r{n}", f"n{n}", "", rf"(?:^|\s){re.escape(w)}(?:\s|$)", "low", "track", "", "", [w.lower()]) for n, w in enumerate([*words, words[0]])]
+
+
+def test_word_rules_equal_the_array(spark):
+    """Words at the ends of texts and of pieces, all white space, case, parts of words, repeated words, rows and rules."""
+    rules = spark.createDataFrame(word_rules(), R.SCHEMA)
+    rng = random.Random(4)
+    hits = ["alpha", "Alpha", "ALPHA", "alphas", "xalpha", "x*y", "a", "🙂smile", "ΟΔΟΣ", "οδος", "w" * 31, "w" * 32, "w" * 200, "-", "be.ta", "beta", "alphabet", "alpha\x0balpha", "", "q"]
+    texts = [None, "", " ", "alpha", " alpha", "alpha ", "\talpha\n", "alpha\x0b", "\x0balpha", "alpha,alpha alpha", *("z" * n + " alpha " + "v" * 300 + " Alpha" for n in range(90, 170)), *("z " * 60 + "y" * n + " " + "w" * 31 for n in range(12))]
+    texts += ["".join(rng.choice(hits) + rng.choice([" ", "  ", "\t", "\n", "\r\n", "\f"]) for _ in range(rng.choice([2, 20, 90]))).replace("🙂smile", "q") for _ in range(80)]
+    texts += ["q" * n + " 🙂smile" for n in (0, 1, 126, 127, 128, 129)]
+    df = spark.createDataFrame([(n // 2, t) for n, t in enumerate([*texts, *texts[:20]])], "id long, text string")
+    key = lambda r: tuple(map(str, r))
+    want = sorted((tuple(r) for r in D.findings(df, rules, ["id"]).collect()), key=key)
+    assert {r[2] for r in want} == {f"r{n}" for n in range(11)} and len(want) > 500
+    assert sorted((tuple(r) for r in indexed_findings(df, rules, ["id"]).collect()), key=key) == want
+
+
+def test_word_rules_move_words_and_no_texts(spark):
+    """Pieces moved with each of their words took 22 times the input on disk."""
+    df = spark.createDataFrame([(1, "alpha beta")], "id long, text string")
+    found = indexed_findings(df, spark.createDataFrame(word_rules(), R.SCHEMA), ["id"]).groupBy("id").agg(F.min("start"))
+    plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = re.findall(r"\) (?:BroadcastExchange|Exchange)\nInput \[\d+\]: \[(.*)\]", plan)
+    assert any("_word" in c for c in moved) and not [c for c in moved if re.search(r"\b(_piece|_text|text|_cores|snippet)#", c)], moved
